@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, matroska, setjoin, toxicity, urlfilter
+from . import bpe, chat, matroska, setjoin, topk, toxicity, urlfilter
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op4_exact_top_k": topk.op4_exact_top_k,
     "op5_minhash_near_dedup": setjoin.op5_minhash_near_dedup,
     "op7_matroska": matroska.op7_matroska,
     "op8_toxicity": toxicity.op8_toxicity,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
-ORACLES = chat.ORACLE | setjoin.ORACLE
+ORACLES = chat.ORACLE | setjoin.ORACLE | topk.ORACLE
