@@ -162,8 +162,11 @@ def digest(bpe: ByteBPE, doc: int | None, text: str, ids: list[int]) -> tuple:
     return doc, len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
 
-def token_rows(bpe: ByteBPE, doc: int | None, text: str, ids: list[int]) -> tuple:
-    return doc, ids
+TOKENS = f"{DIGEST}, token_ids array<int>"
+
+
+def tokens(bpe: ByteBPE, doc: int | None, text: str, ids: list[int]) -> tuple:
+    return *digest(bpe, doc, text, ids), ids
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,4 +39,47 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.scratch_path = path
+    return found
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes what materialise() wrote, once nothing reads it any more."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bits of the largest membership sieve: 8 MB wherever it is sent.
+SIEVE_BITS = 1 << 26
+
+
+def sieve(rows: DataFrame, keys: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows(key, columns...) without most of those whose key isn't in keys(key).
+
+    A Bloom filter of at most SIEVE_BITS bits spares the join that follows the
+    shuffle of rows that it would drop. It never drops a row whose key is there; past
+    its size it only drops fewer of the others.
+    """
+    spark = rows.sparkSession
+    n = keys.count()
+    bits = 1 << max(10, min(SIEVE_BITS.bit_length() - 1, (16 * n).bit_length()))
+    places = [F.pmod(F.xxhash64(key, F.lit(j)), F.lit(bits)) for j in range(2)]
+    words = keys.select(F.explode(F.array(*places)).alias("p")).groupBy(F.floor(F.col("p") / 32).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 as int))")).alias("b")).toArrow()
+    table_ = np.zeros(bits // 32, np.uint32)
+    table_[words["w"].to_numpy()] = words["b"].to_numpy().astype(np.uint32)
+    sent = spark.sparkContext.broadcast(table_)
+
+    def keep(batches):
+        bitmap = sent.value
+        for batch in batches:
+            kept = np.ones(batch.num_rows, bool)
+            for name in ("sieve_0", "sieve_1"):
+                p = batch[name].to_numpy()
+                kept &= (bitmap[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) > 0
+            yield batch.filter(pa.array(kept)).select([key, *columns])
+
+    own = rows.where(F.col(key).isNotNull()).select(key, *columns, *(p.alias(f"sieve_{j}") for j, p in enumerate(places)))
+    return own.mapInArrow(keep, rows.select(key, *columns).schema)

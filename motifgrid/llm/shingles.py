@@ -34,7 +34,7 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def _powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i < n."""
     if not _powers or len(_powers[0]) < n:
         n = max(n, BLOCK_BYTES + 4096)
@@ -74,7 +74,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     after[first[first > 0] - 1] = True
     starts = np.flatnonzero(~blank & before)
     ends = np.flatnonzero(~blank & after) + 1
-    power, inverse = _powers_of_base(n + 1)
+    power, inverse = powers_of_base(n + 1)
     total = np.empty(n + 1, np.uint64)
     total[0] = 0
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * power[:n], out=total[1:])
