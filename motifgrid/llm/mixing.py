@@ -110,15 +110,15 @@ def place(rows: DataFrame, weights: dict | None = None, spec: MixSpec = MixSpec(
     slots = schedule(shares, period)
     spark = rows.sparkSession
     # One row a source, at most max_sources, with `period` numbers in all.
-    known = spark.createDataFrame([(k, max(1, -(-counts[k] // spec.group)), shares[k], slots[k]) for k in counts], f"mix_name string, mix_groups long, mix_share long, mix_slots array<long>")
+    known = spark.createDataFrame([(i, k, max(1, -(-counts[k] // spec.group)), shares[k], slots[k]) for i, k in enumerate(counts)], "mix_no int, mix_name string, mix_groups long, mix_share long, mix_slots array<long>")
     drawn = F.xxhash64(F.col(key), F.lit(spec.seed))
     own = rows.select(F.struct("*").alias("mix_row"), F.col(key).alias("mix_key"), F.col(source).cast("string").alias("mix_source"), drawn.alias("mix_hash"))
     own = own.join(F.broadcast(known), F.col("mix_source").eqNullSafe(F.col("mix_name")))
     own = own.withColumn("mix_group", F.pmod("mix_hash", "mix_groups"))
-    sizes = own.groupBy("mix_name", "mix_group").agg(F.count("*").alias("mix_n"))
-    before = _running(sizes, ["mix_name"], "mix_group", "mix_n").select(F.col("mix_name").alias("mix_name2"), F.col("mix_group").alias("mix_group2"), F.col("before").alias("mix_before"))
-    order = Window.partitionBy("mix_name", "mix_group").orderBy("mix_hash", "mix_key")
-    own = own.withColumn("mix_in", F.row_number().over(order) - 1).join(before, F.col("mix_name").eqNullSafe(F.col("mix_name2")) & (F.col("mix_group") == F.col("mix_group2")))
+    sizes = own.groupBy("mix_no", "mix_group").agg(F.count("*").alias("mix_n"))
+    before = _running(sizes, ["mix_no"], "mix_group", "mix_n").select("mix_no", "mix_group", F.col("before").alias("mix_before"))
+    order = Window.partitionBy("mix_no", "mix_group").orderBy("mix_hash", "mix_key")
+    own = own.withColumn("mix_in", F.row_number().over(order) - 1).join(before, ["mix_no", "mix_group"])
     rank = F.col("mix_before") + F.col("mix_in")
     block = F.floor(rank / spec.block)
     slot = F.floor(block / F.col("mix_share")) * period + F.get("mix_slots", F.pmod(block, F.col("mix_share")).cast("int"))
