@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import sys
 import time
 from dataclasses import dataclass
@@ -45,8 +46,8 @@ def write_parts(sites: DataFrame, folder: str) -> None:
     """The report as a folder of files, each with the header, written by the executors."""
 
     def headed(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([HEADER])], names=["value"])
-        yield from batches
+        for column in itertools.chain([pa.array([HEADER])], (batch["value"] for batch in batches)):
+            yield pa.RecordBatch.from_arrays([column], names=["value"])
 
     report_lines(sites).mapInArrow(headed, "value string").write.text(folder)
 
