@@ -1,0 +1,43 @@
+import os
+import shutil
+import subprocess
+import sys
+
+import pytest
+
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+TABLES = "/root/testdata/sf0.001"
+
+
+def test_the_rest_stands_without_the_training_data_operators(tmp_path):
+    copy = tmp_path / "repo"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env={**os.environ, "PYTHONPATH": str(copy)}, capture_output=True, text=True)
+    assert out.returncode == 0, out.stderr
+    assert int(out.stdout) >= 20
+
+
+def test_nothing_else_imports_them():
+    for folder, _, names in os.walk(os.path.join(ROOT, "motifgrid")):
+        for name in names:
+            if name.endswith(".py") and os.sep + "llm" not in folder:
+                with open(os.path.join(folder, name), encoding="utf-8") as file:
+                    assert "llm" not in file.read()
+
+
+@pytest.mark.skipif(not os.path.isdir(TABLES), reason="needs the driver's tables")
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    from motifgrid.plans import catalogue
+
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{TABLES}/documents.parquet'")
+    for name, query in catalogue.QUERIES.items():
+        found, plain = query(spark, TABLES).toPandas(), con.execute(catalogue.ORACLES[name]).df()
+        columns = sorted(found.columns)
+        assert columns == sorted(plain.columns), name
+        rows = [sorted(tuple(map(str, r)) for r in frame[columns].itertuples(index=False)) for frame in (found, plain)]
+        assert rows[0] == rows[1], name
