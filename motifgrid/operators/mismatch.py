@@ -17,6 +17,8 @@ from .block import LETTER_COMPLEMENT, MATCH, Block, blocks
 
 #: Windows that are held as letters at a time.
 CHUNK = 1 << 17
+#: With so few patterns places are thinned out letter by letter before windows become masks.
+FEW = 8
 
 
 def _planes(sets: np.ndarray) -> np.ndarray:
@@ -44,6 +46,17 @@ def motif_starts(codes: np.ndarray, starts: np.ndarray, motif: np.ndarray) -> np
     return np.flatnonzero(ok)
 
 
+def thin_out(bases: np.ndarray, places: np.ndarray, pattern: np.ndarray, limit: int) -> np.ndarray:
+    """Places whose windows have at most `limit` letters outside the pattern's specific ones; most places end after a few letters."""
+    count = np.zeros(len(places), np.uint8 if limit < 200 else np.int32)
+    for seen, k in enumerate(np.flatnonzero(pattern != N), 1):
+        count += (bases[places + k] & pattern[k]) == 0
+        if seen > limit + 1 and seen % 2 == 0 and len(places):
+            live = count <= limit
+            places, count = places[live], count[live]
+    return places[count <= limit]
+
+
 class _Pattern:
     def __init__(self, number: int, forward: bool, pattern: str, motif: str, letters: str):
         self.number, self.forward, self.codes, self.motif = number, forward, encode(pattern), encode(motif)
@@ -88,8 +101,14 @@ def scan_mismatches(tiles: DataFrame, spec: SearchSpec) -> DataFrame:
         for forward in (True, False):
             side = [p for p in own if p.forward == forward]
             places = motif_starts(block.codes, starts, side[0].motif)
-            for a in range(0, len(places), CHUNK):
-                yield from chunk(block, view, places[a : a + CHUNK], side)
+            if len(side) <= FEW and all(3 * limit < (p.codes != N).sum() for p in side):
+                bases = ONLY_BASES[block.codes]
+                rounds = [(thin_out(bases, places, p.codes, limit), [p]) for p in side]
+            else:
+                rounds = [(places, side)]
+            for own_places, patterns in rounds:
+                for a in range(0, len(own_places), CHUNK):
+                    yield from chunk(block, view, own_places[a : a + CHUNK], patterns)
 
     def chunk(block: Block, view: np.ndarray, places: np.ndarray, side: list[_Pattern]):
         windows = view[places]

@@ -27,6 +27,7 @@ MISMATCH = [
     SearchSpec("NNNNN", ("ACGTN", "acgtn", "ACGTN"), 1),
     SearchSpec("NNNNN", ("NNANN",), 1, strict_gate=False),
     SearchSpec("NNNN", ("ACGT",), 9),
+    SearchSpec("NNNNNNNNNNN", ("ACGTRCGTACN", "AAAANAAAAAA"), 3),
     SearchSpec("NNNVNN", ("BDHVSW",), 2),
     SearchSpec("N" * 70 + "GG", ("ACGTN" * 14 + "NN",), 50),
 ]
