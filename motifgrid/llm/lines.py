@@ -3,7 +3,7 @@
 Every line of every document is normalised: lower case, digits as one digit,
 punctuation and blanks as single blanks. Lines of at least `min_words` words with
 the same normal form are one class. Two classes are linked if their 64-bit SimHashes
-over words differ in at most `bits` places and their normal forms are similar:
+over distinct words differ in at most `bits` places and their normal forms are similar:
 1 - edit distance / greater length >= `similarity`. Of each connected group of lines
 only the first occurrence stays, by doc_id and line number.
 
@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import discard, materialise, sieve, small_batches, table
 from .components import connected_components
-from .shingles import mix, powers_of_base
+from .shingles import mix, powers_of_base, sorted_distinct
 
 
 @dataclass(frozen=True)
@@ -97,11 +97,14 @@ class LineTable:
         self.owner, self.number, self.words, first, n = owner[keep], number[keep], n[keep], first[keep], n[keep]
         self.hash, self.print = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
         if len(keep):
-            places = np.concatenate([np.arange(a, a + c) for a, c in zip(first.tolist(), n.tolist())]) if n.sum() < len(words) else np.arange(len(words))
-            own = words[places]
             begin = np.cumsum(n) - n
-            ones = np.add.reduceat(np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1), begin, axis=0, dtype=np.int32)
-            self.hash = np.packbits(2 * ones > n[:, None], axis=1).view(np.uint64).ravel()
+            own = words[np.repeat(first - begin, n) + np.arange(n.sum())]
+            # Distinct words: how often `the` occurs says little about a line.
+            distinct = sorted_distinct(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(40) | own >> np.uint64(24))
+            first = np.searchsorted(distinct >> np.uint64(40), np.arange(len(n), dtype=np.uint64))
+            ones = np.add.reduceat(np.unpackbits(mix(distinct & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
+            count = np.diff(np.append(first, len(distinct)))
+            self.hash = np.packbits(2 * ones > count[:, None], axis=1).view(np.uint64).ravel()
             at = (np.arange(len(own)) - np.repeat(begin, n)).astype(np.uint64)
             self.print = np.column_stack([np.add.reduceat(mix(own ^ (at * np.uint64(c))), begin) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
 

@@ -34,6 +34,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def sorted_distinct(h: np.ndarray) -> np.ndarray:
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
+
+
 def powers_of_base(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64, for i < n."""
     if not _powers or len(_powers[0]) < n:
@@ -89,7 +94,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> l
     found = []
     for a, b in zip(place[:-1].tolist(), place[1:].tolist()):
         if b - a >= words:
-            found.append(np.unique(rolled[a : b - words + 1]))
+            found.append(sorted_distinct(rolled[a : b - words + 1]))
         elif b > a:
             found.append(_rolled(hashes[a:b], b - a))
         else:
