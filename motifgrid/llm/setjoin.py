@@ -10,11 +10,12 @@ target recall. Nodes of one class are dropped at every level.
 Leaves are compared exhaustively, in an order that spares pairs whose outcome
 changes nothing. First every class is compared with two pivots of its leaf; links,
 confirmed on the full sets, join classes into components. Then all pairs of a leaf
-that lie in different components are compared, in blocks where a leaf is large. In
-both steps a 128-coordinate sketch and the sets' sizes discard pairs that can't
-reach the threshold, and what is left is confirmed on the full sets, read again
-from the whole texts. A pair within one component is never needed, so a group of
-copies costs as many comparisons as it has members.
+that lie in different components are compared by 128-coordinate sketches and the
+sets' sizes, which rule out most; what they can't rule out forms families, and within
+a family every pair of different components is compared on the full sets, read again
+from the whole texts. Leaves and families that are large are compared in blocks, and
+give edges that connect what is linked, never all pairs; a pair within one component
+is never needed.
 
 Defined results: a null or empty text, or one of blanks alone, has an empty set and
 is linked with nothing. Rows with the same set are linked. Rows that share a doc_id
@@ -26,6 +27,7 @@ an empty one. Other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, table
+from .common import discard, materialise, sieve, small_batches, table
 from .components import connected_components
 from .shingles import WORDS, fingerprint, mix, sets_of
 
@@ -53,8 +55,9 @@ class JoinSpec:
     levels: int = 2
     #: Standard errors by which a sketch may fall short of the threshold.
     slack: float = 5.5
-    #: Members that are compared with a set at a time.
+    #: Members that are compared with a set at a time, and classes of a block that meets another.
     chunk: int = 256
+    block: int = 256
 
     @property
     def similarity(self) -> float:
@@ -108,7 +111,7 @@ def signatures(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
         for batch in batches:
             sets = list(sets_of(batch["text"], spec.words))
             values = np.concatenate([minwise(sets[a : a + 64]) for a in range(0, len(sets), 64)]) if sets else np.zeros((0, SKETCH), np.uint32)
-            small = np.ascontiguousarray((values >> np.uint32(24)).astype(np.uint8))
+            small = values.astype(np.uint8)  # low bits: the high ones of a minimum are nearly always 0
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"],
                 pa.array([len(s) for s in sets], pa.int64()),
@@ -169,61 +172,134 @@ def pivot_pairs(found: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFra
     return both.mapInArrow(near, "a binary, b binary").distinct()
 
 
-def crossing_pairs(found: DataFrame, classes: DataFrame, roots: DataFrame, spec: JoinSpec, block: int = 512) -> DataFrame:
-    """All pairs of a leaf in different components that the sketches can't rule out.
+def _groups(batches, keys: list[str]):
+    """(key, rows) of successive rows with equal keys, which the batches hold in sorted order."""
+    key, held = None, []
+    for batch in batches:
+        rows = list(zip(*(batch[c].to_pylist() for c in keys)))
+        starts = [0, *(k for k in range(1, len(rows)) if rows[k] != rows[k - 1]), len(rows)]
+        for x, y in zip(starts, starts[1:]):
+            if y > x and rows[x] != key:
+                if held:
+                    yield key, pa.Table.from_batches(held)
+                key, held = rows[x], []
+            held.append(batch.slice(x, y - x))
+    if held and key is not None:
+        yield key, pa.Table.from_batches(held)
+
+
+def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
+    """rows with `size`, dealt so that any two of a group meet in one (group, i, j): a group of k blocks sends a row to the k pairs that hold its own."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    rows = rows.drop("blocks", "other", "size")
+    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
+
+
+def spanning(near: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between places that connect whatever near (first x second) connects, at most one a place."""
+    none = len(first)
+    rows, columns = np.arange(none), np.full(len(second), none)
+    while near.any():
+        columns = np.where(near, rows[:, None], none).min(axis=0)
+        # A place that is in both sides carries its label across.
+        at = np.searchsorted(first, second)
+        shared = (at < none) & (first[np.minimum(at, none - 1)] == second)
+        columns[shared] = np.where(columns[shared] < none, np.minimum(columns[shared], rows[at[shared]]), columns[shared])
+        now = np.minimum(rows, np.where(near, columns[None, :], none).min(axis=1))
+        now[at[shared]] = np.minimum(now[at[shared]], columns[shared])
+        now = np.minimum(now, now[now])
+        if (now == rows).all():
+            break
+        rows = now
+    left, right = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    a, b = np.concatenate([first[left], second[right]]), np.concatenate([first[rows[left]], first[columns[right]]])
+    return a[a != b], b[a != b]
+
+
+def _sides(rows: pa.Table, key: tuple) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+    """Classes, roots as small numbers, and the places of the rows of either block."""
+    names, roots, side = rows["class"].to_pylist(), rows["root"].to_pylist(), rows["block"].to_numpy()
+    code = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    return names, np.array([code[r] for r in roots]), np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
+
+
+def _edges(names: list, near: np.ndarray, first: np.ndarray, second: np.ndarray) -> Iterator[pa.RecordBatch]:
+    a, b = spanning(near, first, second)
+    if len(a):
+        yield pa.RecordBatch.from_arrays([pa.array([names[x] for x in a.tolist()], pa.binary()), pa.array([names[x] for x in b.tolist()], pa.binary())], names=["a", "b"])
+
 
-    Leaves of one component are done. Others are compared block by block: a class of
-    a leaf of k blocks goes to the k pairs of blocks that hold its own.
+def families(found: DataFrame, classes: DataFrame, roots: DataFrame, spec: JoinSpec) -> DataFrame:
+    """(class, root, family) of every class that shares a leaf with one of another component that the sketches can't rule out.
+
+    A leaf gives no pairs but edges that connect them, at most one a member; any two
+    members that might be linked are then in one family.
     """
     own = found.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     mixed = own.groupBy("node").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where(F.col("low") != F.col("high")).select("node", "size")
-    own = own.join(mixed, "node").join(classes.select("class", "sketch", "n_shingles"), "class")
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    own = own.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    own = own.withColumn("other", other).select("node", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "class", "root", "sketch", "n_shingles")
-
-    def compare(key, rows):
-        names, roots_, sketch, n, side = rows["class"], rows["root"], _sketches(rows["sketch"]), rows["n_shingles"].to_numpy(), rows["block"].to_numpy()
-        code = {r: k for k, r in enumerate(dict.fromkeys(roots_))}
-        root = np.array([code[r] for r in roots_])
-        first, second = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
-        a, b = [], []
-        for x in first:
-            others = second[second > x] if key[1] == key[2] else second
-            others = others[(root[others] != root[x])]
-            if len(others):
-                near = others[_agree(spec, sketch[others], sketch[x], n[others], n[x])]
-                a += [names[x]] * len(near)
-                b += [names[y] for y in near.tolist()]
-        return a, b
+    own = own.select("node", "class", "root").join(mixed, "node").join(classes.select("class", "sketch", "n_shingles"), "class")
 
     def run(batches):
-        key, held = None, []
-        for batch in batches:
-            rows = list(zip(*(batch[c].to_pylist() for c in ("node", "i", "j"))))
-            starts = [0, *(k for k in range(1, len(rows)) if rows[k] != rows[k - 1]), len(rows)]
-            for x, y in zip(starts, starts[1:]):
-                if rows and rows[x] != key:
-                    if held:
-                        yield from pairs(key, held)
-                    key, held = rows[x], []
-                held.append(batch.slice(x, y - x))
-        if held:
-            yield from pairs(key, held)
-
-    def pairs(key, held):
-        joined = pa.Table.from_batches(held).combine_chunks().to_batches()
-        if not joined:
-            return
-        batch = joined[0]
-        a, b = compare(key, {"class": batch["class"].to_pylist(), "root": batch["root"].to_pylist(), "sketch": batch["sketch"], "n_shingles": batch["n_shingles"], "block": batch["block"]})
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-    dealt = own.repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
-    both = dealt.mapInArrow(run, "a binary, b binary")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        for key, rows in _groups(batches, ["node", "i", "j"]):
+            names, root, first, second = _sides(rows, key)
+            sketch, n = _sketches(rows["sketch"].combine_chunks()), rows["n_shingles"].to_numpy()
+            near = np.zeros((len(first), len(second)), bool)
+            for k, x in enumerate(first):
+                apart = np.flatnonzero(root[second] != root[x])
+                if len(apart):
+                    near[k, apart] = _agree(spec, sketch[second[apart]], sketch[x], n[second[apart]], n[x])
+            yield from _edges(names, near, first, second)
+
+    edges = _in_blocks(own, "node", spec.block).mapInArrow(run, "a binary, b binary")
+    named = connected_components(edges).select(F.col("node").alias("class"), F.col("root").alias("family"))
+    return named.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "family")
+
+
+def linked_edges(sets: list[np.ndarray], sketch: np.ndarray, root: np.ndarray, first: np.ndarray, second: np.ndarray, spec: JoinSpec) -> list[tuple[int, int]]:
+    """Links between first and second that join different roots, until none is left; pairs that earlier links have joined aren't compared.
+
+    A pair that the sketches can't rule out is counted exactly: the tokens of one set
+    are marked in a table of all tokens, and the marks of the others' tokens summed.
+    """
+    n = np.array([len(s) for s in sets])
+    label, found = root.copy(), []
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    codes = np.split(code, np.cumsum(n)[:-1])
+    marks = np.zeros(code.max(initial=0) + 1, np.int64)
+    for x in first:
+        others = second[label[second] != label[x]]
+        if not len(others):
+            continue
+        others = others[_agree(spec, sketch[others], sketch[x], n[others], n[x])]
+        if not len(others):
+            continue
+        marks[codes[x]] = 1
+        shared = np.add.reduceat(marks[np.concatenate([codes[y] for y in others])], np.cumsum(n[others]) - n[others])
+        marks[codes[x]] = 0
+        for y in others[spec.denominator * shared >= spec.numerator * (n[x] + n[others] - shared)]:
+            if label[x] != label[y]:
+                found.append((int(x), int(y)))
+                label[label == label[y]] = label[x]
+    return found
+
+
+def confirm_families(rows: DataFrame, classes: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
+    """Links that connect the different components of each family as all its links do; every pair is compared, on the full sets."""
+    sizes = rows.groupBy("family").agg(F.count("*").alias("size"))
+    rows = rows.join(sizes, "family").join(classes.select("class", "sketch"), "class").join(texts, "class")
+    rows = _in_blocks(rows, "family", spec.block)
+
+    def run(batches):
+        for key, group in _groups(batches, ["family", "i", "j"]):
+            names, root, first, second = _sides(group, key)
+            sets = [s for chunk in group["text"].chunks for s in sets_of(chunk, spec.words)]
+            sound = np.array([fingerprint(s) == name for s, name in zip(sets, names)])  # else another text of a repeated doc_id
+            edges = linked_edges(sets, _sketches(group["sketch"].combine_chunks()), root, first[sound[first]], second[sound[second]], spec)
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([names[e[k]] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return rows.select("family", "i", "j", "block", "class", "root", "sketch", "text").mapInArrow(run, "a binary, b binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -255,11 +331,10 @@ def confirm(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
     return rows.repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first()).mapInArrow(compare, "a binary, b binary").distinct()
 
 
-def _texts(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """One text of every class that is in a pair."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(classes.select("class", F.col("first").alias("id")), "class")
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(wanted.hint("shuffle_hash"), "id").select("class", "text")
-    return materialise(found, "texts")
+def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """(class, text), one text of every wanted(class, id)."""
+    found = sieve(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), wanted.select("id"), "id", ["text"])
+    return found.join(wanted.hint("shuffle_hash"), "id").select("class", "text")
 
 
 def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
@@ -271,17 +346,22 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     classes = materialise(classes, "classes")
     found = leaves(classes, spec)
     pairs = materialise(pivot_pairs(found, classes, spec), "pairs")
-    links = materialise(confirm(pairs, _texts(pairs, classes, docs), spec), "links")
-    roots = connected_components(links)
-    pairs = materialise(crossing_pairs(found, classes, roots, spec), "pairs")
-    more = confirm(pairs, _texts(pairs, classes, docs), spec)
+    first = classes.select("class", F.col("first").alias("id"))
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(first, "class"), "wanted")
+    roots = connected_components(confirm(pairs, _texts(wanted, docs), spec))
+    discard(pairs, wanted)
+    rest = materialise(families(found, classes, roots, spec), "families")
+    wanted = materialise(rest.select("class").distinct().join(first, "class"), "wanted")
+    more = confirm_families(rest, classes, _texts(wanted, docs), spec)
     same_id = known.select("doc_id", "class").distinct().groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b"))
     chain = known.join(same_id.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
     roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(chain))
+    discard(rest, wanted)
     named = roots.join(classes.select(F.col("class").alias("node"), "first"), "node").select("node", "root", "first")
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select(F.col("node").alias("class"), "component")
-    named = classes.select("class", "first").join(named, "class", "left").select("class", F.coalesce("component", "first").alias("component"))
+    named = materialise(classes.select("class", "first").join(named, "class", "left").select("class", F.coalesce("component", "first").alias("component")), "components")
     rows = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
+    discard(classes)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
