@@ -321,7 +321,8 @@ def drop_repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFra
     """
     docs = docs.drop("n_lines", "n_removed", "n_left")
     repeated = repeated_lines(docs, spec).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__gone"))
-    rows = docs.join(repeated, F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    # As many rows as documents with repeats: never broadcast.
+    rows = docs.join(repeated.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
     small_batches(docs.sparkSession, 256)
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("n_left", LongType())])
     texts, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
