@@ -4,7 +4,7 @@ Training counts, over labelled documents, in how many toxic and how many clean
 ones each word and each word prefix occurs. A feature's toxic share has a Dirichlet
 prior centred on the share of its longest known prefix (the root: all documents),
 so an unseen word has the log-odds of its longest known prefix. A token's score is
-its log-odds less a drift. The linear-time scan of Ruzzo and Tompa finds all
+its log-odds, within `cap`, less a drift; a word that follows itself adds nothing. The linear-time scan of Ruzzo and Tompa finds all
 disjoint maximal segments. The greatest segment of a clean document of n tokens
 follows an extreme-value law, P(S < x) = exp(-K n exp(-lambda x)), fitted by maximum
 likelihood to clean labelled documents that took no part in the counts; a segment is
@@ -48,6 +48,7 @@ class ToxicitySpec:
     longest_prefix: int = 8
     strength: float = 4.0
     drift: float = 0.75
+    cap: float = 6.0
     significance: float = 0.01
 
 
@@ -79,7 +80,10 @@ class ToxicityModel:
         for word in set(words):
             if word not in cache:
                 cache[word] = self.weight(word)
-        return np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+        found = np.fromiter(map(cache.__getitem__, words), np.float64, len(words))
+        repeats = [i for i in np.flatnonzero(found > 0).tolist() if i and words[i] == words[i - 1]]
+        found[repeats] = -self.spec.drift
+        return found
 
     def normalised(self, scores: np.ndarray, n: int) -> np.ndarray:
         return self.decay * scores - math.log(self.scale * max(n, 1))
@@ -187,7 +191,7 @@ def _share_model(counts: list[tuple[str, int, int]], toxic: int, clean: int, spe
         share[name] = (bad + spec.strength * prior) / (seen + spec.strength)
         own, before = logit(share[name]) - logit(base), logit(prior) - logit(base)
         if abs(own - before) >= 0.1 or max(own, before) > spec.drift:
-            odds[name] = own
+            odds[name] = max(-spec.cap, min(spec.cap, own))
         else:
             share[name] = prior
     return odds
