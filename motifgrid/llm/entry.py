@@ -16,4 +16,4 @@ QUERIES = {
     "op9_line_dedup": lines.op9_line_dedup,
     "op10_url_filters": urlfilter.op10_url_filters,
 }
-ORACLES = chat.ORACLE | setjoin.ORACLE | topk.ORACLE
+ORACLES = chat.ORACLE | setjoin.ORACLE | topk.ORACLE | urlfilter.ORACLE

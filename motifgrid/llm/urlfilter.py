@@ -87,9 +87,9 @@ def longest_rule(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[C
 
 
 def lexical(path: Column) -> Column:
-    """Segments of a path, variable parts replaced."""
-    path = F.regexp_replace(path, r"(?<![0-9A-Za-z])(?=[0-9a-f-]*[0-9])[0-9a-f]{8,}(-[0-9a-f]{4,})*(?![0-9A-Za-z])", "{h}")
-    return F.filter(F.split(F.regexp_replace(path, r"[0-9]+", "{n}"), "/"), lambda s: s != "")
+    """Segments of a path, variable parts replaced: long hex strings with a digit, then runs of digits."""
+    hexes = lambda s: s.rlike("^[0-9a-f-]{8,}$") & s.rlike("[0-9]")
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(hexes(s), "{h}").otherwise(F.regexp_replace(s, "[0-9]+", "{n}")))
 
 
 def judge_templates(paths: DataFrame, tree: TemplateTree = TemplateTree()) -> DataFrame:
@@ -148,3 +148,35 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, tree: Templat
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url, judged."""
     return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def _oracle(rules: tuple[Rule, ...] = RULES, tree: TemplateTree = TemplateTree()) -> str:
+    """The query as SQL, a table for each level of the tree."""
+    longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
+    which = lambda field: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, field)}'" for r in longest) + " END"
+    parts = [
+        "u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages)",
+        f"p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)",
+        f"""r AS (SELECT *, {which("name")} AS rule, {which("verdict")} AS ruled, list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''),
+  lambda s: CASE WHEN regexp_full_match(s, '[0-9a-f-]{{8,}}') AND regexp_matches(s, '[0-9]') THEN '{{h}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS lex FROM p)""",
+        "t0 AS (SELECT host, lex, '' AS node, count(*) AS n, count(CASE WHEN ruled = 'allow' THEN 1 END) AS good, count(ruled) AS seen FROM r GROUP BY ALL)",
+    ]
+    for k in range(tree.levels):
+        parts += [
+            f"c{k} AS (SELECT host, node, lex[{k + 1}] AS seg, sum(n) AS n, sum(good) AS good, sum(seen) AS seen FROM t{k} WHERE len(lex) > {k} GROUP BY ALL)",
+            f"n{k} AS (SELECT host, node, count(*) AS children, sum(n) AS n, (sum(good) + 1) / (sum(seen) + 2) AS share FROM c{k} GROUP BY ALL)",
+            f"""k{k} AS (SELECT host, node, seg, CASE WHEN (children > {tree.fan_out} AND c.n < {tree.rare} * m.n)
+  OR (children > 1 AND abs((good + share) / (seen + 1) - share) <= {tree.z} * sqrt(share * (1 - share) / greatest(seen, 1))) THEN '*' ELSE seg END AS branch FROM c{k} c JOIN n{k} m USING (host, node))""",
+            f"t{k + 1} AS (SELECT t.host, lex, t.node || coalesce('/' || branch, '') AS node, n, good, seen FROM t{k} t LEFT JOIN k{k} b ON t.host = b.host AND t.node = b.node AND lex[{k + 1}] = seg)",
+        ]
+    s = tree.strength
+    return "WITH " + ",\n".join(parts) + f""",
+t AS (SELECT host, lex, n, good, seen, CASE WHEN len(lex) > {tree.levels} THEN node || '/**' WHEN node = '' THEN '/' ELSE node END AS template FROM t{tree.levels}),
+g AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(seen), 0) + 1) AS share FROM t),
+h AS (SELECT host, (sum(good) + {s} * any_value(share)) / (sum(seen) + {s}) AS share FROM t, g GROUP BY host),
+v AS (SELECT host, template, (sum(good) + {s} * any_value(share)) / (sum(seen) + {s}) AS purity FROM t JOIN h USING (host) GROUP BY host, template)
+SELECT page_id, r.host, path, rule, coalesce(ruled, CASE WHEN purity < {tree.threshold} THEN 'block' ELSE 'allow' END) AS verdict, t.template, purity
+FROM r JOIN t USING (host, lex) JOIN v ON v.host = r.host AND v.template = t.template"""
+
+
+ORACLE = {"op10_url_filters": _oracle()}
