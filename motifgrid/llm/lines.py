@@ -113,15 +113,25 @@ class LineTable:
         return [data[i : i + 16] for i in range(0, len(data), 16)]
 
 
-def _runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+def _runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first text, its first line, texts) of about `limit` characters; a longer text comes in pieces of whole lines."""
     a, size = 0, 0
     for i, t in enumerate(texts):
         if i > a and size + len(t or "") > limit:
-            yield a, texts[a:i]
+            yield a, 0, texts[a:i]
             a, size = i, 0
-        size += len(t or "")
+        if len(t or "") > 2 * limit:
+            line, at = 0, 0
+            while at <= len(t):
+                end = t.find("\n", at + limit)
+                end = len(t) if end < 0 else end
+                yield i, line, [t[at:end]]
+                line, at = line + t.count("\n", at, end) + 1, end + 1
+            a, size = i + 1, 0
+        else:
+            size += len(t or "")
     if a < len(texts):
-        yield a, texts[a:]
+        yield a, 0, texts[a:]
 
 
 def line_table(docs: DataFrame, spec: LineSpec) -> DataFrame:
@@ -131,9 +141,9 @@ def line_table(docs: DataFrame, spec: LineSpec) -> DataFrame:
     def run(batches):
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            for a, texts in _runs(batch["text"].to_pylist()):
+            for a, line, texts in _runs(batch["text"].to_pylist()):
                 found = LineTable(texts, spec.min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + found.owner], pa.int64()), pa.array(found.number, pa.int32()), pa.array(found.prints(), pa.binary()), pa.array(found.hash.view(np.int64))], names=["doc_id", "line", "print", "hash"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a + found.owner], pa.int64()), pa.array(found.number + line, pa.int32()), pa.array(found.prints(), pa.binary()), pa.array(found.hash.view(np.int64))], names=["doc_id", "line", "print", "hash"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     return rows.mapInArrow(run, "doc_id long, line int, print binary, hash long")

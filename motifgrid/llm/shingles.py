@@ -65,8 +65,23 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and how many words precede each document."""
+    """Hashes of all words in order, and how many words precede each document.
+
+    One text of more than a block is read in pieces that end with a blank, so only a
+    word of that length needs more memory than a block.
+    """
     n = len(data)
+    if len(offsets) == 2 and n > 2 * BLOCK_BYTES:
+        parts, a = [], 0
+        while a < n:
+            b = min(n, a + BLOCK_BYTES)
+            while b < n and not (ends := np.flatnonzero(_BLANK[data[b : b + 4096]])).size:
+                b = min(n, b + 4096)
+            b = min(n, b + int(ends[0]) + 1) if b < n else n
+            parts.append(word_hashes(data[a:b], np.array([0, 0, b - a]))[0])
+            a = b
+        found = np.concatenate(parts)
+        return found, np.array([0, len(found)])
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     blank = _BLANK[data]

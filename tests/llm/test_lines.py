@@ -45,6 +45,18 @@ def test_line_tables_find_the_same_lines_in_any_run():
     assert len({p for p, _ in prints.values()}) == len(prints)
 
 
+def test_long_texts_come_in_pieces_of_whole_lines():
+    draw = random.Random(6)
+    texts = [None, "a", "\n".join("x" * draw.randint(0, 30) for _ in range(200)), "", "b\nc", "y" * 500, "z\n" * 60]
+    for limit in (1, 10, 50, 10_000):
+        found = {}
+        for first, line, run in lines._runs(texts, limit):
+            for k, t in enumerate(run):
+                for n, x in enumerate((t or "").split("\n")):
+                    assert found.setdefault((first + k, line + n if k == 0 else n), x) == x
+        assert found == {(k, n): x for k, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))}
+
+
 @pytest.mark.parametrize("classes", [1, 1 << 22, 1 << 26, 1 << 40])
 def test_pigeonhole_is_exact(classes):
     spec, draw = LineSpec(), random.Random(3)
