@@ -55,8 +55,9 @@ class JoinSpec:
     levels: int = 2
     #: Standard errors by which a sketch may fall short of the threshold.
     slack: float = 5.5
-    #: Members that are compared with a set at a time, and classes of a block that meets another.
+    #: Members that are compared with a set at a time; classes of a block that meets another, by sketches and by texts.
     chunk: int = 256
+    sketch_block: int = 2048
     block: int = 256
 
     @property
@@ -251,7 +252,7 @@ def families(found: DataFrame, classes: DataFrame, roots: DataFrame, spec: JoinS
                     near[k, apart] = _agree(spec, sketch[second[apart]], sketch[x], n[second[apart]], n[x])
             yield from _edges(names, near, first, second)
 
-    edges = _in_blocks(own, "node", spec.block).mapInArrow(run, "a binary, b binary")
+    edges = _in_blocks(own, "node", spec.sketch_block).mapInArrow(run, "a binary, b binary")
     named = connected_components(edges).select(F.col("node").alias("class"), F.col("root").alias("family"))
     return named.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "family")
 

@@ -22,6 +22,15 @@ def test_shingle_sets():
     assert len(set(prints.values())) == len(prints)
 
 
+def test_a_text_of_many_blocks_has_the_same_set(monkeypatch):
+    draw = random.Random(3)
+    text = "".join(draw.choices(["ab ", "Cd\n", "é", "x" * 30, "   "], k=3000))
+    whole = next(shingles.sets_of(pa.array([text])))
+    monkeypatch.setattr(shingles, "BLOCK_BYTES", 64)
+    assert np.array_equal(whole, next(shingles.sets_of(pa.array([text]))))
+    assert [len(s) for s in shingles.sets_of(pa.array([text, "a", None, "b" * 5000]))] == [len(whole), 1, 0, 1]
+
+
 def test_components(spark):
     draw = random.Random(2)
     edges = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 450)] + [(500, k) for k in range(501, 600)]
@@ -46,7 +55,7 @@ def corpus(draw, families=12):
     return texts + texts[:3] + [None, "", " \n", None, "", "Solo", "solo"]
 
 
-@pytest.mark.parametrize("spec", [JoinSpec(), JoinSpec(leaf=4, levels=3, block=5, chunk=2)])
+@pytest.mark.parametrize("spec", [JoinSpec(), JoinSpec(leaf=4, levels=3, sketch_block=7, block=5, chunk=2)])
 def test_near_duplicates_against_brute_force(spark, spec):
     draw = random.Random(7)
     rows = list(enumerate(corpus(draw)))
@@ -64,12 +73,16 @@ def test_a_large_family_in_blocks(spark):
     rows = [(i, " ".join(brute.variant(draw, base, 0.022, vocabulary))) for i in range(150)]
     expected = brute.near_duplicates(rows)
     assert 1 < len({c for _, c in expected.values()}) < 100
-    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), JoinSpec(leaf=16, block=32)).collect()
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), JoinSpec(leaf=16, sketch_block=40, block=32)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == expected
 
 
 def test_null_and_repeated_ids(spark):
     long = " ".join(f"a{k}" for k in range(50))
+    huge = " ".join(str(k) for k in range(100_000))
+    rows = [(20, huge), (21, huge + " more")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(20, 20), (21, 20)]
     rows = [(None, long), (5, long), (3, long), (3, long), (9, "one two three four five six"), (3, "one two three four five six"), (None, None)]
     found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r["doc_id"] or -1, r["component_id"], r["kept"]) for r in found if r["doc_id"] is not None) == [(3, 3, True)] * 3 + [(5, 3, False), (9, 3, False)]
