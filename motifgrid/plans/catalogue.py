@@ -20,11 +20,27 @@ from . import sql
 from .spec import SearchSpec
 
 GUIDES = ("TGCTGATACTCCCTGCTAACNNN", "TAGCTCTTGCTGGCCGAGGANNN")
+
+
+def made_up_guides(n: int, length: int = 20, motif: str = "NNN") -> tuple[str, ...]:
+    """n different guides, the same on every machine: letters from a linear congruence."""
+    state, out = 1, []
+    for _ in range(n):
+        letters = ""
+        for _ in range(length):
+            state = (state * 6364136223846793005 + 1442695040888963407) % (1 << 64)
+            letters += "ACGT"[state >> 62]
+        out.append(letters + motif)
+    return tuple(out)
+
+
 NRG = SearchSpec("N" * 21 + "RG", GUIDES, 7)
 SPECS = {
     "mismatch_scan_nrg": NRG,
     "mismatch_scan_pam_first": SearchSpec("TTTN" + "N" * 20, ("NNNNATTTTGTTCGCTGATGATGA",), 9),
     "mismatch_scan_multi_guide": SearchSpec("N" * 21 + "GG", (*GUIDES, "TGGTCTGTTAAGAAGTTAAANNN", "ACCGTAGGGGTAATTAAGTTNNN", "GACAAGTTGATTCTTCTGTTNNN", GUIDES[0]), 8),
+    "mismatch_scan_100_guides": SearchSpec("N" * 21 + "GG", made_up_guides(100), 8),
+    "mismatch_scan_25mers_six_letter_pam": SearchSpec("N" * 25 + "NNGRRT", made_up_guides(4, 25, "NNNNNN"), 14),
     "mismatch_scan_no_pam": SearchSpec("N" * 12, ("TGCTGATACTCC",), 2),
     "mismatch_iupac_guide": SearchSpec("N" * 13 + "NGG", ("TRCYGSWKCMBNDNNN",), 1),
     "mismatch_genome_n": SearchSpec("N" * 11, ("TGCTNNNNTAC",), 2),
