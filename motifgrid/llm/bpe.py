@@ -13,7 +13,8 @@ Texts of one chunk are encoded where they are read; only longer ones are dealt o
 by chunk.
 
 Defined results: a null or empty text has no ids. Repeated rows are encoded each.
-A null doc_id stays null. An empty table has no rows. Other columns are ignored.
+A null doc_id stays null. An empty table has no rows. Columns in `keep` are carried
+along (row, n, window, begin, end and found are taken), others are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import small_batches, table
 
@@ -113,18 +114,20 @@ def stitchable(found: list[int], window: str, begin: int, overlap: int) -> list[
     return [begin + x for x in found if (x <= 2 * overlap or x >= n - 2 * overlap) and 0 < x < n and window[x] in BLANKS and not window[x - 1].isspace()]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, pattern: str, finish: Callable, schema: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """finish(bpe, doc_id, text, ids), a row of schema, for each row of docs(doc_id, text)."""
+def encode_documents(docs: DataFrame, tokenizer_path: str, pattern: str, finish: Callable, schema: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """finish(bpe, doc_id, text, ids), a row of schema, for each row of docs(doc_id, text, keep...), and the columns in keep."""
     small_batches(docs.sparkSession, 256)
+    kept = ["doc_id", *keep]
+    out = StructType([*StructType.fromDDL(schema).fields, *(docs.schema[c] for c in keep)])
     fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields]
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)], names=[n for n, _ in fields])
+    def batch_of(rows: list[tuple], beside: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], t) for i, (_, t) in enumerate(fields)), *beside], names=[*(n for n, _ in fields), *keep])
 
     def short(batches):
         bpe = ByteBPE.load(tokenizer_path, pattern)
         for batch in batches:
-            yield batch_of([finish(bpe, doc, text or "", bpe.encode(text or "")) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())])
+            yield batch_of([finish(bpe, doc, text or "", bpe.encode(text or "")) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())], [batch[c] for c in keep])
 
     def pre_tokenise(batches):
         bpe = ByteBPE.load(tokenizer_path, pattern)
@@ -142,16 +145,16 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, pattern: str, finish:
             at = begin + len(part)
         text = "".join(text)
         row = finish(bpe, found["doc_id"][0].as_py(), text, bpe.encode(text, bpe.stitches(text, found["found"].to_pylist())))
-        return pa.Table.from_batches([batch_of([row])])
+        return pa.Table.from_batches([batch_of([row], [found[c].slice(0, 1).combine_chunks() for c in keep])])
 
-    rows = docs.select("doc_id", "text", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+    rows = docs.select(*kept, "text", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
     begins = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk)), lambda a: F.struct(F.greatest(a - overlap, F.lit(0)).alias("begin"), F.least(a + chunk + overlap, F.col("n")).alias("end")))
     # Whatever the document's id, a text is one row of the scan; the row's number keeps repeated rows apart.
-    cut = rows.where(F.col("n") > chunk).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "n", "text", F.explode(begins).alias("w"))
-    cut = cut.select("row", "doc_id", "n", F.col("w.begin").alias("begin"), F.col("w.end").alias("end"), F.expr("substring(text, w.begin + 1, w.end - w.begin)").alias("window"))
-    read = cut.mapInArrow(pre_tokenise, "row long, doc_id long, begin int, end int, window string, found array<int>")
-    long = read.groupBy("row").applyInArrow(stitch, schema)
-    return rows.where(F.col("n") <= chunk).select("doc_id", "text").mapInArrow(short, schema).unionByName(long)
+    cut = rows.where(F.col("n") > chunk).withColumn("row", F.monotonically_increasing_id()).select("row", *kept, "n", "text", F.explode(begins).alias("w"))
+    cut = cut.select("row", *kept, "n", F.col("w.begin").alias("begin"), F.col("w.end").alias("end"), F.expr("substring(text, w.begin + 1, w.end - w.begin)").alias("window"))
+    read = cut.mapInArrow(pre_tokenise, StructType([f for f in cut.schema.fields if f.name != "n"]).add("found", ArrayType(IntegerType())))
+    long = read.groupBy("row").applyInArrow(stitch, out)
+    return rows.where(F.col("n") <= chunk).select(*kept, "text").mapInArrow(short, out).unionByName(long)
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

@@ -70,11 +70,15 @@ def test_each_stage_against_brute_force(spark, folder):
     assert whole == last
 
 
-def test_mix_order_is_kept_in_the_files(spark, folder, tmp_path):
+def test_the_order_of_the_mix_reaches_the_tokens(spark, folder, tmp_path):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    mixed = corpus_pipeline.source_mix(spark, docs, folder)
-    first = [r["source"] for r in mixed.limit(64).collect()]
-    assert {s: first.count(s) for s in set(first)} == {f"s{k}": 16 for k in range(4)}
+    corpus_pipeline.source_mix(spark, docs, folder).write.parquet(str(tmp_path / "mixed"))
+    tokens = corpus_pipeline.tokenize(spark, spark.read.parquet(str(tmp_path / "mixed")), folder).select("doc_id", "mix_part", "mix_row").collect()
+    source = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    order = [source[r["doc_id"]] for r in sorted(tokens, key=lambda r: (r["mix_part"], r["mix_row"]))]
+    assert len(order) == docs.count()
+    for at in range(64, len(order) - 64, 64):
+        assert {s: order[at : at + 64].count(s) for s in source.values()} == {f"s{k}": 16 for k in range(4)}
 
 
 def test_empty_tables(spark, folder, tmp_path):
