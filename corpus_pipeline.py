@@ -7,6 +7,7 @@ kept; all but the last return the columns of documents.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,9 +43,17 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text, with digests of the ids and of the decoded bytes."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return bpe.encode_documents(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, bpe.tokens, bpe.TOKENS)
+    """Token ids of every whole text, with digests of the ids and of the decoded bytes.
+
+    mix_part and mix_row, the file and row that a document was read from, keep the
+    order of the mix for whoever reads the tokens; they are null if docs isn't read
+    from files.
+    """
+    try:
+        rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("_metadata.file_name").alias("mix_part"), F.col("_metadata.row_index").alias("mix_row"))
+    except AnalysisException:
+        rows = docs.select(F.col("doc_id").cast("long"), "text", F.lit(None).cast("string").alias("mix_part"), F.lit(None).cast("long").alias("mix_row"))
+    return bpe.encode_documents(rows, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, bpe.tokens, bpe.TOKENS, keep=("mix_part", "mix_row"))
 
 
 STAGES = [
