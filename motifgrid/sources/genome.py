@@ -48,21 +48,25 @@ def first_byte(spark: SparkSession, path: str) -> int:
         stream.close()
 
 
-def fasta_records(text: DataFrame) -> DataFrame:
+def fasta_records(text: DataFrame, max_line: int | None = None) -> DataFrame:
     """(chr_name, seq) of a column `value` of records, as cut at `\\n>`; sequences without bases are left out.
 
     The name is the whole header; line ends of either kind are taken out. A sequence
-    with lines but without a name fails the query.
+    with lines but without a name fails the query, and so does a line of more than
+    max_line bases, if there is such a limit.
     """
     value = F.regexp_replace("value", "^>", "")
     rows = text.select(F.substring_index(value, "\n", 1).alias("head"), value.alias("value"))
     rows = rows.select(F.regexp_replace("head", "\r$", "").alias("chr_name"), F.when(F.instr("value", "\n") > 0, F.expr("substring(value, length(head) + 2)")).otherwise("").alias("body"))
     nameless = (F.col("chr_name") == "") & (F.col("body") != "")
     body = F.when(nameless, F.raise_error(F.lit("> must be followed by a name")).cast("string")).otherwise(F.col("body"))
+    if max_line is not None:
+        long = F.exists(F.split("body", "\r?\n"), lambda line: F.length(line) > max_line)
+        body = F.when(long, F.raise_error(F.lit(f"a line has more than {max_line} bases")).cast("string")).otherwise(body)
     return rows.select("chr_name", F.regexp_replace(body, "\r?\n|\r$", "").cast("binary").alias("seq")).where(F.length("seq") > 0)
 
 
-def read_fasta(spark: SparkSession, path: str) -> DataFrame:
+def read_fasta(spark: SparkSession, path: str, max_line: int | None = None) -> DataFrame:
     """Sequences of a FASTA file, or of all `.fa` files of a folder, numbered apart even if their names are equal."""
     files = _files(spark, path)
     for file in files:
@@ -70,7 +74,7 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
             raise BadFileFormat(f"{file}: a FASTA file starts with >")
     if not files:
         return spark.createDataFrame([], GENOME)
-    records = fasta_records(spark.read.text(files, lineSep="\n>"))
+    records = fasta_records(spark.read.text(files, lineSep="\n>"), max_line)
     return records.select(F.monotonically_increasing_id().alias("chr_ord"), "chr_name", "seq")
 
 

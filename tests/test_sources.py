@@ -26,6 +26,9 @@ def test_fasta(spark, tmp_path):
     (tmp_path / "nameless.fa").write_text(">a\nA\n>\nACGT\n")
     with pytest.raises(Exception, match="followed by a name"):
         read_fasta(spark, str(tmp_path / "nameless.fa")).collect()
+    assert read_fasta(spark, str(path), max_line=4).count() == 3
+    with pytest.raises(Exception, match="more than 3 bases"):
+        read_fasta(spark, str(path), max_line=3).collect()
     (tmp_path / "nothing.fa").write_text("")
     assert read_fasta(spark, str(tmp_path / "nothing.fa")).count() == 0
 
