@@ -61,7 +61,7 @@ def fasta_records(text: DataFrame, max_line: int | None = None) -> DataFrame:
     nameless = (F.col("chr_name") == "") & (F.col("body") != "")
     body = F.when(nameless, F.raise_error(F.lit("> must be followed by a name")).cast("string")).otherwise(F.col("body"))
     if max_line is not None:
-        long = F.exists(F.split("body", "\r?\n"), lambda line: F.length(line) > max_line)
+        long = F.exists(F.split("body", "\r?\n|\r$"), lambda line: F.length(line) > max_line)
         body = F.when(long, F.raise_error(F.lit(f"a line has more than {max_line} bases")).cast("string")).otherwise(body)
     return rows.select("chr_name", F.regexp_replace(body, "\r?\n|\r$", "").cast("binary").alias("seq")).where(F.length("seq") > 0)
 
