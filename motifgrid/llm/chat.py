@@ -113,25 +113,55 @@ def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate()) -> Da
     return _conversations(rows).mapInArrow(expand, EXAMPLES)
 
 
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
+
+
+class _Digest:
+    """What the examples of one conversation say, in their order."""
+
+    def __init__(self, conv: int | None, template: ChatTemplate):
+        self.conv, self.template, self.unescape = conv, template, template.coder()[1]
+        self.loss, self.loss_chars, self.n, self.text = hashlib.sha256(), 0, 0, ""
+
+    def add(self, text: str, begin: int, end: int) -> None:
+        target = self.unescape(text[begin:end])
+        self.loss.update(target.encode("utf-8", "surrogatepass"))
+        self.loss_chars += len(target)
+        self.n, self.text = self.n + 1, text
+
+    def row(self) -> tuple:
+        turns = self.template.parse(self.text)
+        said = hashlib.sha256()
+        for role, text in turns:
+            said.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
+        return self.conv, len(turns), said.hexdigest(), self.loss_chars, self.loss.hexdigest(), len(self.text), self.n
+
+
 def read_back(examples: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Digests of each conversation, taken from its examples' texts and masks alone."""
-    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
-
-    def digest(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
-        _, unescape = template.coder()
-        found = found.sort_by("example")
-        turns_of, loss_of, turns, chars, loss_chars = hashlib.sha256(), hashlib.sha256(), [], 0, 0
-        for text, begin, end in zip(*(found[c].to_pylist() for c in ("text", "target_start", "target_end"))):
-            target = unescape(text[begin:end])
-            loss_of.update(target.encode("utf-8", "surrogatepass"))
-            loss_chars += len(target)
-            chars = len(text)
-        turns = template.parse(text)
-        for role, said in turns:
-            turns_of.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-        return pa.table({"conv_id": pa.array([key[0].as_py()], pa.int64()), "n_turns": pa.array([len(turns)], pa.int64()), "turns_sha256": [turns_of.hexdigest()], "loss_chars": pa.array([loss_chars], pa.int64()), "loss_sha256": [loss_of.hexdigest()], "formatted_chars": pa.array([chars], pa.int64()), "n_examples": pa.array([found.num_rows], pa.int64())})
-
-    return examples.select("conv_id", "example", "text", "target_start", "target_end").groupBy("conv_id").applyInArrow(digest, schema)
+    """Digests of each conversation, taken from its examples' texts and masks alone.
+
+    A conversation's examples stand together in their order, as format_chats() leaves
+    them; so they are read in one pass and nothing is shuffled.
+    """
+
+    def read(batches):
+        now = None
+        for batch in batches:
+            rows = []
+            for conv, number, text, begin, end in zip(*(batch[c].to_pylist() for c in ("conv_id", "example", "text", "target_start", "target_end"))):
+                if number == 0:
+                    rows += [now.row()] if now else []
+                    now = _Digest(conv, template)
+                now.add(text, begin, end)
+            yield batch_of(rows)
+        if now:
+            yield batch_of([now.row()])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[part.split()[0] for part in DIGESTS.split(", ")])
+
+    return examples.select("conv_id", "example", "text", "target_start", "target_end").mapInArrow(read, DIGESTS)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
