@@ -157,10 +157,11 @@ def _fasta_query(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names; a temporary one only where none is named."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='motifgrid-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='motifgrid-')}")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 

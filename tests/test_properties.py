@@ -1,0 +1,43 @@
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from motifgrid.functions import alphabet as a
+from motifgrid.functions.align import best_alignment, edit_distance, match_table
+from motifgrid.operators.bulge import gap_places, shapes
+from motifgrid.sources.genome import parse_2bit, write_2bit
+
+mixed = st.text("ACGTRYSWKMBDHVNacgtn", max_size=40)
+bases = st.text("ACGTN", max_size=60)
+
+
+@given(mixed)
+def test_reverse_complement_undoes_itself(text):
+    assert a.reverse_complement(a.reverse_complement(text)) == text
+    assert a.COMPLEMENT[a.encode(text)].tolist() == a.encode(a.complement(text)).tolist()
+    assert a.decode(a.encode(text)).decode() == text.upper()
+
+
+@given(st.lists(st.tuples(st.text("abc 1é", min_size=1, max_size=9), bases), max_size=5))
+def test_2bit_round_trip(rows):
+    assert [(n, s.decode()) for n, s in parse_2bit(write_2bit(rows))] == rows
+
+
+@given(st.text("ACGT", min_size=1, max_size=10), st.text("ACGT", max_size=16))
+def test_distance_is_the_best_alignment_s_cost(pattern, text):
+    found = best_alignment(pattern, text, 99, 9, 9)
+    assert edit_distance(match_table(pattern), text) == found.mismatches + found.dna_bulges + found.rna_bulges
+
+
+@settings(max_examples=60)
+@given(st.text("ACGTN", min_size=1, max_size=9), st.integers(0, 2), st.integers(0, 2))
+def test_shapes_keep_the_rules(pattern, dna, rna):
+    before, alone = gap_places(pattern)
+    found = shapes(pattern, dna, rna)
+    assert len(set(found)) == len(found) and "M" * len(pattern) in found
+    for shape in found:
+        assert shape.count("D") <= dna and shape.count("R") <= rna and shape.count("M") + shape.count("R") == len(pattern)
+        i = 0
+        for column in shape:
+            assert column != "D" or before[i]
+            assert column != "R" or alone[i]
+            i += column != "D"
