@@ -22,11 +22,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where none is named, as in tests."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='motifgrid-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='motifgrid-')}")
+        found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
 
 
@@ -34,11 +34,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared checkpoint folder and rereads it.
 
     This cuts the lineage with data that outlive any executor, so an iteration
-    neither recomputes its past nor depends on blocks kept by one machine.
+    neither recomputes its past nor depends on blocks kept by one machine. At most
+    two files a core are written, each by a task that takes its partitions in turn.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     return found
