@@ -30,16 +30,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+#: Rows of numbers and keys that one written file may hold.
+ROWS_A_FILE = 200_000
+
+
+def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Writes df to the shared checkpoint folder and rereads it.
 
     This cuts the lineage with data that outlive any executor, so an iteration
-    neither recomputes its past nor depends on blocks kept by one machine. At most
-    two files a core are written, each by a task that takes its partitions in turn.
+    neither recomputes its past nor depends on blocks kept by one machine. rows:
+    about how many there are at most, if known; then small results come in few files.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.coalesce(2 * spark.sparkContext.defaultParallelism).write.parquet(path)
+    (df if rows is None else df.coalesce(-(-rows // ROWS_A_FILE) or 1)).write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
     return found

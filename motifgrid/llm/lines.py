@@ -113,7 +113,7 @@ class LineTable:
         return [data[i : i + 16] for i in range(0, len(data), 16)]
 
 
-def _runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[tuple[int, int, list[str | None]]]:
+def _runs(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, int, list[str | None]]]:
     """(first text, its first line, texts) of about `limit` characters; a longer text comes in pieces of whole lines."""
     a, size = 0, 0
     for i, t in enumerate(texts):
@@ -271,9 +271,10 @@ def similar(a: str, b: str, similarity: float) -> bool:
 
 
 def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, spec: LineSpec) -> DataFrame:
-    """Pairs of classes whose normal forms are similar enough, read again from whole texts."""
+    """Written pairs of classes whose normal forms are similar enough, read again from whole texts."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct().join(classes.select("print", "first"), "print")
-    wanted = materialise(wanted.select("print", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "wanted")
+    n = pairs.count()
+    wanted = materialise(wanted.select("print", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "wanted", 2 * n)
     rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
     found = sieve(rows, wanted.select("doc_id").distinct(), "doc_id", ["text"])
     lines = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "print")).alias("lines"))
@@ -286,7 +287,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, spec: LineSpec
                 out += [(x["print"], normal_form(split[x["line"]])) for x in own if x["line"] < len(split)]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([t for _, t in out], pa.string())], names=["print", "form"])
 
-    forms = materialise(found.join(lines, "doc_id").select("text", "lines").mapInArrow(read, "print binary, form string").groupBy("print").agg(F.min("form").alias("form")), "forms")
+    forms = materialise(found.join(lines.hint("shuffle_hash"), "doc_id").select("text", "lines").mapInArrow(read, "print binary, form string").groupBy("print").agg(F.min("form").alias("form")), "forms", 20 * n)
     both = pairs.join(forms.select(F.col("print").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("print").alias("b"), F.col("form").alias("y")), "b")
 
     def compare(batches):
@@ -294,7 +295,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, spec: LineSpec
             keep = [similar(x, y, spec.similarity) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = materialise(both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary"), "links")
+    links = materialise(both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary"), "links", 10 * n)
     discard(wanted, forms)
     return links
 
@@ -303,11 +304,12 @@ def repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     """(doc_id, lines): the numbers of the lines of each document that repeat an earlier one."""
     lines = materialise(line_table(docs, spec), "lines")
     classes = lines.groupBy("print").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("hash").alias("hash"), F.count("*").alias("n"))
-    classes = materialise(classes, "classes")
+    most = lines.count()
+    classes = materialise(classes, "classes", most)
     tables = spec.layout(classes.count())
-    pairs = materialise(first_pairs(classes, tables, spec), "pairs")
+    pairs = materialise(first_pairs(classes, tables, spec), "pairs", most)
     links = verify(pairs, classes, docs, spec)
-    roots = connected_components(links)
+    roots = connected_components(links, links.count())
     near = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
     known = classes.join(near, "print").join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "hash", F.coalesce("root", "print").alias("root"))
     crossing = materialise(crossing_pairs(known, tables, spec), "pairs")
@@ -318,7 +320,7 @@ def repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     kept = named.groupBy("root").agg(F.min("first").alias("kept"))
     named = named.select("print", "root").join(kept, "root").select("print", "kept")
     gone = lines.join(named, "print").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
-    found = materialise(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "repeated")
+    found = materialise(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "repeated", most)
     discard(lines, classes, pairs, links, crossing, more)
     return found
 

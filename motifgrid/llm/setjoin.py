@@ -124,10 +124,11 @@ def signatures(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, sketch binary, tokens array<int>")
 
 
-def leaves(classes: DataFrame, spec: JoinSpec) -> DataFrame:
-    """(node, class, n) of all leaves with more than one class, of all trees. classes has class and tokens."""
+def leaves(classes: DataFrame, spec: JoinSpec, most: int | None = None) -> DataFrame:
+    """(node, class, n) of all leaves with more than one class, of all trees. classes has class and tokens; most: a bound of its rows."""
+    rows = None if most is None else most * spec.trees
     roots = classes.select("class", F.posexplode(F.slice("tokens", 1, spec.trees)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "class")
-    now, done = _shared(roots), []
+    now, done = _shared(roots, rows), []
     for level in range(spec.levels):
         large = now.where(F.col("n") > spec.leaf)
         if large.limit(1).count() == 0:
@@ -136,15 +137,15 @@ def leaves(classes: DataFrame, spec: JoinSpec) -> DataFrame:
         free = F.size("tokens") - spec.trees
         chosen = [F.xxhash64("node", F.lit(level), F.lit(j), F.get("tokens", (spec.trees + F.pmod(F.xxhash64("node", F.lit(j)), free)).cast("int"))) for j in range(spec.branches)]
         below = large.join(classes.select("class", "tokens"), "class").select(F.explode(F.array(*chosen)).alias("node"), "class")
-        now = _shared(below)
+        now = _shared(below, rows)
     for part in done:
         now = now.unionByName(part)
     return now
 
 
-def _shared(rows: DataFrame) -> DataFrame:
+def _shared(rows: DataFrame, most: int | None) -> DataFrame:
     counts = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    return materialise(rows.join(counts, "node"), "nodes")
+    return materialise(rows.join(counts, "node"), "nodes", most)
 
 
 def _agree(spec: JoinSpec, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -344,23 +345,25 @@ def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     known = signed.where(F.col("class").isNotNull() & F.col("doc_id").isNotNull())
     mark = F.struct("sketch", "tokens")
     classes = known.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first(mark).alias("m")).select("class", "first", "n_shingles", "m.sketch", "m.tokens")
-    classes = materialise(classes, "classes")
-    found = leaves(classes, spec)
-    pairs = materialise(pivot_pairs(found, classes, spec), "pairs")
+    most = signed.count()
+    classes = materialise(classes, "classes", most)
+    found = leaves(classes, spec, most)
+    pairs = materialise(pivot_pairs(found, classes, spec), "pairs", 2 * most)
     first = classes.select("class", F.col("first").alias("id"))
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(first, "class"), "wanted")
-    roots = connected_components(confirm(pairs, _texts(wanted, docs), spec))
-    discard(pairs, wanted)
-    rest = materialise(families(found, classes, roots, spec), "families")
-    wanted = materialise(rest.select("class").distinct().join(first, "class"), "wanted")
+    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(first, "class"), "wanted", most)
+    links = materialise(confirm(pairs, _texts(wanted, docs), spec), "links", 2 * most)
+    roots = connected_components(links, links.count())
+    discard(pairs, wanted, links)
+    rest = materialise(families(found, classes, roots, spec), "families", most)
+    wanted = materialise(rest.select("class").distinct().join(first, "class"), "wanted", most)
     more = confirm_families(rest, classes, _texts(wanted, docs), spec)
     same_id = known.select("doc_id", "class").distinct().groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where(F.col("a") != F.col("b"))
     chain = known.join(same_id.select("doc_id", "a"), "doc_id").select("a", F.col("class").alias("b"))
-    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(chain))
+    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more).unionByName(chain), 4 * most)
     discard(rest, wanted)
     named = roots.join(classes.select(F.col("class").alias("node"), "first"), "node").select("node", "root", "first")
     named = named.join(named.groupBy("root").agg(F.min("first").alias("component")), "root").select(F.col("node").alias("class"), "component")
-    named = materialise(classes.select("class", "first").join(named, "class", "left").select("class", F.coalesce("component", "first").alias("component")), "components")
+    named = materialise(classes.select("class", "first").join(named, "class", "left").select("class", F.coalesce("component", "first").alias("component")), "components", most)
     rows = signed.select("doc_id", "n_shingles", "class").join(named, "class", "left")
     discard(classes)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -61,13 +61,14 @@ def _round(classes: DataFrame, room: list[int], spec: ShardSpec, number: int) ->
 
 def propagate(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame:
     """(group, start, shard): where the linked rows of a group go from the shard they start in, for rows(group, start)."""
+    most = rows.count()
     counted = rows.where(F.col("group").isNotNull()).groupBy("group", "start").agg(F.count("*").alias("n"))
     linked = counted.groupBy("group").agg(F.sum("n").alias("all")).where(F.col("all") > 1).select("group")
-    classes = materialise(counted.join(linked, "group").select("group", "start", F.col("start").alias("shard"), "n"), "classes")
-    quota = rows.count() // spec.shards
+    classes = materialise(counted.join(linked, "group").select("group", "start", F.col("start").alias("shard"), "n"), "classes", most)
+    quota = most // spec.shards
     for number in range(spec.rounds):
         load = {r["shard"]: r["n"] for r in classes.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
-        moved = materialise(_round(classes, [quota - load.get(s, 0) for s in range(spec.shards)], spec, number), "classes")
+        moved = materialise(_round(classes, [quota - load.get(s, 0) for s in range(spec.shards)], spec, number), "classes", most)
         same = moved.where("shard <> start").count() == classes.where("shard <> start").count()
         discard(classes)
         classes = moved
@@ -91,7 +92,7 @@ def balanced_shards(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame
     rows = rows.withColumn("unit", first)
     units = rows.groupBy("shard", "unit").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    units = materialise(units.withColumn("before", before), "units")
+    units = materialise(units.withColumn("before", before), "units", n)
     load = {r["shard"]: r["n"] for r in units.groupBy("shard").agg(F.sum("n").alias("n")).collect()}
     share = [n // spec.shards + (s < n % spec.shards) for s in range(spec.shards)]
     filled = [min(load.get(s, 0), share[s]) for s in range(spec.shards)]

@@ -101,6 +101,7 @@ def judge_templates(paths: DataFrame, tree: TemplateTree = TemplateTree()) -> Da
     counts = (F.count("*").alias("n"), F.sum("good").alias("good"), F.count("good").alias("seen"))
     rows = paths.groupBy("host", "lex").agg(*counts).withColumn("good", F.coalesce("good", F.lit(0))).withColumn("node", F.lit(""))
     rows = materialise(rows, "templates")
+    most = rows.count()
     deepest = rows.agg(F.max(F.size("lex"))).first()[0] or 0
     for level in range(min(deepest, tree.levels)):
         # Two counts of the pre-aggregated rows, then joins by node: a hot host is split there.
@@ -114,7 +115,7 @@ def judge_templates(paths: DataFrame, tree: TemplateTree = TemplateTree()) -> Da
         kept = child.join(node, ["host", "node"]).select("host", "node", "seg", F.when(many | ((F.col("children") > 1) & alike), "*").otherwise(F.col("seg")).alias("branch"))
         rows = rows.join(kept.withColumnRenamed("host", "h").withColumnRenamed("node", "p").withColumnRenamed("seg", "s"), (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")) & (F.col("seg") == F.col("s")), "left")
         rows = rows.select("host", "lex", "n", "good", "seen", F.when(F.col("branch").isNotNull(), F.concat("node", F.lit("/"), "branch")).otherwise(F.col("node")).alias("node"))
-        rows = materialise(rows, f"templates-{level}")
+        rows = materialise(rows, f"templates-{level}", most)
     rows = rows.withColumn("template", F.when(F.size("lex") > tree.levels, F.concat("node", F.lit("/**"))).when(F.col("node") == "", "/").otherwise(F.col("node"))).drop("node")
     total = rows.agg(F.sum("good").alias("all_good"), F.sum("seen").alias("all_seen"))
     host = rows.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("seen").alias("host_seen"))
