@@ -30,13 +30,19 @@ def match_table(pattern: str) -> MatchTable:
     return MatchTable({b: wild | sum(1 << i for i, c in enumerate(upper) if c == b) for b in BASES}, wild, len(upper))
 
 
+def reach(length: int) -> int:
+    """Letters before a text's end that any best alignment of a pattern of that length can use: in as many
+    letters as the pattern has it costs `length` at most, so a better one has at most that many D."""
+    return 2 * length
+
+
 def edit_distance(table: MatchTable, text: str) -> int:
     """Least edits that turn the whole pattern into a suffix of the text, column by column on bit vectors."""
     if not table.length:
         return 0
     full, last = (1 << table.length) - 1, 1 << table.length - 1
     higher, lower, score = full, 0, table.length
-    for c in text.upper():
+    for c in text[-reach(table.length) :].upper():
         hit = table.rows.get(c, table.wild)
         step = ((((hit | lower) & higher) + higher) ^ higher) | hit | lower
         up, down = (lower | ~(higher | step)) & full, higher & step
@@ -75,6 +81,8 @@ def best_alignment(pattern: str, text: str, max_edits: int, max_dna: int, max_rn
     """One alignment of the pattern with a suffix of the text, of least cost; on ties a diagonal step before an R before a D, from the end."""
     no = 1 << 30
     dna, rna = (1 if max_dna else no), (1 if max_rna else no)
+    skipped = max(0, len(text) - reach(len(pattern)))
+    text = text[skipped:]
     m, n = len(pattern), len(text)
     cost = [[min(i * rna, no)] + [0] * n if i else [0] * (n + 1) for i in range(m + 1)]
     apart = [[int(not loosely_equal(p, t)) for t in text] for p in pattern]
@@ -96,7 +104,7 @@ def best_alignment(pattern: str, text: str, max_edits: int, max_dna: int, max_rn
             j -= 1
             columns.append(("D", "-", text[j]))
     ops, left, right = ("".join(c[k] for c in reversed(columns)) for k in range(3))
-    return Alignment(ops, left, right, j, ops.count("S"), ops.count("D"), ops.count("R"))
+    return Alignment(ops, left, right, skipped + j, ops.count("S"), ops.count("D"), ops.count("R"))
 
 
 ALIGNMENT = "ops string, pattern_aligned string, text_aligned string, text_start int, mismatches int, dna_bulges int, rna_bulges int"

@@ -142,6 +142,19 @@ def _best_query(spark, sf_dir):
     return _heads(spark, sf_dir).select("id", "t", found.alias("f")).select("id", "t", (F.col("f.mismatches") + F.col("f.dna_bulges") + F.col("f.rna_bulges")).alias("distance"))
 
 
+def _whole_distance_query(spark, sf_dir):
+    """The distance with whole sequences: alignments end where the document does."""
+    return genome(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("seq").cast("long").alias("n"), edit_distance_column(PROBE, F.col("seq")).alias("distance"))
+
+
+def _whole_best_query(spark, sf_dir):
+    """The best alignment with whole sequences, all of its parts."""
+    found = best_alignment_column("TGCTGATACT", F.col("seq"), 99, 9, 9)
+    rows = genome(spark, sf_dir).select(F.col("doc_id").alias("id"), F.length("seq").cast("long").alias("n"), found.alias("f"))
+    parts = [F.col(f"f.{name}") for name in ("ops", "pattern_aligned", "text_aligned", "text_start", "mismatches", "dna_bulges", "rna_bulges")]
+    return rows.select("id", "n", (F.col("f.mismatches") + F.col("f.dna_bulges") + F.col("f.rna_bulges")).alias("distance"), *parts)
+
+
 def _fasta_query(spark, sf_dir):
     """The genome written as FASTA in lines of 60 bases and read again."""
     from ..sources.genome import read_fasta
@@ -197,6 +210,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "match_summary_by_guide": _summary_query,
 }
 
+#: Queries without SQL: lists of costs are quadratic in a sequence's length. Tests hold them against brute force.
+WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "edit_distance_whole": _whole_distance_query,
+    "best_alignment_whole": _whole_best_query,
+}
+
 ORACLES: dict[str, str] = {
     "genome_from_documents": f"SELECT chr_name, length(seq)::BIGINT AS n, md5(seq) AS seq_md5 FROM ({sql.GENOME})",
     "tile_genome": f"SELECT chr_name, t::BIGINT AS tile_start, least(1000, length(seq) - t)::INTEGER AS own, md5(substr(seq, t + 1, 1024)) AS seq_md5 FROM ({sql.GENOME}), unnest(range(0, length(seq), 1000)) AS u(t)",
