@@ -1,0 +1,30 @@
+import random
+
+import pytest
+
+from motifgrid.llm.sharding import ShardSpec, _admit, balanced_shards, cut_groups
+
+from .test_sharding import check
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_a_table_in_which_all_rows_have_copies(spark, size):
+    groups = 6000
+    frame = spark.createDataFrame([(i, f"g{i % groups}") for i in range(groups * size)], "id long, group string")
+    sharded = balanced_shards(frame)
+    check(sharded.collect(), 16)
+    stats = cut_groups(sharded).first()
+    print(size, stats)
+    assert stats["groups"] == groups and stats["cut"] <= 0.02 * groups
+
+
+def test_admitted_rows_fit():
+    draw, spec = random.Random(1), ShardSpec(shards=5, buckets=8)
+    for _ in range(300):
+        room = [draw.randint(-5, 9) for _ in range(5)]
+        wanted = [(a, b, k, draw.randint(1, 9)) for a in range(5) for b in range(5) for k in range(8) if a != b and draw.random() < 0.4]
+        limit, gain = _admit(wanted, room, spec), [0] * 5
+        for a, b, k, n in wanted:
+            if k < limit[a * 5 + b]:
+                gain[a], gain[b] = gain[a] - n, gain[b] + n
+        assert all(g <= max(0, r) for g, r in zip(gain, room))
