@@ -5,6 +5,14 @@ before it are context, only its own text is trainable. Turns are marked by the
 control strings of a template, and control strings that occur inside a text or
 role are escaped reversibly, so the examples can be read back without loss.
 
+Turns are sorted, not gathered: a task streams them, holds the formatted text of one
+conversation and hands examples on by the megabyte. The examples of a conversation of
+n turns repeat its text n / 2 times, which is what the expansion asks for; with
+`whole=False` an example's text holds only what it adds to the one before, so the
+table stays as large as the input and a task holds the turns of one example. An
+example's text is one value, which Spark limits to 2 GB. read_back() reads either
+form, in whatever order the rows come.
+
 Defined results: a null text or role is empty; turns are ordered by turn number
 (nulls first), ties by role, then text; repeated rows are turns of their own; a
 null conv_id is a conversation of its own. A conversation that doesn't end with
@@ -17,8 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +40,10 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: Strings that steer common chat formats; besides the template's own marks they are never left bare inside a text.
 CONTROLS = (START, END, "<|endoftext|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 
-EXAMPLES = "conv_id long, example int, n_turns int, is_reply boolean, text string, target_start int, target_end int"
+#: begin: where `text` begins in the formatted conversation; shared: where what the example before doesn't hold begins.
+EXAMPLES = "conv_id long, example int, n_turns int, is_reply boolean, text string, begin long, shared long, target_start long, target_end long"
+#: Code points that are handed on at a time, about.
+FLUSH = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -47,23 +60,16 @@ class ChatTemplate:
         barred = "|".join(f"(?<={a})\\\\(?=\\\\*(?:{rest}))" for a, rest in alternatives)
         return re.compile(bare), re.compile(barred)
 
+    @cache
     def coder(self):
         """(escape, unescape): one backslash more, or one less, in each control string, however many it holds already."""
         bare, barred = self._patterns()
         return (lambda s: bare.sub(r"\\", s)), (lambda s: barred.sub("", s))
 
-    def render(self, turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int, int]]]:
-        """The formatted conversation, and for each turn where its text begins and ends and where the turn ends."""
+    def turn(self, role: str, text: str) -> tuple[str, str, str]:
+        """What stands before a turn's text, the text, and what stands after it."""
         escape, _ = self.coder()
-        parts, spans, at = [], [], 0
-        for role, text in turns:
-            head = START + escape(role).replace("\\", "\\\\").replace("\n", "\\n") + "\n"
-            body = escape(text)
-            begin = at + len(head)
-            at = begin + len(body) + len(END) + 1
-            parts += [head, body, END, "\n"]
-            spans.append((begin, begin + len(body), at))
-        return "".join(parts), spans
+        return START + escape(role).replace("\\", "\\\\").replace("\n", "\\n") + "\n", escape(text), END + "\n"
 
     def parse(self, formatted: str) -> list[tuple[str, str]]:
         """The turns of a formatted text."""
@@ -75,93 +81,99 @@ class ChatTemplate:
             turns.append((unescape(role), unescape(rest.removesuffix("\n").removesuffix(END))))
         return turns
 
-    def examples(self, turns: list[tuple[str, str]]) -> Iterator[tuple[int, bool, str, int, int]]:
-        """For each reply: turns, is a reply, text, target's begin and end; then the rest, if turns are left."""
-        text, spans = self.render(turns)
-        last = 0
-        for k, (role, _) in enumerate(turns, 1):
+    def examples(self, turns: Iterable[tuple[str, str]], whole: bool = True) -> Iterator[tuple[int, bool, str, int, int, int, int]]:
+        """For each reply: turns, is a reply, text, and in the conversation where the text, its new part and the target begin and the target ends; then the rest, if turns are left."""
+        before, new, shared, at, n = "", [], 0, 0, 0
+        for n, (role, said) in enumerate(turns, 1):
+            head, body, tail = self.turn(role, said)
+            new += [head, body, tail]
+            begin = at + len(head)
+            end = begin + len(body)
+            at = end + len(tail)
             if role == self.trainable:
-                begin, end, stop = spans[k - 1]
-                yield k, True, text[:stop], begin, end
-                last = k
-        if last < len(turns):
-            yield len(turns), False, text, len(text), len(text)
+                text = before + "".join(new)
+                yield n, True, text, 0 if whole else shared, shared, begin, end
+                before, new, shared = text if whole else "", [], at
+        if new:
+            yield n, False, before + "".join(new), 0 if whole else shared, shared, at, at
 
 
-def _conversations(rows: DataFrame) -> DataFrame:
-    turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.select("conv_id", turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+def _rows(batches, columns: list[str]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch[c].to_pylist() for c in columns))
 
 
-def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+
+def format_chats(rows: DataFrame, template: ChatTemplate = ChatTemplate(), whole: bool = True) -> DataFrame:
     """Examples of rows(conv_id, turn, role, text): one for each assistant turn, and the untrainable rest.
 
     `text` is the formatted prefix up to and with the reply; the target is the span
-    [target_start, target_end) of code points, the only part under the loss.
+    [target_start, target_end) of the conversation's code points, the only part under the
+    loss. With whole=False, `text` is the example's own part alone, from `begin` on.
     """
     small_batches(rows.sparkSession)
+    schema = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("n_turns", pa.int32()), ("is_reply", pa.bool_()), ("text", pa.string()), *((c, pa.int64()) for c in ("begin", "shared", "target_start", "target_end"))])
 
     def expand(batches):
-        for batch in batches:
-            out = [[] for _ in range(7)]
-            for conv, turns in zip(batch["conv_id"].to_pylist(), batch["turns"].to_pylist()):
-                for j, (n, reply, text, begin, end) in enumerate(template.examples([(t["role"], t["text"]) for t in turns])):
-                    for column, value in zip(out, (conv, j, n, reply, text, begin, end)):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.int32(), pa.int32()))], names=["conv_id", "example", "n_turns", "is_reply", "text", "target_start", "target_end"])
+        out, size = [], 0
+        for conv, turns in groupby(_rows(batches, ["conv_id", "role", "text"]), lambda r: r[0]):
+            for j, found in enumerate(template.examples((t[1:] for t in turns), whole)):
+                out.append((conv, j, *found))
+                size += len(found[2])
+                if size > FLUSH or len(out) > 4096:
+                    yield _batch(out, schema)
+                    out, size = [], 0
+        if out:
+            yield _batch(out, schema)
 
-    return _conversations(rows).mapInArrow(expand, EXAMPLES)
+    turns = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    return turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(expand, EXAMPLES)
 
 
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long"
 
 
-class _Digest:
-    """What the examples of one conversation say, in their order."""
-
-    def __init__(self, conv: int | None, template: ChatTemplate):
-        self.conv, self.template, self.unescape = conv, template, template.coder()[1]
-        self.loss, self.loss_chars, self.n, self.text = hashlib.sha256(), 0, 0, ""
-
-    def add(self, text: str, begin: int, end: int) -> None:
-        target = self.unescape(text[begin:end])
-        self.loss.update(target.encode("utf-8", "surrogatepass"))
-        self.loss_chars += len(target)
-        self.n, self.text = self.n + 1, text
-
-    def row(self) -> tuple:
-        turns = self.template.parse(self.text)
-        said = hashlib.sha256()
-        for role, text in turns:
-            said.update(f"{role}\n{text}\n".encode("utf-8", "surrogatepass"))
-        return self.conv, len(turns), said.hexdigest(), self.loss_chars, self.loss.hexdigest(), len(self.text), self.n
-
-
 def read_back(examples: DataFrame, template: ChatTemplate = ChatTemplate()) -> DataFrame:
-    """Digests of each conversation, taken from its examples' texts and masks alone.
+    """Digests of each conversation, taken from its examples' texts and masks alone, in any order.
 
-    A conversation's examples stand together in their order, as format_chats() leaves
-    them; so they are read in one pass and nothing is shuffled.
+    Each example gives the turns that the one before doesn't hold, and its target: so
+    what is sorted by conversation is as large as the conversations, however long
+    the examples are.
     """
+    small_batches(examples.sparkSession)
+    parts = pa.schema([("conv_id", pa.int64()), ("example", pa.int32()), ("turns", pa.int64()), ("said", pa.string()), ("target", pa.string()), ("chars", pa.int64())])
+    digests = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
 
-    def read(batches):
-        now = None
+    def own(batches):
+        _, unescape = template.coder()
         for batch in batches:
-            rows = []
-            for conv, number, text, begin, end in zip(*(batch[c].to_pylist() for c in ("conv_id", "example", "text", "target_start", "target_end"))):
-                if number == 0:
-                    rows += [now.row()] if now else []
-                    now = _Digest(conv, template)
-                now.add(text, begin, end)
-            yield batch_of(rows)
-        if now:
-            yield batch_of([now.row()])
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=[part.split()[0] for part in DIGESTS.split(", ")])
-
-    return examples.select("conv_id", "example", "text", "target_start", "target_end").mapInArrow(read, DIGESTS)
+            out = []
+            for conv, number, text, begin, shared, first, last in _rows([batch], ["conv_id", "example", "text", "begin", "shared", "target_start", "target_end"]):
+                turns = template.parse(text[shared - begin :])
+                said = "".join([f"{role}\n{own}\n" for role, own in turns])
+                out.append((conv, number, len(turns), said, unescape(text[first - begin : last - begin]), begin + len(text)))
+            yield _batch(out, parts)
+
+    def digest(batches):
+        out = []
+        for conv, found in groupby(_rows(batches, ["conv_id", "turns", "said", "target", "chars"]), lambda r: r[0]):
+            said, loss, n, loss_chars, chars, examples = hashlib.sha256(), hashlib.sha256(), 0, 0, 0, 0
+            for _, turns, own, target, chars in found:
+                said.update(own.encode())
+                loss.update(target.encode())
+                n, loss_chars, examples = n + turns, loss_chars + len(target), examples + 1
+            out.append((conv, n, said.hexdigest(), loss_chars, loss.hexdigest(), chars, examples))
+            if len(out) > 4096:
+                yield _batch(out, digests)
+                out = []
+        if out:
+            yield _batch(out, digests)
+
+    found = examples.select("conv_id", "example", "text", "begin", "shared", "target_start", "target_end").mapInArrow(own, "conv_id long, example int, turns long, said string, target string, chars long")
+    return found.repartition("conv_id").sortWithinPartitions("conv_id", "example").mapInArrow(digest, DIGESTS)
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

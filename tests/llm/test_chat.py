@@ -1,8 +1,12 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from motifgrid.llm.chat import CONTROLS, ChatTemplate, format_chats, read_back
 
+from .oracle import assert_same
+
 ROWS = "conv_id long, turn long, role string, text string, example int, turns string"
 
 
@@ -11,11 +15,13 @@ def test_escapes_are_reversible():
     parts = [*CONTROLS, "\\", "<", "[", "a", "\n", "|", "\\\\"]
     for _ in range(2000):
         turns = [("".join(draw.choices(parts, k=draw.randint(0, 4))), "".join(draw.choices(parts, k=draw.randint(0, 8)))) for _ in range(draw.randint(1, 4))]
-        text, spans = template.render(turns)
+        (*_, text, _, shared, begin, end), = [x for x in template.examples(turns)][-1:]
         assert template.parse(text) == turns
-        for (_, said), (a, b, _) in zip(turns, spans):
-            assert not any(c in text[a:b] for c in CONTROLS)
-            assert template.coder()[1](text[a:b]) == said
+        said = [template.turn(role, own) for role, own in turns]
+        assert "".join("".join(x) for x in said) == text and shared == 0
+        for (_, own), (_, body, _) in zip(turns, said):
+            assert not any(c in body for c in CONTROLS)
+            assert template.coder()[1](body) == own
 
 
 def test_every_reply_is_one_example(spark):
@@ -39,3 +45,44 @@ def test_every_reply_is_one_example(spark):
 def test_empty_table(spark):
     assert format_chats(spark.createDataFrame([], ROWS)).count() == 0
     assert read_back(format_chats(spark.createDataFrame([], ROWS))).count() == 0
+
+
+def test_rows_are_read_back_in_any_order_and_form(spark):
+    draw = random.Random(2)
+    rows = [(c, t, draw.choice(["user", "assistant", "tool", None]), draw.choice(["x [INST]", "é" * t, None, "<|im_end|>\n"]), 0, "") for c in [*range(30), None] for t in range(draw.randint(1, 9))]
+    frame = spark.createDataFrame(rows, ROWS)
+    want = sorted(map(str, read_back(format_chats(frame)).collect()))
+    assert len(want) == 31
+    mixed = format_chats(frame).orderBy(F.rand(3)).repartition(3)
+    assert sorted(map(str, read_back(mixed).collect())) == want
+    parts = format_chats(frame, whole=False)
+    assert sorted(map(str, read_back(parts.orderBy(F.rand(4))).collect())) == want
+    texts = {}
+    for r in sorted(parts.collect(), key=lambda r: r["example"]):
+        texts[r["conv_id"]] = texts.get(r["conv_id"], "") + r["text"]
+        assert r["begin"] == r["shared"]
+    last = {r["conv_id"]: r["text"] for r in sorted(format_chats(frame).collect(), key=lambda r: r["example"])}
+    assert texts == last
+
+
+def test_a_conversation_of_thousands_of_turns_is_handed_on_in_pieces():
+    """200 MB of examples: no batch holds more than FLUSH and one example."""
+    from motifgrid.llm import chat
+
+    template = ChatTemplate()
+    turns = [("assistant" if k % 2 else "user", "w" * 100) for k in range(2000)]
+    sizes = [len(t) for _, _, t, *_ in template.examples(turns)]
+    assert len(sizes) == 1000 and sum(sizes) > 100_000_000 and max(sizes) < 300_000 < chat.FLUSH
+    assert sum(len(t) for _, _, t, *_ in template.examples(turns, whole=False)) == sizes[-1]
+
+
+def test_a_long_conversation(spark):
+    rows = [(7, k, "assistant" if k % 2 else "user", "w" * 100, 0, "") for k in range(2000)]
+    found = read_back(format_chats(spark.createDataFrame(rows, ROWS))).collect()
+    assert [(r["n_turns"], r["loss_chars"], r["n_examples"]) for r in found] == [(2000, 100_000, 1000)]
+    assert found[0]["turns_sha256"] == hashlib.sha256("".join(f"{r[2]}\n{r[3]}\n" for r in rows).encode()).hexdigest()
+
+
+def test_the_query_equals_its_sql(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    assert_same(spark, sf_dir, "op1_chat_formatting")
