@@ -1,59 +1,65 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
 Every line of every document is normalised: lower case, digits as one digit,
-punctuation and blanks as single blanks. Lines of at least `min_words` words with
-the same normal form are one class. Two classes are linked if their 64-bit SimHashes
-over distinct words differ in at most `bits` places and their normal forms are similar:
-1 - edit distance / greater length >= `similarity`. Of each connected group of lines
-only the first occurrence stays, by doc_id and line number.
-
-Candidates come from an exact pigeonhole: the hash is cut into `blocks` blocks, of
-which two hashes that near must share `blocks - bits`; the more classes there are,
-the more blocks, so that buckets stay small. The choice changes the cost, never the
-result. First every class is verified against one neighbour of each bucket; then
-all neighbours that these links leave in different groups are.
-
-Defined results: a null text stays null, and an empty one empty. Shorter lines are
-never removed. A row with a null doc_id is left as it is. Rows that share a doc_id
-are one document: what is removed from one is removed from the other. An empty table
-gives an empty one. Columns other than doc_id, text and n_chars are kept as they are,
-but for n_lines, n_removed and n_left, which are replaced.
+punctuation and blanks as single blanks, characters of scripts without blanks as
+words. Lines of at least `min_words` words with the same normal form are one class.
+Two classes are linked if their normal forms are similar: 1 - edit distance / greater
+length >= `similarity`. Of each connected group of lines only the first occurrence
+stays, by doc_id, text and line number.
+
+Candidates: each line has `blocks` blocks, of the two word pairs that come first in the
+block's own order, and a 64-bit SimHash over its distinct words. An edit touches few
+blocks, so similar lines share one (the pigeonhole: unless all are touched); of those
+that do, the edit similarity decides, and it is asked for pairs whose hashes differ in
+at most `bits` places, which nearly all similar lines do. Blocks of the SimHash's own
+bits can't do this: lines with a tenth of their words changed differ in some ten of 64
+places, and no pigeonhole over so many is selective.
+
+Buckets of any size: first every class is compared with one pivot of each of its
+buckets, which joins a large group in as many comparisons as it has members. Then what
+different components have in common is compared in blocks of a bucket, each pair in
+the first bucket that it shares, and not once a link has joined them.
+
+Defined results: a null text stays null, and an empty one empty. Lines without words
+are never removed. A row with a null doc_id is left as it is. Rows with the same doc_id
+and text are one document; other texts under one doc_id are documents of their own. An
+empty table gives an empty one. Columns other than doc_id, text and n_chars are kept as
+they are, but for n_lines, n_removed and n_left, which are replaced.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import discard, materialise, sieve, small_batches, table
+from .common import bloom, discard, in_blocks, materialise, sieve, small_batches, sorted_groups, table
 from .components import connected_components
 from .shingles import mix, powers_of_base, sorted_distinct
 
 
 @dataclass(frozen=True)
 class LineSpec:
-    min_words: int = 5
-    bits: int = 3
+    min_words: int = 1
     similarity: float = 0.75
-    #: Classes that a bucket of unrelated lines may hold on average.
-    bucket: int = 64
+    blocks: int = 6
+    #: Word pairs that a block is made of.
+    pairs: int = 2
+    #: Places in which the SimHashes of a candidate pair may differ.
+    bits: int = 20
+    #: Classes of a bucket that meet as many others at a time.
+    block: int = 1024
 
-    def layout(self, classes: int) -> list[tuple[tuple[int, int], ...]]:
-        """Tables of (shift, width) pieces: any two hashes that differ in at most `bits` places agree on all pieces of one table."""
-        for blocks in range(self.bits + 1, 17):
-            cuts = [64 * i // blocks for i in range(blocks + 1)]
-            agree = blocks - self.bits
-            tables = [tuple((cuts[i], cuts[i + 1] - cuts[i]) for i in chosen) for chosen in combinations(range(blocks), agree)]
-            if classes <= self.bucket << min(sum(w for _, w in t) for t in tables) or blocks == self.bits + 3:
-                return tables
-        raise AssertionError
+    def comparable(self, a: np.ndarray, b: np.ndarray, chars_a: np.ndarray, chars_b: np.ndarray) -> np.ndarray:
+        """Whether lines of these hashes and lengths are candidates."""
+        longest = np.maximum(chars_a, chars_b)
+        return (np.bitwise_count(a ^ b) <= self.bits) & (np.abs(chars_a - chars_b) <= (1 - self.similarity) * longest + 1e-9)
 
 
 _FOLD = np.full(256, 32, np.uint8)
@@ -65,48 +71,93 @@ _FOLD[65:91] += 32
 _FOLD[10] = 10
 
 
+#: Lead bytes of the characters (in UTF-8) that are words of their own: kana and Han.
+_LEAD = np.zeros(256, bool)
+_LEAD[0xE3:0xEA] = True
+_ALONE = re.compile(rb"(?=[\xe3-\xe9])")
+#: A byte's bits, each in a byte of its own.
+_LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8).view(np.uint64).ravel()
+
+
 def split_lines(text: str) -> list[str]:
     return text.split("\n")
 
 
 def normal_form(line: str) -> str:
-    return b" ".join(_FOLD[np.frombuffer(line.lower().encode("utf-8", "surrogatepass"), np.uint8)].tobytes().split()).decode("utf-8", "surrogatepass")
+    folded = _FOLD[np.frombuffer(line.lower().encode("utf-8", "surrogatepass"), np.uint8)].tobytes()
+    return b" ".join(_ALONE.sub(b" ", folded).split()).decode("utf-8", "surrogatepass")
+
+
+def simhash(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """64 bits for each run of features: those that more than half of them have."""
+    count = np.diff(np.append(starts, len(features)))
+    pieces = -(-count // 255)  # so many that a byte can count each
+    owner = np.repeat(np.arange(len(starts)), pieces)
+    within = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    lanes = _LANES[mix(features).view(np.uint8).reshape(-1, 8)]
+    ones = np.add.reduceat(lanes, starts[owner] + 255 * within, axis=0).view(np.uint8).reshape(-1, 64)
+    if len(ones) > len(starts):
+        ones = np.add.reduceat(ones, np.cumsum(pieces) - pieces, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones.astype(np.int32) > count[:, None], axis=1).view(np.uint64).ravel()
+
+
+def draw_blocks(features: np.ndarray, starts: np.ndarray, spec: LineSpec) -> np.ndarray:
+    """Block keys, a row for each run of features: of each block's own orders the least features."""
+    low = (features >> np.uint64(32)).astype(np.uint32) ^ features.astype(np.uint32)
+    out = np.empty((len(starts), spec.blocks), np.uint64)
+    for k in range(spec.blocks):
+        key = np.full(len(starts), k, np.uint64)
+        for j in range(spec.pairs):
+            salt = int(mix(np.array([k * spec.pairs + j + 1], np.uint64))[0])
+            order = (low ^ np.uint32(salt >> 32)) * np.uint32((salt | 1) & 0xFFFFFFFF)
+            order ^= order >> np.uint32(15)
+            order *= np.uint32(0x2C1B3C6D)
+            key = mix(key * np.uint64(0x9FB21C651E98DF25) + np.minimum.reduceat(order, starts))
+        out[:, k] = key
+    return out
 
 
 class LineTable:
-    """Words of all lines of a run of texts: for each line its text's number, its own, its words, SimHash and 128-bit print."""
+    """Words of all lines of a run of texts: for each line its text's number, its own, its words, the normal form's length, SimHash, blocks and 128-bit print."""
 
-    def __init__(self, texts: list[str | None], min_words: int):
+    def __init__(self, texts: list[str | None], spec: LineSpec):
         raw = "\n".join([t or "" for t in texts]).lower().encode("utf-8", "surrogatepass") + b"\n"
         data = _FOLD[np.frombuffer(raw, np.uint8)]
         ends = np.flatnonzero(data == 10)
         counts = np.array([(t or "").count("\n") + 1 for t in texts])
         owner = np.repeat(np.arange(len(texts)), counts)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        solid = (data != 32) & (data != 10)
+        solid, lead = (data != 32) & (data != 10), _LEAD[data]
         before = np.concatenate([[False], solid[:-1]])
-        after = np.concatenate([solid[1:], [False]])
-        starts, stops = np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+        after = np.concatenate([solid[1:] & ~lead[1:], [False]])
+        starts, stops = np.flatnonzero(solid & (~before | lead)), np.flatnonzero(solid & ~after) + 1
         power, inverse = powers_of_base(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
         words = mix((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         first = np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1]))
         n = np.searchsorted(starts, ends) - first
-        keep = np.flatnonzero(n >= min_words)
+        keep = np.flatnonzero(n >= max(1, spec.min_words))
         self.owner, self.number, self.words, first, n = owner[keep], number[keep], n[keep], first[keep], n[keep]
-        self.hash, self.print = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64)
+        self.hash, self.print, self.chars, self.blocks = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros((0, spec.blocks), np.uint64)
         if len(keep):
+            signs = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters, not their further bytes
             begin = np.cumsum(n) - n
-            own = words[np.repeat(first - begin, n) + np.arange(n.sum())]
+            place = np.repeat(first - begin, n) + np.arange(n.sum())
+            own = words[place]
+            self.chars = np.add.reduceat(signs[stops[place]] - signs[starts[place]], begin) + n - 1
             # Distinct words: how often `the` occurs says little about a line.
             distinct = sorted_distinct(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(40) | own >> np.uint64(24))
-            first = np.searchsorted(distinct >> np.uint64(40), np.arange(len(n), dtype=np.uint64))
-            ones = np.add.reduceat(np.unpackbits(mix(distinct & np.uint64((1 << 40) - 1)).view(np.uint8).reshape(-1, 8), axis=1), first, axis=0, dtype=np.int32)
-            count = np.diff(np.append(first, len(distinct)))
-            self.hash = np.packbits(2 * ones > count[:, None], axis=1).view(np.uint64).ravel()
-            at = (np.arange(len(own)) - np.repeat(begin, n)).astype(np.uint64)
-            self.print = np.column_stack([np.add.reduceat(mix(own ^ (at * np.uint64(c))), begin) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
+            self.hash = simhash(distinct & np.uint64((1 << 40) - 1), np.searchsorted(distinct >> np.uint64(40), np.arange(len(n), dtype=np.uint64)))
+            at = np.arange(len(own)) - np.repeat(begin, n)
+            self.print = np.column_stack([np.add.reduceat(mix(own ^ (at.astype(np.uint64) * np.uint64(c))), begin) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
+            # Word pairs, or the only word; the last word of a line begins none.
+            pair = mix(own * np.uint64(0x9FB21C651E98DF25) + np.append(own[1:], np.uint64(0)))
+            alone = np.repeat(n == 1, n)
+            pair[alone] = own[alone]
+            used = alone | (at + 1 < np.repeat(n, n))
+            m = np.maximum(n - 1, 1)
+            self.blocks = draw_blocks(pair[used], np.cumsum(m) - m, spec)
 
     def prints(self) -> list[bytes]:
         data = self.print.astype(">u8").tobytes()
@@ -134,97 +185,112 @@ def _runs(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int,
         yield a, 0, texts[a:]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, text) of the rows that take part."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+
+
 def line_table(docs: DataFrame, spec: LineSpec) -> DataFrame:
-    """(doc_id, line, print, hash) of every line of enough words of docs(doc_id, text)."""
+    """(doc_id, text_key, line, print, hash, chars, blocks) of every line of enough words of docs(doc_id, text)."""
     small_batches(docs.sparkSession, 256)
 
     def run(batches):
         for batch in batches:
-            ids = batch["doc_id"].to_numpy(zero_copy_only=False)
+            ids, keys = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy()
             for a, line, texts in _runs(batch["text"].to_pylist()):
-                found = LineTable(texts, spec.min_words)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a + found.owner], pa.int64()), pa.array(found.number + line, pa.int32()), pa.array(found.prints(), pa.binary()), pa.array(found.hash.view(np.int64))], names=["doc_id", "line", "print", "hash"])
-
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return rows.mapInArrow(run, "doc_id long, line int, print binary, hash long")
-
-
-def _bucket(piece: tuple[tuple[int, int], ...], number: int) -> Column:
-    parts = [F.shiftrightunsigned("hash", 64 - shift - width).bitwiseAND(F.lit((1 << width) - 1)) for shift, width in piece]
-    return F.xxhash64(F.lit(number), *parts)
-
-
-def _whole_buckets(batches, least: int = 1 << 18) -> Iterator[pa.Table]:
-    """Sorted rows in runs that end with a bucket."""
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n >= least:
-            found = pa.Table.from_batches(held).combine_chunks()
-            key = found["bucket"].to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))
-            if cut:
-                yield found.slice(0, cut)
-            held, n = found.slice(cut).to_batches(), found.num_rows - cut
-            least = max(1 << 18, 2 * n)
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks()
-
-
-def _near(key: np.ndarray, hashes: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (i, j), i < j, of rows of one bucket whose hashes differ in at most `bits` places; nearest rows first."""
-    live = np.arange(len(key))
-    step = 1
-    while True:
-        live = live[live + step < len(key)]
-        live = live[key[live] == key[live + step]]
-        if not len(live):
-            return
-        hit = live[np.bitwise_count(hashes[live] ^ hashes[live + step]) <= bits]
-        if len(hit):
-            yield hit, hit + step
-        step += 1
-
-
-def _dealt(classes: DataFrame, tables: list, columns: list[str]) -> DataFrame:
-    rows = classes.select("print", "hash", *columns, F.explode(F.array(*(_bucket(t, i) for i, t in enumerate(tables)))).alias("bucket"))
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "print")
-
-
-def first_pairs(classes: DataFrame, tables: list, spec: LineSpec) -> DataFrame:
-    """For every class that has a neighbour in a bucket, a pair with the least of them."""
+                found = LineTable(texts, spec)
+                n = len(found.hash)
+                # A line of one pair has one block: the others would only say the same.
+                width = np.where(found.words <= 2, 1, spec.blocks)
+                offsets = pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32())
+                held = found.blocks.view(np.int64)[np.arange(spec.blocks) < width[:, None]] if n else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(ids[a + found.owner]), pa.array(keys[a + found.owner]), pa.array(found.number + line, pa.int32()), pa.array(found.prints(), pa.binary()),
+                    pa.array(found.hash.view(np.int64)), pa.array(found.chars, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(held)),
+                ], names=["doc_id", "text_key", "line", "print", "hash", "chars", "blocks"])
+
+    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line int, print binary, hash long, chars int, blocks array<long>")
+
+
+def shared_buckets(classes: DataFrame, spec: LineSpec) -> DataFrame:
+    """(bucket, print, hash, chars, pivot) of the members of each bucket that holds more than one; pivot: its first member, if that is a candidate for this one.
+
+    The rows of a bucket stream past its pivot, so its size costs no memory.
+    """
 
     def run(batches):
-        for found in _whole_buckets(batches):
-            hashes, prints = found["hash"].to_numpy().view(np.uint64), found["print"]
-            best = np.full(len(hashes), -1)
-            for i, j in _near(found["bucket"].to_numpy(), hashes, spec.bits):
-                best[j] = np.where(best[j] < 0, i, np.minimum(best[j], i))
-                best[i] = np.where(best[i] < 0, j, np.minimum(best[i], j))
-            a = np.flatnonzero(best >= 0)
-            if len(a):
-                yield pa.RecordBatch.from_arrays([prints.take(pa.array(x)).combine_chunks() for x in (a, best[a])], names=["a", "b"])
+        held, told = None, False  # the pivot of the bucket that the last batch ended in, and whether it is handed on
+        for batch in batches:
+            rows = pa.Table.from_batches([*([held] if held is not None else []), batch]).combine_chunks()
+            key, hashes, chars = rows["bucket"].to_numpy(), rows["hash"].to_numpy().view(np.uint64), rows["chars"].to_numpy()
+            change = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            size = np.diff(np.append(change, len(key)))
+            pivot = np.repeat(change, size)
+            near = spec.comparable(hashes, hashes[pivot], chars, chars[pivot]) & (pivot != np.arange(len(key)))
+            out = np.repeat(size > 1, size)
+            out[0] &= held is None or not told
+            told = bool(size[-1] > 1 or (len(size) == 1 and held is not None and told))
+            held = rows.slice(int(change[-1]), 1).to_batches()[0]
+            if out.any():
+                named = rows["print"].combine_chunks().take(pa.array(np.where(near, pivot, 0), mask=~near))
+                yield pa.RecordBatch.from_arrays([rows[c].combine_chunks() for c in ("bucket", "print", "hash", "chars")] + [named], names=["bucket", "print", "hash", "chars", "pivot"]).filter(pa.array(out))
+
+    rows = classes.select(F.explode("blocks").alias("bucket"), "print", "hash", "chars")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "print").mapInArrow(run, "bucket long, print binary, hash long, chars int, pivot binary")
+
 
-    both = _dealt(classes, tables, []).mapInArrow(run, "a binary, b binary")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _sides(rows: pa.Table, key: tuple) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Names, hashes, lengths, roots as small numbers, and the places of the rows of either block."""
+    roots, side = rows["root"].to_pylist(), rows["block"].to_numpy()
+    code = {r: k for k, r in enumerate(dict.fromkeys(roots))}
+    return rows["class"].to_pylist(), rows["hash"].to_numpy().view(np.uint64), rows["chars"].to_numpy(), np.array([code[r] for r in roots]), np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
 
 
-def crossing_pairs(classes: DataFrame, tables: list, spec: LineSpec) -> DataFrame:
-    """All pairs of neighbours with different roots, for classes(print, hash, root)."""
+def _mixed(shared: DataFrame) -> DataFrame:
+    """Rows of shared(bucket, root, ...) in buckets of more than one root, with their size."""
+    sizes = shared.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where(F.col("low") != F.col("high"))
+    return shared.join(sizes.select("bucket", "size"), "bucket")
+
+
+def open_classes(shared: DataFrame, spec: LineSpec) -> DataFrame:
+    """(print) of every member of a bucket that has a candidate there with another root, for shared(bucket, class, hash, chars, root)."""
 
     def run(batches):
-        for found in _whole_buckets(batches):
-            hashes, prints = found["hash"].to_numpy().view(np.uint64), found["print"]
-            root = found["root"].combine_chunks().dictionary_encode()
-            root = (root.combine_chunks() if isinstance(root, pa.ChunkedArray) else root).indices.to_numpy()
-            for i, j in _near(found["bucket"].to_numpy(), hashes, spec.bits):
-                apart = root[i] != root[j]
-                if apart.any():
-                    yield pa.RecordBatch.from_arrays([prints.take(pa.array(x[apart])).combine_chunks() for x in (i, j)], names=["a", "b"])
+        for key, rows in sorted_groups(batches, ["bucket", "i", "j"]):
+            names, hashes, chars, root, first, second = _sides(rows, key)
+            hit = np.zeros(len(names), bool)
+            for x in first:
+                others = second[root[second] != root[x]]
+                others = others[spec.comparable(hashes[others], hashes[x], chars[others], chars[x])]
+                hit[others] = True
+                hit[x] |= bool(len(others))
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in np.flatnonzero(hit).tolist()], pa.binary())], names=["print"])
+
+    return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(run, "print binary").distinct()
 
-    both = _dealt(classes, tables, ["root"]).mapInArrow(run, "a binary, b binary")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+def linking_pairs(shared: DataFrame, spec: LineSpec) -> DataFrame:
+    """Links (a, b) between different roots that join all that the links of a bucket join, for shared(bucket, class, hash, chars, root, blocks, form)."""
+
+    def run(batches):
+        for key, rows in sorted_groups(batches, ["bucket", "i", "j"]):
+            names, hashes, chars, label, first, second = _sides(rows, key)
+            forms, own = rows["form"].to_pylist(), rows["blocks"].to_pylist()
+            found = []
+            for x in first.tolist():
+                others = second[label[second] != label[x]]
+                for y in others[spec.comparable(hashes[others], hashes[x], chars[others], chars[x])].tolist():
+                    if label[y] == label[x] or next(p for p, q in zip(own[x], own[y]) if p == q) != key[0]:
+                        continue  # joined meanwhile, or compared in another bucket
+                    if similar(forms[x], forms[y], spec.similarity):
+                        found.append((names[x], names[y]))
+                        label[label == label[y]] = label[x]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(run, "a binary, b binary")
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -270,24 +336,29 @@ def similar(a: str, b: str, similarity: float) -> bool:
     return edit_distance(a, b, most) <= most
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, spec: LineSpec) -> DataFrame:
-    """Written pairs of classes whose normal forms are similar enough, read again from whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct().join(classes.select("print", "first"), "print")
-    n = pairs.count()
-    wanted = materialise(wanted.select("print", F.col("first.doc_id").alias("doc_id"), F.col("first.line").alias("line")), "wanted", 2 * n)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").where(F.col("text").isNotNull())
-    found = sieve(rows, wanted.select("doc_id").distinct(), "doc_id", ["text"])
-    lines = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("line", "print")).alias("lines"))
+def forms_of(prints: DataFrame, classes: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """Written (print, form) of the wanted classes, read again from whole texts."""
+    wanted = prints.join(classes.select("print", "first"), "print").select("print", "first.doc_id", "first.text_key", "first.line")
+    wanted = materialise(wanted, "wanted", most)
+    found = sieve(_keyed(docs), wanted.select("text_key"), "text_key", ["doc_id", "text"])
+    lines = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "print")).alias("lines"))
 
     def read(batches):
         for batch in batches:
             out = []
             for text, own in zip(batch["text"].to_pylist(), batch["lines"].to_pylist()):
                 split = split_lines(text)
-                out += [(x["print"], normal_form(split[x["line"]])) for x in own if x["line"] < len(split)]
+                out += [(x["print"], normal_form(split[x["line"]])) for x in own]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([t for _, t in out], pa.string())], names=["print", "form"])
 
-    forms = materialise(found.join(lines.hint("shuffle_hash"), "doc_id").select("text", "lines").mapInArrow(read, "print binary, form string").groupBy("print").agg(F.min("form").alias("form")), "forms", 20 * n)
+    forms = found.join(lines, ["doc_id", "text_key"]).select("text", "lines").mapInArrow(read, "print binary, form string").groupBy("print").agg(F.min("form").alias("form"))
+    forms = materialise(forms, "forms", most)
+    discard(wanted)
+    return forms
+
+
+def similar_pairs(pairs: DataFrame, forms: DataFrame, spec: LineSpec) -> DataFrame:
+    """Those of pairs(a, b) whose normal forms are similar enough."""
     both = pairs.join(forms.select(F.col("print").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("print").alias("b"), F.col("form").alias("y")), "b")
 
     def compare(batches):
@@ -295,67 +366,85 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, spec: LineSpec
             keep = [similar(x, y, spec.similarity) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    links = materialise(both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary"), "links", 10 * n)
-    discard(wanted, forms)
-    return links
+    return both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
 
 def repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
-    """(doc_id, lines): the numbers of the lines of each document that repeat an earlier one."""
+    """(doc_id, text_key, lines): the numbers of the lines of each document that repeat an earlier one."""
     lines = materialise(line_table(docs, spec), "lines")
-    classes = lines.groupBy("print").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("hash").alias("hash"), F.count("*").alias("n"))
-    most = lines.count()
-    classes = materialise(classes, "classes", most)
-    tables = spec.layout(classes.count())
-    pairs = materialise(first_pairs(classes, tables, spec), "pairs", most)
-    links = verify(pairs, classes, docs, spec)
-    roots = connected_components(links, links.count())
-    near = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    known = classes.join(near, "print").join(roots.withColumnRenamed("node", "print"), "print", "left").select("print", "hash", F.coalesce("root", "print").alias("root"))
-    crossing = materialise(crossing_pairs(known, tables, spec), "pairs")
-    more = verify(crossing, classes, docs, spec)
-    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+    first = F.min(F.struct("doc_id", "text_key", "line")).alias("first")
+    classes = lines.groupBy("print").agg(first, F.first(F.struct("hash", "chars", "blocks")).alias("m"), F.count("*").alias("n"))
+    classes = materialise(classes.select("print", "first", "n", "m.hash", "m.chars", "m.blocks"), "classes")
+    shared = materialise(shared_buckets(classes, spec), "shared")
+    pairs = shared.where(F.col("pivot").isNotNull()).select(F.least("print", "pivot").alias("a"), F.greatest("print", "pivot").alias("b")).distinct()
+    pairs = materialise(pairs, "pairs", most := shared.count())
+    forms = forms_of(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), classes, docs, most)
+    links = materialise(similar_pairs(pairs, forms, spec), "links", most)
+    roots = connected_components(links, most)
+    discard(pairs, forms)
+    known = shared.join(roots.withColumnRenamed("node", "print"), "print", "left").select("bucket", F.col("print").alias("class"), "hash", "chars", F.coalesce("root", "print").alias("root"))
+    still = materialise(open_classes(known, spec), "open", most)
+    forms = forms_of(still, classes, docs, most)
+    detail = forms.join(classes.select("print", "blocks"), "print").withColumnRenamed("print", "class")
+    more = linking_pairs(known.join(detail, "class"), spec)
+    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), most)
     named = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").where(F.col("root").isNotNull() | (F.col("n") > 1))
     named = named.select("print", F.coalesce("root", "print").alias("root"), "first")
     kept = named.groupBy("root").agg(F.min("first").alias("kept"))
     named = named.select("print", "root").join(kept, "root").select("print", "kept")
-    gone = lines.join(named, "print").where((F.col("doc_id") != F.col("kept.doc_id")) | (F.col("line") != F.col("kept.line")))
-    found = materialise(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")), "repeated", most)
-    discard(lines, classes, pairs, links, crossing, more)
+    gone = lines.select("doc_id", "text_key", "line", "print").join(named, "print").where(F.struct("doc_id", "text_key", "line") != F.col("kept"))
+    found = materialise(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines")), "repeated")
+    discard(lines, classes, shared, links, still, forms)
     return found
 
 
 def drop_repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     """docs without repeated lines, all rows and columns, n_chars counted anew if there is such a column.
 
-    Besides: n_lines, n_removed, and n_left, the lines of at least min_words words
-    that stay in a document that lost some (else null).
+    Besides: n_lines, n_removed, and n_left, the lines with words that stay in a
+    document that lost some (else null). Texts without repeats aren't shuffled.
     """
     docs = docs.drop("n_lines", "n_removed", "n_left")
-    repeated = repeated_lines(docs, spec).select(F.col("doc_id").alias("__doc"), F.col("lines").alias("__gone"))
-    # As many rows as documents with repeats: never broadcast.
-    rows = docs.join(repeated.hint("shuffle_hash"), F.col("doc_id").cast("long") == F.col("__doc"), "left").drop("__doc")
+    repeated = repeated_lines(docs, spec)
+    known = bloom(repeated, "text_key")
     small_batches(docs.sparkSession, 256)
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_removed", LongType()), StructField("n_left", LongType())])
-    texts, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-
-    def run(batches):
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    id_at, texts, chars = docs.columns.index("doc_id"), docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
+    rows = docs.toDF(*names).withColumn("text_key", F.when(F.col(f"c{id_at}").isNotNull() & F.col(f"c{texts}").isNotNull(), F.xxhash64(f"c{texts}")))
+
+    def emit(batch: pa.RecordBatch, lines: list) -> pa.RecordBatch:
+        out, removed, total, left = [], [], [], []
+        for text, gone in zip(batch[f"c{texts}"].to_pylist(), lines):
+            if not gone:
+                out.append(text)
+                total.append(0 if text is None else text.count("\n") + 1)
+                removed.append(0)
+                left.append(None)
+                continue
+            split, own = split_lines(text), set(gone)
+            stays = [x for i, x in enumerate(split) if i not in own]
+            out.append("\n".join(stays))
+            total.append(len(split))
+            removed.append(len(own))
+            left.append(sum(bool(normal_form(x)) for x in stays))
+        columns = [batch[c] for c in names]
+        columns[texts] = pa.array(out, pa.string())
+        if chars is not None:
+            columns[chars] = pa.array([n if not r else len(t) for n, r, t in zip(columns[chars].to_pylist(), removed, out)], columns[chars].type)
+        return pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.int64())], names=schema.names)
+
+    def as_they_are(batches):
+        for batch in known.outside(batches, "text_key"):
+            yield emit(batch, [None] * batch.num_rows)
+
+    def shortened(batches):
         for batch in batches:
-            out, removed, total, left = [], [], [], []
-            for text, gone in zip(batch["text"].to_pylist(), batch["__gone"].to_pylist()):
-                split = split_lines(text) if text is not None else []
-                total.append(len(split))
-                own = {x for x in gone or () if x < len(split)}
-                removed.append(len(own))
-                left.append(sum(len(normal_form(x).split()) >= spec.min_words for i, x in enumerate(split) if i not in own) if own else None)
-                out.append("\n".join([x for i, x in enumerate(split) if i not in own]) if own else text)
-            columns = batch.columns[: len(batch.schema.names) - 1]
-            columns[texts] = pa.array(out, pa.string())
-            if chars is not None:
-                columns[chars] = pa.array([n if not r else len(t) for n, r, t in zip(columns[chars].to_pylist(), removed, out)], columns[chars].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(left, pa.int64())], names=[*batch.schema.names[:-1], "n_lines", "n_removed", "n_left"])
-
-    return rows.mapInArrow(run, schema)
+            yield emit(batch, batch["lines"].to_pylist())
+
+    apart = rows.mapInArrow(known.inside("text_key"), rows.schema).withColumn("id", F.col(f"c{id_at}").cast("long"))
+    lines = repeated.select(F.col("doc_id").alias("id"), "text_key", "lines")
+    return rows.mapInArrow(as_they_are, schema).unionByName(apart.join(lines, ["id", "text_key"], "left").mapInArrow(shortened, schema))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

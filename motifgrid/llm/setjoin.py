@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, sieve, small_batches, table
+from .common import discard, in_blocks, materialise, sieve, small_batches, sorted_groups, table
 from .components import connected_components
 from .shingles import WORDS, fingerprint, mix, sets_of
 
@@ -174,30 +174,6 @@ def pivot_pairs(found: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFra
     return both.mapInArrow(near, "a binary, b binary").distinct()
 
 
-def _groups(batches, keys: list[str]):
-    """(key, rows) of successive rows with equal keys, which the batches hold in sorted order."""
-    key, held = None, []
-    for batch in batches:
-        rows = list(zip(*(batch[c].to_pylist() for c in keys)))
-        starts = [0, *(k for k in range(1, len(rows)) if rows[k] != rows[k - 1]), len(rows)]
-        for x, y in zip(starts, starts[1:]):
-            if y > x and rows[x] != key:
-                if held:
-                    yield key, pa.Table.from_batches(held)
-                key, held = rows[x], []
-            held.append(batch.slice(x, y - x))
-    if held and key is not None:
-        yield key, pa.Table.from_batches(held)
-
-
-def _in_blocks(rows: DataFrame, group: str, block: int) -> DataFrame:
-    """rows with `size`, dealt so that any two of a group meet in one (group, i, j): a group of k blocks sends a row to the k pairs that hold its own."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    rows = rows.drop("blocks", "other", "size")
-    return rows.repartition(group, "i", "j").sortWithinPartitions(group, "i", "j")
-
-
 def spanning(near: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges between places that connect whatever near (first x second) connects, at most one a place."""
     none = len(first)
@@ -243,7 +219,7 @@ def families(found: DataFrame, classes: DataFrame, roots: DataFrame, spec: JoinS
     own = own.select("node", "class", "root").join(mixed, "node").join(classes.select("class", "sketch", "n_shingles"), "class")
 
     def run(batches):
-        for key, rows in _groups(batches, ["node", "i", "j"]):
+        for key, rows in sorted_groups(batches, ["node", "i", "j"]):
             names, root, first, second = _sides(rows, key)
             sketch, n = _sketches(rows["sketch"].combine_chunks()), rows["n_shingles"].to_numpy()
             near = np.zeros((len(first), len(second)), bool)
@@ -253,7 +229,7 @@ def families(found: DataFrame, classes: DataFrame, roots: DataFrame, spec: JoinS
                     near[k, apart] = _agree(spec, sketch[second[apart]], sketch[x], n[second[apart]], n[x])
             yield from _edges(names, near, first, second)
 
-    edges = _in_blocks(own, "node", spec.sketch_block).mapInArrow(run, "a binary, b binary")
+    edges = in_blocks(own, "node", spec.sketch_block).mapInArrow(run, "a binary, b binary")
     named = connected_components(edges).select(F.col("node").alias("class"), F.col("root").alias("family"))
     return named.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "family")
 
@@ -290,10 +266,10 @@ def confirm_families(rows: DataFrame, classes: DataFrame, texts: DataFrame, spec
     """Links that connect the different components of each family as all its links do; every pair is compared, on the full sets."""
     sizes = rows.groupBy("family").agg(F.count("*").alias("size"))
     rows = rows.join(sizes, "family").join(classes.select("class", "sketch"), "class").join(texts, "class")
-    rows = _in_blocks(rows, "family", spec.block)
+    rows = in_blocks(rows, "family", spec.block)
 
     def run(batches):
-        for key, group in _groups(batches, ["family", "i", "j"]):
+        for key, group in sorted_groups(batches, ["family", "i", "j"]):
             names, root, first, second = _sides(group, key)
             sets = [s for chunk in group["text"].chunks for s in sets_of(chunk, spec.words)]
             sound = np.array([fingerprint(s) == name for s, name in zip(sets, names)])  # else another text of a repeated doc_id
@@ -336,7 +312,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """(class, text), one text of every wanted(class, id)."""
     found = sieve(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), wanted.select("id"), "id", ["text"])
-    return found.join(wanted.hint("shuffle_hash"), "id").select("class", "text")
+    return found.join(wanted, "id").select("class", "text")
 
 
 def near_duplicates(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:

@@ -1,8 +1,10 @@
 import os
 
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from motifgrid.llm.common import checkpoint_dir, discard, materialise, sieve
+from motifgrid.llm.common import bloom, checkpoint_dir, discard, materialise, sieve
 
 
 def test_the_sieve_keeps_every_wanted_row(spark):
@@ -20,8 +22,8 @@ def test_the_sieve_keeps_every_wanted_row(spark):
 class Session:
     """A session that names a folder, or none."""
 
-    def __init__(self, spark, folder):
-        self.spark, self.conf, self.sparkContext, self.folder, self.own = spark, self, self, folder, None
+    def __init__(self, spark, folder, master="local[4]"):
+        self.master, self.spark, self.conf, self.sparkContext, self.folder, self.own = master, spark, self, self, folder, None
 
     def get(self, key, default):
         assert key == "spark.checkpoint.dir"
@@ -40,6 +42,17 @@ def test_the_session_names_the_folder(spark):
     bare = Session(spark, None)
     found = checkpoint_dir(bare)
     assert found.startswith("file:///") and checkpoint_dir(bare) == found == bare.own
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            checkpoint_dir(Session(spark, None, master))
+
+
+def test_a_bloom_filter_parts_rows(spark):
+    known = bloom(spark.createDataFrame([(k * 7,) for k in range(300)] + [(None,)], "k long"), "k")
+    batch = pa.RecordBatch.from_pydict({"k": pa.array([*range(2100), None], pa.int64())})
+    inside, outside = (pa.Table.from_batches(x)["k"].to_pylist() for x in (known.inside("k")([batch]), known.outside([batch], "k")))
+    assert set(range(0, 2100, 7)) <= set(inside) and len(inside) < 500 and None in outside
+    assert sorted(inside) + sorted(x for x in outside if x is not None) and len(inside) + len(outside) == 2101
 
 
 def test_materialised_rows_stay_until_discarded(spark):

@@ -3,6 +3,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from motifgrid.llm import lines
 from motifgrid.llm.lines import LineSpec, LineTable, drop_repeated_lines, edit_distance, normal_form, repeated_lines, similar
@@ -26,8 +27,8 @@ def test_normal_forms():
 
 
 def hashes(texts, spec):
-    found = LineTable(texts, spec.min_words)
-    return {(int(o), int(n)): (p, int(h)) for o, n, p, h in zip(found.owner, found.number, found.prints(), found.hash)}
+    found = LineTable(texts, spec)
+    return {(int(o), int(n)): (p, int(h), int(c), tuple(b.tolist()[: 1 if w <= 2 else None])) for o, n, p, h, c, b, w in zip(found.owner, found.number, found.prints(), found.hash, found.chars, found.blocks, found.words)}
 
 
 def test_line_tables_find_the_same_lines_in_any_run():
@@ -38,11 +39,31 @@ def test_line_tables_find_the_same_lines_in_any_run():
         alone = hashes([text], LineSpec())
         assert {(k, n): v for (_, n), v in alone.items()} == {key: v for key, v in whole.items() if key[0] == k}
         for n, line in enumerate((text or "").split("\n")):
-            assert ((k, n) in whole) == (len(normal_form(line).split()) >= 5)
+            assert ((k, n) in whole) == bool(normal_form(line))
     prints = {}
-    for (k, n), (p, h) in whole.items():
-        assert prints.setdefault(normal_form(texts[k].split("\n")[n]), (p, h)) == (p, h)
-    assert len({p for p, _ in prints.values()}) == len(prints)
+    for (k, n), found in whole.items():
+        form = normal_form(texts[k].split("\n")[n])
+        assert prints.setdefault(form, found) == found and found[2] == len(form)
+    assert len({p for p, *_ in prints.values()}) == len(prints)
+    assert len(hashes(texts, LineSpec(min_words=5))) == sum(len(normal_form(x).split()) >= 5 for t in texts for x in (t or "").split("\n"))
+
+
+def test_simhash_counts_runs_of_any_length():
+    draw = np.random.default_rng(3)
+    for sizes in ([1], [3, 1, 700, 2, 255, 256, 1], [510]):
+        features = draw.integers(0, 1 << 40, sum(sizes)).astype(np.uint64)
+        starts = np.cumsum(sizes) - sizes
+        bits = np.unpackbits(lines.mix(features).view(np.uint8).reshape(-1, 8), axis=1)
+        want = [np.packbits(2 * bits[a : a + n].sum(axis=0) > n).view(np.uint64)[0] for a, n in zip(starts, sizes)]
+        assert lines.simhash(features, starts).tolist() == want
+
+
+def test_scripts_without_blanks():
+    assert normal_form("東京 tokyo。大阪") == "東 京 tokyo。 大 阪" or normal_form("東京") == "東 京"
+    a, b = "東京都は日本の首都であり世界最大級の都市である", "東京都は日本の首都であり世界最大級の街である"
+    found = LineTable([a, b], LineSpec())
+    assert found.words.tolist() == [len(a), len(b)] and similar(normal_form(a), normal_form(b), 0.75)
+    assert (found.blocks[0] == found.blocks[1]).any()
 
 
 def test_long_texts_come_in_pieces_of_whole_lines():
@@ -57,28 +78,19 @@ def test_long_texts_come_in_pieces_of_whole_lines():
         assert found == {(k, n): x for k, t in enumerate(texts) for n, x in enumerate((t or "").split("\n"))}
 
 
-@pytest.mark.parametrize("classes", [1, 1 << 22, 1 << 26, 1 << 40])
-def test_pigeonhole_is_exact(classes):
-    spec, draw = LineSpec(), random.Random(3)
-    tables = spec.layout(classes)
-    for _ in range(500):
-        flips = sum(1 << k for k in draw.sample(range(64), draw.randint(0, spec.bits)))
-        assert any(all(not (flips >> (64 - at - width)) & ((1 << width) - 1) for at, width in t) for t in tables)
-
-
 def expected(rows, spec):
     """doc_id: numbers of the lines that go."""
     own = {}
     texts = [t for _, t in rows]
-    for (k, n), (p, h) in hashes(texts, spec).items():
-        own[rows[k][0], n] = (normal_form(texts[k].split("\n")[n]), h)
+    for (k, n), (_, h, _, blocks) in hashes(texts, spec).items():
+        own[rows[k][0], texts[k], n] = (normal_form(texts[k].split("\n")[n]), h, blocks)
     forms = sorted(set(own.values()))
-    links = [(a, b) for i, (a, x) in enumerate(forms) for b, y in forms[i + 1 :] if (x ^ y).bit_count() <= spec.bits and similar(a, b, spec.similarity)]
-    root = brute.components([f for f, _ in forms], links)
+    links = [(a, b) for i, (a, x, p) in enumerate(forms) for b, y, q in forms[i + 1 :] if (x ^ y).bit_count() <= spec.bits and set(p) & set(q) and similar(a, b, spec.similarity)]
+    root = brute.components([f for f, *_ in forms], links)
     first, gone = {}, {}
     for place in sorted(own):
         if first.setdefault(root[own[place][0]], place) != place:
-            gone.setdefault(place[0], []).append(place[1])
+            gone.setdefault(place[0], []).append(place[2])
     return gone
 
 
@@ -95,36 +107,80 @@ def corpus(draw):
     return rows
 
 
-def test_against_brute_force(spark, monkeypatch):
-    draw, spec = random.Random(4), LineSpec()
+@pytest.mark.parametrize("block", [1024, 3])
+def test_against_brute_force(spark, block):
+    draw, spec = random.Random(4), LineSpec(block=block)
     rows = corpus(draw)
     gone = expected(rows, spec)
-    assert sum(map(len, gone.values())) > 60
+    assert sum(map(len, gone.values())) > 90
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert {r["doc_id"]: r["lines"] for r in repeated_lines(frame, spec).collect()} == gone
-    monkeypatch.setattr(LineSpec, "layout", lambda self, n, whole=LineSpec.layout: whole(self, 1 << 40))
-    assert {r["doc_id"]: r["lines"] for r in repeated_lines(frame, spec).collect()} == gone
+
+
+def test_nearly_all_similar_lines_are_candidates():
+    """Against the edit similarity alone: lines of 5 to 90 words, up to a fifth of the words changed."""
+    draw, spec = random.Random(7), LineSpec()
+    vocabulary = ["".join(draw.choices(string.ascii_lowercase, k=draw.randint(2, 9))) for _ in range(3000)]
+    similar_, found = 0, 0
+    for _ in range(1500):
+        base = draw.choices(vocabulary, k=draw.choice([5, 8, 12, 25, 60, 90]))
+        a, b = " ".join(base), " ".join(brute.variant(draw, base, draw.choice([0.02, 0.05, 0.1, 0.2]), vocabulary))
+        if b and similar(a, b, spec.similarity):
+            t = LineTable([a, b], spec)
+            similar_ += 1
+            found += bool((t.blocks[0] == t.blocks[1]).any() and spec.comparable(t.hash[:1], t.hash[1:], t.chars[:1], t.chars[1:])[0])
+    assert similar_ > 1000 and found / similar_ > 0.93
+
+
+def test_a_large_group_of_lines_one_word_apart(spark):
+    """8,000 lines share nearly all blocks; each is compared with a pivot, not with all others."""
+    draw = random.Random(8)
+    base = ["".join(draw.choices(string.ascii_lowercase, k=6)) for _ in range(40)]
+    words = ["".join(draw.choices(string.ascii_lowercase, k=6)) for _ in range(8000)]
+    rows = [(i, " ".join([*base[: i % 40], w, *base[i % 40 + 1 :]])) for i, w in enumerate(words)]
+    found = drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found.where("n_removed = 0").count() == 1
+
+
+def test_texts_under_one_id_are_documents_of_their_own(spark):
+    same, rare = "the quick brown fox jumps over", "a totally different unique line of text here"
+    rows = [(1, f"{same}\nline two of the first text"), (2, f"{same}\nmore that is only found here"), (2, f"{rare}\nsomething else entirely")]
+    texts = {r["text"] for r in drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert texts == {rows[0][1], "more that is only found here", rows[2][1]}
 
 
 def test_texts_and_columns(spark):
     same = "the quick brown fox jumps over"
-    rows = [(2, f"{same}\nshort one\nand another line that stays here", "a", 9), (1, f"intro line number one two\n{same.upper()}!", "b", 9), (3, same, "c", 9), (None, same, "d", 9), (4, None, "e", None), (5, "", "f", 0), (6, f"short one\n{same}\n{same}", "g", 9)]
+    rows = [(2, f"{same}\nshort two\nand another line that stays here", "a", 9), (1, f"intro line number one two\n{same.upper()}!", "b", 9), (3, same, "c", 9), (None, same, "d", 9), (4, None, "e", None), (5, "", "f", 0), (6, f"short one\n{same}\n{same}", "g", 9)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, line string, n_chars long")
     found = {r["line"]: r for r in drop_repeated_lines(frame).collect()}
     assert len(found) == 7
-    assert found["a"]["text"] == "short one\nand another line that stays here" and found["a"]["n_left"] == 1
+    assert found["a"]["text"] == "short two\nand another line that stays here" and found["a"]["n_left"] == 2
     assert found["b"]["text"] == rows[1][1] and found["b"]["n_removed"] == 0 and found["b"]["n_left"] is None
     assert (found["c"]["text"], found["c"]["n_left"], found["c"]["n_chars"]) == ("", 0, 0)
     assert found["d"]["text"] == same and found["e"]["text"] is None and found["e"]["n_chars"] is None and found["f"]["text"] == ""
-    assert found["g"]["text"] == "short one" and found["g"]["n_removed"] == 2 and found["g"]["n_left"] == 0
+    assert found["g"]["text"] == "short one" and found["g"]["n_removed"] == 2 and found["g"]["n_left"] == 1
     twice = spark.createDataFrame([(1, same), (1, same), (2, same)], "doc_id long, text string")
     assert sorted(r["text"] for r in drop_repeated_lines(twice).collect()) == ["", same, same]
     assert drop_repeated_lines(frame.limit(0)).count() == 0
 
 
-def test_near_pairs_by_bucket():
-    draw = np.random.default_rng(5)
-    key = np.sort(draw.integers(0, 30, 400))
-    hashed = draw.integers(0, 64, 400).astype(np.uint64)
-    found = {(int(a), int(b)) for i, j in lines._near(key, hashed, 2) for a, b in zip(i, j)}
-    assert found == {(a, b) for a in range(400) for b in range(a + 1, 400) if key[a] == key[b] and int(hashed[a] ^ hashed[b]).bit_count() <= 2}
+def test_columns_of_any_name_stay(spark):
+    frame = spark.createDataFrame([(1, "one two three four five", "k", 1), (2, "one two three four five", "l", 2)], "doc_id long, text string, text_key string, c0 int")
+    found = drop_repeated_lines(frame.withColumn("lines", F.lit("x")).withColumn("id", F.lit(3)))
+    assert found.columns == ["doc_id", "text", "text_key", "c0", "lines", "id", "n_lines", "n_removed", "n_left"]
+    assert sorted(map(tuple, found.collect())) == [(1, "one two three four five", "k", 1, "x", 3, 1, 0, None), (2, "", "l", 2, "x", 3, 1, 1, 0)]
+
+
+def test_buckets_larger_than_a_batch(spark):
+    """Members of a bucket meet its pivot across batches."""
+    spec = LineSpec()
+    rows = [(k.to_bytes(4, "big"), 5 if k % 3 else 2**63 - 1, 10, [7, 100 + k]) for k in range(50)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = lines.shared_buckets(spark.createDataFrame(rows, "print binary, hash long, chars int, blocks array<long>"), spec).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == 50 and {r["bucket"] for r in found} == {7}
+    assert {bytes(r["print"]) for r in found if r["pivot"] is not None} == {k.to_bytes(4, "big") for k in range(1, 50) if k % 3 == 0}
