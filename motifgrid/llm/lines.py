@@ -52,7 +52,7 @@ class LineSpec:
     #: Word pairs that a block is made of.
     pairs: int = 2
     #: Places in which the SimHashes of a candidate pair may differ.
-    bits: int = 20
+    bits: int = 14
     #: Classes of a bucket that meet as many others at a time.
     block: int = 1024
 
@@ -377,15 +377,14 @@ def repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     classes = materialise(classes.select("print", "first", "n", "m.hash", "m.chars", "m.blocks"), "classes")
     shared = materialise(shared_buckets(classes, spec), "shared")
     pairs = shared.where(F.col("pivot").isNotNull()).select(F.least("print", "pivot").alias("a"), F.greatest("print", "pivot").alias("b")).distinct()
-    pairs = materialise(pairs, "pairs", most := shared.count())
-    forms = forms_of(pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct(), classes, docs, most)
+    most = shared.count()
+    # Read once, for both rounds.
+    forms = forms_of(shared.select("print").distinct(), classes, docs, most)
     links = materialise(similar_pairs(pairs, forms, spec), "links", most)
     roots = connected_components(links, most)
-    discard(pairs, forms)
     known = shared.join(roots.withColumnRenamed("node", "print"), "print", "left").select("bucket", F.col("print").alias("class"), "hash", "chars", F.coalesce("root", "print").alias("root"))
     still = materialise(open_classes(known, spec), "open", most)
-    forms = forms_of(still, classes, docs, most)
-    detail = forms.join(classes.select("print", "blocks"), "print").withColumnRenamed("print", "class")
+    detail = still.join(forms, "print").join(classes.select("print", "blocks"), "print").withColumnRenamed("print", "class")
     more = linking_pairs(known.join(detail, "class"), spec)
     roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), most)
     named = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").where(F.col("root").isNotNull() | (F.col("n") > 1))
