@@ -13,8 +13,8 @@ Queries are dealt in blocks too, so a task holds one block of queries and one gr
 of candidates, however many there are.
 
 Defined results: vectors that are null, empty or hold a null or non-finite
-component take no part; nor do those whose length isn't the most common one (the
-smaller, of ties). A row with a null id takes no part. Scores are exact up to 2**53. Rows with the query's own id
+component take no part. Vectors meet those with as many components; the axes are
+rotated for the most common number, others keep their own axes. A row with a null id takes no part. Scores are exact up to 2**53. Rows with the query's own id
 are not its candidates; other repeated rows are candidates each; of several vectors
 with a query's id the least, component by component, asks. Ties go to the smaller id. With fewer
 than k candidates all are returned; an empty table gives an empty one.
@@ -50,9 +50,7 @@ def whole_vectors(vectors: DataFrame, spec: TopK = TopK()) -> DataFrame:
     x = F.transform("embedding", lambda c: c.cast("double"))
     sound = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    rows = vectors.where(sound & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * spec.scale).cast("long")).alias("v"))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    return rows.where(F.size("v") == (common[0]["d"] if common else 0))
+    return vectors.where(sound & F.coalesce(finite, F.lit(False))).select(F.col("vec_id").cast("long"), F.transform(x, lambda c: F.floor(c * spec.scale).cast("long")).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -123,19 +121,20 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.nd
 
 def top_k(vectors: DataFrame, is_query: Column, spec: TopK = TopK()) -> DataFrame:
     """query_id, rank, vec_id and score of the k greatest inner products of each query with all other rows of vectors(vec_id, embedding)."""
-    rows = materialise(whole_vectors(vectors, spec), "vectors")
-    axes = rotation(rows)
+    rows = materialise(whole_vectors(vectors, spec), "vectors").withColumn("d", F.size("v"))
+    common = rows.groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
+    axes = rotation(rows.where(F.col("d") == common[0]["d"])) if common else None
     kept = "query_id long, rank int, vec_id long, score long"
     if axes is None:
         return rows.sparkSession.createDataFrame([], kept)
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
     n_queries, n_rows = queries.count(), rows.count()
     blocks, groups = max(1, -(-n_queries // spec.queries_a_block)), max(1, -(-n_rows // spec.candidates_a_group))
     # Dealt by id, so that equal vectors spread over all groups.
     dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.withColumn("block", dealt(blocks)).select("block", every(groups).alias("grp"), "vec_id", "v", F.lit(True).alias("asks"))
-    offered = rows.withColumn("grp", dealt(groups)).select(every(blocks).alias("block"), "grp", "vec_id", "v", F.lit(False).alias("asks"))
+    asked = queries.withColumn("block", dealt(blocks)).select("d", "block", every(groups).alias("grp"), "vec_id", "v", F.lit(True).alias("asks"))
+    offered = rows.withColumn("grp", dealt(groups)).select("d", every(blocks).alias("block"), "grp", "vec_id", "v", F.lit(False).alias("asks"))
 
     def search(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         found = found.combine_chunks()
@@ -143,10 +142,10 @@ def top_k(vectors: DataFrame, is_query: Column, spec: TopK = TopK()) -> DataFram
         ids = x["vec_id"].to_numpy()
         place, name, score = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if x.num_rows and y.num_rows:
-            place, name, score = search_block((ids, _matrix(x["v"].combine_chunks())), (y["vec_id"].to_numpy(), _matrix(y["v"].combine_chunks())), axes, spec)
+            place, name, score = search_block((ids, _matrix(x["v"].combine_chunks())), (y["vec_id"].to_numpy(), _matrix(y["v"].combine_chunks())), axes if key[0].as_py() == len(axes) else np.eye(key[0].as_py()), spec)
         return pa.table({"query_id": ids[place], "vec_id": name, "score": score})
 
-    lists = asked.unionByName(offered).groupBy("block", "grp").applyInArrow(search, "query_id long, vec_id long, score long")
+    lists = asked.unionByName(offered).groupBy("d", "block", "grp").applyInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
 

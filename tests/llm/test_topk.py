@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from motifgrid.llm.topk import TopK, top_k
 
+from .oracle import assert_same
+
 
 def brute(rows, k):
     v = [(i, [math.floor(64 * x) for x in e]) for i, e in rows]
@@ -34,3 +36,14 @@ def test_empty_and_alone(spark):
     assert top_k(empty, F.col("vec_id") % 20 == 0).count() == 0
     alone = spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<float>")
     assert top_k(alone, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_vectors_meet_those_of_their_length(spark):
+    draw = random.Random(6)
+    rows = [(i, [draw.gauss(0, 1) for _ in range(3 if i % 4 else 2)]) for i in range(100)]
+    found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, TopK(k=4)).collect()
+    assert sorted(map(tuple, found)) == sorted(brute([r for r in rows if r[0] % 4], 4) + brute([r for r in rows if not r[0] % 4], 4))
+
+
+def test_the_query_equals_its_sql(spark):
+    assert assert_same(spark, "/root/testdata/sf0.001", "op4_exact_top_k") > 0
