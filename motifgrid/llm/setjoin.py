@@ -2,8 +2,10 @@
 
 Documents are sets of word shingles; documents with the same set are one class.
 Every tree sorts the classes into nodes by the minwise token of a coordinate of its
-own. Nodes of more than `leaf` classes branch: each chooses `branches` further
-coordinates, by its own number, and a class goes down one child for each of them.
+own. Nodes of more than `leaf` classes branch, level by level: each chooses `branches`
+further coordinates of its tree, by its own number, and a class goes down one child for
+each of them. What still stands together after `levels` levels agrees on nearly all
+coordinates of the tree.
 Independent trees are repeated until a pair at the threshold shares a leaf with the
 target recall. Nodes of one class are dropped at every level.
 
@@ -52,7 +54,10 @@ class JoinSpec:
     recall: float = 1 - 1e-6
     leaf: int = 256
     branches: int = 2
-    levels: int = 2
+    #: Levels at which a node branches that still holds more than `leaf` classes.
+    levels: int = 6
+    #: Coordinates that each tree has of its own, beside its root's, for its nodes to choose from.
+    pool: int = 8
     #: Standard errors by which a sketch may fall short of the threshold.
     slack: float = 5.5
     #: Members that are compared with a set at a time; classes of a block that meets another, by sketches and by texts.
@@ -106,7 +111,8 @@ def minwise(sets: list[np.ndarray]) -> np.ndarray:
 def signatures(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
     """(doc_id, n_shingles, class, sketch, tokens) for docs(doc_id, text); class is a fingerprint of the set, null if it is empty."""
     small_batches(docs.sparkSession, 256)
-    kept = max(spec.trees + 8, 32)
+    kept = spec.trees * (1 + spec.pool)
+    assert kept <= SKETCH, "the trees need more coordinates than there are"
 
     def run(batches):
         for batch in batches:
@@ -125,18 +131,20 @@ def signatures(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
 
 
 def leaves(classes: DataFrame, spec: JoinSpec, most: int | None = None) -> DataFrame:
-    """(node, class, n) of all leaves with more than one class, of all trees. classes has class and tokens; most: a bound of its rows."""
+    """(node, tree, class, n) of all leaves with more than one class, of all trees. classes has class and tokens; most: a bound of its rows."""
     rows = None if most is None else most * spec.trees
-    roots = classes.select("class", F.posexplode(F.slice("tokens", 1, spec.trees)).alias("tree", "token")).select(F.xxhash64("tree", "token").alias("node"), "class")
+    width = 1 + spec.pool
+    trees = F.explode(F.sequence(F.lit(0), F.lit(spec.trees - 1)))
+    roots = classes.select("class", "tokens", trees.alias("tree")).select(F.xxhash64("tree", F.get("tokens", F.col("tree") * width)).alias("node"), "tree", "class")
     now, done = _shared(roots, rows), []
     for level in range(spec.levels):
         large = now.where(F.col("n") > spec.leaf)
         if large.limit(1).count() == 0:
             break
         done.append(now.where(F.col("n") <= spec.leaf))
-        free = F.size("tokens") - spec.trees
-        chosen = [F.xxhash64("node", F.lit(level), F.lit(j), F.get("tokens", (spec.trees + F.pmod(F.xxhash64("node", F.lit(j)), free)).cast("int"))) for j in range(spec.branches)]
-        below = large.join(classes.select("class", "tokens"), "class").select(F.explode(F.array(*chosen)).alias("node"), "class")
+        picks = [(F.col("tree") * width + 1 + F.pmod(F.xxhash64("node", F.lit(j)), F.lit(spec.pool))).cast("int") for j in range(spec.branches)]
+        chosen = [F.xxhash64("node", F.lit(level), F.lit(j), F.get("tokens", pick)) for j, pick in enumerate(picks)]
+        below = large.join(classes.select("class", "tokens"), "class").select(F.explode(F.array(*chosen)).alias("node"), "tree", "class")
         now = _shared(below, rows)
     for part in done:
         now = now.unionByName(part)

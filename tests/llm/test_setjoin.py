@@ -4,11 +4,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from motifgrid.llm import shingles
+from motifgrid.llm import setjoin, shingles
 from motifgrid.llm.components import connected_components
 from motifgrid.llm.setjoin import JoinSpec, linked_edges, minwise, near_duplicates
 
 from . import brute
+from .oracle import assert_same
 
 
 def test_shingle_sets():
@@ -92,7 +93,20 @@ def test_null_and_repeated_ids(spark):
 
 def test_trees_reach_the_recall():
     spec = JoinSpec()
-    assert spec.trees == 12 and 60 <= spec.least_agreement < 96
+    assert spec.trees * (1 + spec.pool) <= setjoin.SKETCH and 60 <= spec.least_agreement < 96
+    # Pairs at the threshold whose nodes branch at all levels: each coordinate agrees by chance, a node picks from its tree's pool.
+    draw, n, missed = np.random.default_rng(1), 40_000, 1.0
+    agree = draw.random((n, spec.pool)) < spec.similarity
+    alive = [np.flatnonzero(draw.random(n) < spec.similarity)]
+    for _ in range(spec.levels):
+        below = [at[agree[at, draw.integers(0, spec.pool, len(at))]] for at in alive for _ in range(spec.branches)]
+        alive = below
+    met = np.unique(np.concatenate(alive)).size / n
+    assert (1 - met) ** spec.trees < 1e-4
+
+
+def test_the_query_equals_its_sql(spark):
+    assert_same(spark, "/root/testdata/sf0.001", "op5_minhash_near_dedup")
 
 
 def test_links_of_a_block():
