@@ -116,16 +116,19 @@ def propagate(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame:
 def balanced_shards(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame:
     """rows(id, group, ...) with shard and slot; group is null for rows without links."""
     start = F.pmod(F.xxhash64("id", "group"), F.lit(spec.shards)).cast("int")
-    rows = materialise(rows.withColumn("start", start), "rows")
+    # Written with the rows, so that it stays: rows without an id are told apart by where they were read.
+    salt = F.coalesce(F.when(F.col("id").isNotNull(), F.xxhash64("id", F.lit(1))), F.xxhash64(F.monotonically_increasing_id()))
+    rows = materialise(rows.withColumn("start", start).withColumn("salt", salt), "rows")
     classes = propagate(rows, spec)
     goes = classes.select(F.col("group").alias("g"), F.col("start").alias("s"), "shard", "all", F.lit(1).alias("linked"))
     rows = rows.join(goes, (F.col("group") == F.col("g")) & (F.col("start") == F.col("s")), "left").drop("g", "s")
     rows = rows.withColumn("shard", F.coalesce("shard", "start")).withColumn("linked", F.coalesce("linked", F.lit(0)))
     n = rows.count()
     parts = max(1, n // spec.shards // spec.window)
-    # Linked rows first, a group's rows together, but those of a hot group split by their own hash so that no window holds it.
-    part = F.when(F.col("all") > spec.window // 16, F.xxhash64("id", F.lit(1))).otherwise(F.xxhash64("group", F.lit(1)))
-    first = F.when(F.col("linked") == 1, F.pmod(F.xxhash64("group"), F.lit(parts)) * 16 + F.pmod(part, F.lit(16))).otherwise(16 * parts + F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts)))
+    # Linked rows first, a group's rows together, but those of a hot group dealt to as many windows as they fill.
+    wide = F.ceil(F.col("all") * 16 / spec.window)
+    part = F.pmod(F.xxhash64("group"), F.lit(16 * parts)) + F.when(wide > 1, F.pmod("salt", wide)).otherwise(0)
+    first = F.when(F.col("linked") == 1, F.pmod(part, F.lit(16 * parts))).otherwise(16 * parts + F.pmod("salt", F.lit(parts)))
     rows = rows.withColumn("unit", first)
     units = rows.groupBy("shard", "unit").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -144,7 +147,7 @@ def balanced_shards(rows: DataFrame, spec: ShardSpec = ShardSpec()) -> DataFrame
     stays = F.col("over").isNull()
     shard = F.when(stays, F.col("shard")).otherwise(F.col("goal")).cast("int")
     slot = F.when(stays, F.col("rank")).otherwise(_pick(filled, F.col("goal")) + F.col("over") - _pick(places[:-1], F.col("goal")))
-    return ranked.withColumn("slot", slot.cast("long")).withColumn("shard", shard).drop("start", "linked", "all", "unit", "in", "before", "rank", "over", "goal")
+    return ranked.withColumn("slot", slot.cast("long")).withColumn("shard", shard).drop("start", "salt", "linked", "all", "unit", "in", "before", "rank", "over", "goal")
 
 
 def cut_groups(sharded: DataFrame) -> DataFrame:
