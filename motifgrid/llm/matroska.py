@@ -282,6 +282,9 @@ def _read_cluster(data: memoryview, a: int, b: int, media: Media) -> None:
         for c, d in blocks:
             track, relative, flags, frames = _frames(data, c, d)
             step = media.tracks.get(track, {}).get("default_duration", 0)
+            # Fields of eight bytes, as tables have them.
+            if track >= 1 << 63 or not -(1 << 63) <= (time + relative) * media.scale <= (1 << 63) - 1 - len(frames) * step:
+                raise MatroskaError(f"the block at byte {c} has a track or a time beyond 64 bits")
             for lace, (at, size) in enumerate(frames):
                 media.packets.append(Packet(track, (time + relative) * media.scale + lace * step, at, size, len(media.clusters) - 1, lace, bool(flags & 0x80) if key == SIMPLE_BLOCK else True))
 
@@ -302,12 +305,14 @@ def features(media: Media, payload: bytes) -> str:
     level = samples >= 128
     total, square = int(samples.sum(dtype=np.int64)), int(np.bincount(samples, minlength=256) @ (np.arange(256, dtype=np.int64) ** 2))
     last = media.packets[-1].timestamp_ns if media.packets else 0
-    return f"codec={media.tracks[1]['codec']};packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};last_ns={last};sum={total};squares={square};crossings={int((level[1:] != level[:-1]).sum())}"
+    return f"codec={media.tracks.get(1, {}).get('codec', '')};packets={len(media.packets)};clusters={len(media.clusters)};cues={len(media.cues)};last_ns={last};sum={total};squares={square};crossings={int((level[1:] != level[:-1]).sum())}"
 
 
 # --- columns
 
-PACKETS = "track int, codec string, timestamp_ns long, offset long, length int, cluster int, lace int, keyframe boolean"
+PACKETS = "track long, codec string, timestamp_ns long, offset long, length long, cluster int, lace int, keyframe boolean"
+#: Packets that are handed on at a time.
+PACKETS_A_BATCH = 1 << 16
 
 
 def pad(text: str | None, frame: int = FRAME) -> tuple[int, bytes]:
@@ -333,15 +338,20 @@ def packet_table(rows: DataFrame, key: str = "doc_id", media: str = "media") ->
 
     def read(batches):
         for batch in batches:
+            types = (batch[key].type, pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
+            names = [key, "track", "codec", "timestamp_ns", "offset", "length", "cluster", "lace", "keyframe", "error"]
+            rows_of = lambda out: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
             out = []
             for k, blob in zip(batch[key].to_pylist(), batch[media].to_pylist()):
                 try:
                     found = read_media(blob or b"")
                     out += [(k, p.track, found.tracks.get(p.track, {}).get("codec"), p.timestamp_ns, p.offset, p.length, p.cluster, p.lace, p.keyframe, None) for p in found.packets]
-                except (MatroskaError, IndexError, struct.error) as e:
+                except (MatroskaError, IndexError, OverflowError, struct.error) as e:
                     out.append((k, *[None] * 8, str(e)))
-            types = (batch[key].type, pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[key, "track", "codec", "timestamp_ns", "offset", "length", "cluster", "lace", "keyframe", "error"])
+                if len(out) > PACKETS_A_BATCH:
+                    yield rows_of(out)
+                    out = []
+            yield rows_of(out)
 
     return rows.select(key, media).mapInArrow(read, f"`{key}` {kind}, {PACKETS}, error string")
 

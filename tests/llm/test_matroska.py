@@ -1,3 +1,5 @@
+import hashlib
+import zlib
 import random
 
 import pytest
@@ -66,3 +68,33 @@ def test_damaged_bytes_never_crash_the_reader():
             m.read_media(bytes(bad))
         except (m.MatroskaError, IndexError, m.struct.error):
             pass
+
+
+def test_fields_beyond_a_table_are_errors(spark):
+    """Track numbers and times of any size come as they are or as an error row, never as a crash."""
+
+    def media(track, time):
+        cluster = m._element(m.CLUSTER, m._uint(m.TIMESTAMP, time) + m._element(m.SIMPLE_BLOCK, m.block(track, 0, [b"abc"], m.NO_LACING)))
+        return m._element(m.EBML, m._element(m.DOC_TYPE, b"matroska")) + m._element(m.SEGMENT, cluster)
+
+    rows = [(1, media(1 << 40, 5)), (2, media(1, 1 << 62)), (3, media(1, 7)), (4, media((1 << 56) - 2, 0))]
+    found = {r["doc_id"]: r for r in m.packet_table(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert found[1]["track"] == 1 << 40 and found[1]["timestamp_ns"] == 5_000_000
+    assert found[2]["track"] is None and "64 bits" in found[2]["error"]
+    assert found[3]["length"] == 3 and found[4]["track"] == (1 << 56) - 2
+    assert m.features(m.read_media(media(5, 0)), b"").startswith("codec=;packets=1")
+
+
+def test_digests_against_plain_bytes(spark):
+    """What the query says of a text, from the padded bytes alone."""
+    texts = ["", "a", "x" * 576, "é£" * 400, "".join(chr(32 + i % 90) for i in range(20_000))]
+    found = {r["doc_id"]: r for r in m.media_digests(m.text_media(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))).collect()}
+    for i, text in enumerate(texts):
+        raw = text.encode()
+        whole = raw + b"\xff" * (-len(raw) % 576 or (0 if raw else 576))
+        r = found[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-32:]))
+        said = dict(x.split("=") for x in r["feature"].split(";"))
+        crossings = sum((a >= 128) != (b >= 128) for a, b in zip(whole, whole[1:]))
+        assert (int(said["sum"]), int(said["squares"]), int(said["crossings"])) == (sum(whole), sum(b * b for b in whole), crossings)
+        assert int(said["packets"]) == len(whole) // 576 and int(said["clusters"]) == int(said["cues"]) == -(-len(whole) // (576 * 256))
