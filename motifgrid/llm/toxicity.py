@@ -12,8 +12,8 @@ significant by that law, and a logistic curve over the document's normalised
 segments, fitted to the same rows, gives the score.
 
 The model is fitted on a bounded sample of labelled rows (`max_labelled`, those with
-the smallest hash of doc_id) and holds at most `max_features` features; every
-document is scored whole.
+the smallest hash of doc_id), and holds every feature of at least `min_documents` of
+them: fewer say nothing that the prior doesn't. Every document is scored whole.
 
 Defined results: a null or empty text has no tokens and the score of a document
 without segments; a null doc_id counts as text '' in the hold-out. Repeated rows are
@@ -42,7 +42,6 @@ WORD = re.compile(r"[^\W\d_]+")
 @dataclass(frozen=True)
 class ToxicitySpec:
     max_labelled: int = 20_000
-    max_features: int = 300_000
     min_documents: int = 4
     shortest_prefix: int = 3
     longest_prefix: int = 8
@@ -224,33 +223,37 @@ def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec(
         yield flush()
 
     counts = rows.where(~F.col("fits")).mapInArrow(count, "name string, bad long, seen long").groupBy("name").agg(F.sum("bad").alias("bad"), F.sum("seen").alias("seen"))
-    counts = counts.where((F.col("seen") >= spec.min_documents) | (F.col("name") == "")).orderBy(F.col("name") != "", F.desc("seen"), "name").limit(spec.max_features + 1).toArrow()
+    counts = counts.where((F.col("seen") >= spec.min_documents) | (F.col("name") == "")).toArrow()  # of at most max_labelled texts
     counted = list(zip(counts["name"].to_pylist(), counts["bad"].to_pylist(), counts["seen"].to_pylist()))
     toxic = sum(bad for name, bad, _ in counted if not name)
     clean = sum(seen - bad for name, bad, seen in counted if not name)
     model = ToxicityModel(_share_model([c for c in counted if c[0]], toxic, clean, spec), spec)
 
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    def measured(of) -> pa.Table:
+        """toxic and two numbers, of(words), for each calibration row."""
 
-    def measure(batches):
-        own = sent.value
-        for batch in batches:
-            out = []
-            for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist()):
-                words = tokens(text)
-                out.append((int(toxic > 0), len(words), [s for _, _, s in segments(own.weights(words))]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))], names=["toxic", "n", "scores"])
-
-    found = rows.where("fits").mapInArrow(measure, "toxic int, n long, scores array<double>").toArrow().to_pylist()
-    y = np.array([r["toxic"] for r in found], float)
-    n = np.array([max(r["n"], 1) for r in found], float)
-    best = np.array([max(r["scores"], default=0.0) for r in found], float)
+        def run(batches):
+            for batch in batches:
+                out = [(int(toxic > 0), *of(tokens(text))) for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.float64(), pa.float64()))], names=["toxic", "x", "y"])
+
+        return rows.where("fits").mapInArrow(run, "toxic int, x double, y double").toArrow()
+
+    def scores(own: ToxicityModel, words: list[str]) -> np.ndarray:
+        return np.array([s for _, _, s in segments(own.weights(words))])
+
+    context = docs.sparkSession.sparkContext
+    sent = context.broadcast(model)
+    found = measured(lambda words: (max(len(words), 1), max(scores(sent.value, words), default=0.0)))
+    y, n, best = (found[c].to_numpy().astype(float) for c in ("toxic", "x", "y"))
     if not len(y) or y.min() == y.max():
         share = (toxic + float(y.sum())) / max(1, toxic + clean + len(y))
         model.curve = (math.log(max(share, 1e-9) / max(1 - share, 1e-9)), 0.0, 0.0)
         return model
     model.decay, model.scale = _fit_law(best[y == 0], n[y == 0])
-    model.curve = _fit_curve(np.array([model.traits(np.array(r["scores"]), r["n"]) for r in found]), y)
+    lawful = context.broadcast(model)
+    found = measured(lambda words: lawful.value.traits(scores(lawful.value, words), len(words)))
+    model.curve = _fit_curve(np.column_stack([found["x"].to_numpy(), found["y"].to_numpy()]), found["toxic"].to_numpy().astype(float))
     return model
 
 

@@ -81,7 +81,7 @@ def test_edges(spark):
     one_class = train(docs, known.where("toxic = 0"))
     assert max(r["score"] for r in score_documents(docs, one_class).collect()) < 0.01
     assert score_documents(docs.limit(0), model).count() == 0
-    assert train(docs, known, ToxicitySpec(max_labelled=50, max_features=100)).odds
+    assert train(docs, known, ToxicitySpec(max_labelled=50)).odds
 
 
 def test_tokens():
