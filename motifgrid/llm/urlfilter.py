@@ -1,9 +1,9 @@
 """URL filters: explicit rules first, then a tree of path templates for each host.
 
 Paths are counted by host and lexical template (runs of digits and long hex strings
-are variable). Level by level, children of a node that are many and rare, or whose
-labelled rates don't differ from the node's, merge into one wildcard branch; what
-differs stays a branch of its own. A template is rejected if the share of good
+are variable). Level by level, children of a node whose labelled rates don't
+differ from the node's (by more, if they are many and rare) merge into one wildcard branch; what
+differs stays a branch of its own. Paths of any depth are followed to their ends. A template is rejected if the share of good
 labels among its labelled pages, smoothed by its host's share, which is smoothed by
 the share of all, is under a threshold.
 
@@ -20,6 +20,7 @@ Other columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,14 +52,14 @@ RULES = (
 
 @dataclass(frozen=True)
 class TemplateTree:
-    """levels: depth to which branches are told apart; deeper segments are one wildcard.
-    fan_out, rare: a node of more children than fan_out merges those with less than this share of its pages.
-    z: children whose good share is within so many standard errors of the node's merge.
+    """z: children whose good share is within so many standard errors of the node's merge.
+    fan_out, rare, strict: a node of more children than fan_out asks those with less than this share of its
+    pages for a difference of `strict` standard errors, since some of many differ by chance.
     strength: pages that the prior counts as. threshold: least smoothed good share that is allowed."""
 
-    levels: int = 8
     fan_out: int = 16
     rare: float = 0.02
+    strict: float = 3.5
     z: float = 1.96
     strength: float = 2.0
     threshold: float = 0.5
@@ -102,21 +103,27 @@ def judge_templates(paths: DataFrame, tree: TemplateTree = TemplateTree()) -> Da
     rows = paths.groupBy("host", "lex").agg(*counts).withColumn("good", F.coalesce("good", F.lit(0))).withColumn("node", F.lit(""))
     rows = materialise(rows, "templates")
     most = rows.count()
-    deepest = rows.agg(F.max(F.size("lex"))).first()[0] or 0
-    for level in range(min(deepest, tree.levels)):
+    level, done = 0, []
+    while True:
+        # Paths that end here are done; the others go a level down, until none does.
+        done.append(rows.where(F.size("lex") <= level))
+        rows = rows.where(F.size("lex") > level)
+        if not rows.limit(1).count():
+            break
         # Two counts of the pre-aggregated rows, then joins by node: a hot host is split there.
         rows = rows.withColumn("seg", F.get("lex", F.lit(level)))
-        child = rows.where(F.col("seg").isNotNull()).groupBy("host", "node", "seg").agg(*(F.sum(c).alias(f"child_{c}") for c in ("n", "good", "seen")))
+        child = rows.groupBy("host", "node", "seg").agg(*(F.sum(c).alias(f"child_{c}") for c in ("n", "good", "seen")))
         node = child.groupBy("host", "node").agg(F.count("*").alias("children"), *(F.sum(f"child_{c}").alias(f"node_{c}") for c in ("n", "good", "seen")))
         many = (F.col("children") > tree.fan_out) & (F.col("child_n") < tree.rare * F.col("node_n"))
         share = (F.col("node_good") + 1) / (F.col("node_seen") + 2)
         error = F.sqrt(share * (1 - share) / F.greatest(F.col("child_seen"), F.lit(1)))
-        alike = F.abs((F.col("child_good") + share) / (F.col("child_seen") + 1) - share) <= tree.z * error
-        kept = child.join(node, ["host", "node"]).select("host", "node", "seg", F.when(many | ((F.col("children") > 1) & alike), "*").otherwise(F.col("seg")).alias("branch"))
-        rows = rows.join(kept.withColumnRenamed("host", "h").withColumnRenamed("node", "p").withColumnRenamed("seg", "s"), (F.col("host") == F.col("h")) & (F.col("node") == F.col("p")) & (F.col("seg") == F.col("s")), "left")
-        rows = rows.select("host", "lex", "n", "good", "seen", F.when(F.col("branch").isNotNull(), F.concat("node", F.lit("/"), "branch")).otherwise(F.col("node")).alias("node"))
+        alike = F.abs((F.col("child_good") + share) / (F.col("child_seen") + 1) - share) <= F.when(many, tree.strict).otherwise(tree.z) * error
+        kept = child.join(node, ["host", "node"]).select("host", "node", "seg", F.when((F.col("children") > 1) & alike, "*").otherwise(F.col("seg")).alias("branch"))
+        rows = rows.join(kept, ["host", "node", "seg"]).select("host", "lex", "n", "good", "seen", F.concat("node", F.lit("/"), "branch").alias("node"))
         rows = materialise(rows, f"templates-{level}", most)
-    rows = rows.withColumn("template", F.when(F.size("lex") > tree.levels, F.concat("node", F.lit("/**"))).when(F.col("node") == "", "/").otherwise(F.col("node"))).drop("node")
+        level += 1
+    rows = reduce(DataFrame.unionByName, done)
+    rows = rows.withColumn("template", F.when(F.col("node") == "", "/").otherwise(F.col("node"))).drop("node")
     total = rows.agg(F.sum("good").alias("all_good"), F.sum("seen").alias("all_seen"))
     host = rows.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("seen").alias("host_seen"))
     each = rows.groupBy("host", "template").agg(F.sum("n").alias("pages"), F.sum("good").alias("good"), F.sum("seen").alias("seen"))
@@ -131,7 +138,7 @@ def judge_templates(paths: DataFrame, tree: TemplateTree = TemplateTree()) -> Da
 def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, tree: TemplateTree = TemplateTree(), labels: DataFrame | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity for pages(page_id, url).
 
-    labels(page_id, good) are the labelled pages; without them the pages that a
+    labels(page_id, good) are the labelled pages (of a page's labels the least counts); without them the pages that a
     rule fits are: allowed ones good, blocked ones not.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
@@ -141,7 +148,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, tree: Templat
     if labels is None:
         labelled = rows.withColumn("good", F.when(F.col("ruled") == "allow", 1).when(F.col("ruled") == "block", 0))
     else:
-        labelled = rows.join(labels.select("page_id", F.col("good").cast("int").alias("good")), "page_id", "left")
+        labelled = rows.join(labels.groupBy("page_id").agg(F.min(F.col("good").cast("int")).alias("good")), "page_id", "left")
     judged = judge_templates(labelled.select("host", "lex", "good"), tree).select("host", "lex", "template", "purity", F.col("verdict").alias("judged"))
     return rows.join(judged, ["host", "lex"], "left").select("page_id", "host", "path", "rule", F.coalesce("ruled", "judged").alias("verdict"), "template", "purity")
 
@@ -152,7 +159,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _oracle(rules: tuple[Rule, ...] = RULES, tree: TemplateTree = TemplateTree()) -> str:
-    """The query as SQL, a table for each level of the tree."""
+    """The query as SQL, a table for each level of the tree; SQL needs their number, and the tables' paths are far shorter."""
     longest = sorted(rules, key=lambda r: (-len(r.name), r.name))
     which = lambda field: "CASE " + " ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{getattr(r, field)}'" for r in longest) + " END"
     parts = [
@@ -162,17 +169,18 @@ def _oracle(rules: tuple[Rule, ...] = RULES, tree: TemplateTree = TemplateTree()
   lambda s: CASE WHEN regexp_full_match(s, '[0-9a-f-]{{8,}}') AND regexp_matches(s, '[0-9]') THEN '{{h}}' ELSE regexp_replace(s, '[0-9]+', '{{n}}', 'g') END) AS lex FROM p)""",
         "t0 AS (SELECT host, lex, '' AS node, count(*) AS n, count(CASE WHEN ruled = 'allow' THEN 1 END) AS good, count(ruled) AS seen FROM r GROUP BY ALL)",
     ]
-    for k in range(tree.levels):
+    levels = 12
+    for k in range(levels):
         parts += [
             f"c{k} AS (SELECT host, node, lex[{k + 1}] AS seg, sum(n) AS n, sum(good) AS good, sum(seen) AS seen FROM t{k} WHERE len(lex) > {k} GROUP BY ALL)",
             f"n{k} AS (SELECT host, node, count(*) AS children, sum(n) AS n, (sum(good) + 1) / (sum(seen) + 2) AS share FROM c{k} GROUP BY ALL)",
-            f"""k{k} AS (SELECT host, node, seg, CASE WHEN (children > {tree.fan_out} AND c.n < {tree.rare} * m.n)
-  OR (children > 1 AND abs((good + share) / (seen + 1) - share) <= {tree.z} * sqrt(share * (1 - share) / greatest(seen, 1))) THEN '*' ELSE seg END AS branch FROM c{k} c JOIN n{k} m USING (host, node))""",
+            f"""k{k} AS (SELECT host, node, seg, CASE WHEN children > 1 AND abs((good + share) / (seen + 1) - share)
+  <= CASE WHEN children > {tree.fan_out} AND c.n < {tree.rare} * m.n THEN {tree.strict} ELSE {tree.z} END * sqrt(share * (1 - share) / greatest(seen, 1)) THEN '*' ELSE seg END AS branch FROM c{k} c JOIN n{k} m USING (host, node))""",
             f"t{k + 1} AS (SELECT t.host, lex, t.node || coalesce('/' || branch, '') AS node, n, good, seen FROM t{k} t LEFT JOIN k{k} b ON t.host = b.host AND t.node = b.node AND lex[{k + 1}] = seg)",
         ]
     s = tree.strength
     return "WITH " + ",\n".join(parts) + f""",
-t AS (SELECT host, lex, n, good, seen, CASE WHEN len(lex) > {tree.levels} THEN node || '/**' WHEN node = '' THEN '/' ELSE node END AS template FROM t{tree.levels}),
+t AS (SELECT host, lex, n, good, seen, CASE WHEN node = '' THEN '/' ELSE node END AS template FROM t{levels}),
 g AS (SELECT (coalesce(sum(good), 0) + 1) / (coalesce(sum(seen), 0) + 1) AS share FROM t),
 h AS (SELECT host, (sum(good) + {s} * any_value(share)) / (sum(seen) + {s}) AS share FROM t, g GROUP BY host),
 v AS (SELECT host, template, (sum(good) + {s} * any_value(share)) / (sum(seen) + {s}) AS purity FROM t JOIN h USING (host) GROUP BY host, template)

@@ -2,6 +2,8 @@ import re
 
 from motifgrid.llm.urlfilter import RULES, TemplateTree, filter_urls, op10_url_filters
 
+from .oracle import assert_same
+
 
 def parts(url):
     if url is None or "://" not in url:
@@ -38,7 +40,7 @@ def test_hosts_paths_and_rules(spark):
 def plain(rows, tree):
     """The method for rows (host, segments, good), with loops."""
     node = [""] * len(rows)
-    for level in range(min(max((len(s) for _, s, _ in rows), default=0), tree.levels)):
+    for level in range(max((len(s) for _, s, _ in rows), default=0)):
         groups = {}
         for k, (h, s, g) in enumerate(rows):
             if len(s) > level:
@@ -51,18 +53,18 @@ def plain(rows, tree):
                 n = sum(rows[k][2] is not None for k in members)
                 good = sum(rows[k][2] or 0 for k in members)
                 many = len(children) > tree.fan_out and len(members) < tree.rare * len(own)
-                alike = abs((good + share) / (n + 1) - share) <= tree.z * (share * (1 - share) / max(n, 1)) ** 0.5
+                alike = abs((good + share) / (n + 1) - share) <= (tree.strict if many else tree.z) * (share * (1 - share) / max(n, 1)) ** 0.5
                 for k in members:
-                    node[k] = f"{at}/{'*' if many or (len(children) > 1 and alike) else name}"
+                    node[k] = f"{at}/{'*' if len(children) > 1 and alike else name}"
     labels = [g for _, _, g in rows if g is not None]
     of_all = (sum(labels) + 1) / (len(labels) + 1)
     out = []
     for k, (h, s, _) in enumerate(rows):
         mine = [g for (h2, _, g) in rows if h2 == h and g is not None]
         of_host = (sum(mine) + tree.strength * of_all) / (len(mine) + tree.strength)
-        same = [g for j, (h2, _, g) in enumerate(rows) if h2 == h and node[j] == node[k] and g is not None and (len(rows[j][1]) > tree.levels) == (len(s) > tree.levels)]
+        same = [g for j, (h2, _, g) in enumerate(rows) if h2 == h and node[j] == node[k] and g is not None]
         purity = (sum(same) + tree.strength * of_host) / (len(same) + tree.strength)
-        out.append((node[k] + "/**" if len(s) > tree.levels else node[k] or "/", purity, "block" if purity < tree.threshold else "allow"))
+        out.append((node[k] or "/", purity, "block" if purity < tree.threshold else "allow"))
     return out
 
 
@@ -75,7 +77,10 @@ def test_templates_against_loops(spark):
         rows.append((i, f"http://h{i % 2}.net{path}", good))
     rows += [(500 + i, f"http://h1.net/doc/{'0a1b2c3d' if i % 2 else 'deadbeef'}-{i:04x}", i % 2) for i in range(10)]
     rows += [(1000 + i, f"http://big.net/u{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10 % 10]}/p", 1 if i % 7 else 0) for i in range(100)]
-    tree = TemplateTree(levels=4)
+    # One bad section among many small ones keeps its own verdict.
+    rows += [(2000 + i, f"http://wide.net/{chr(97 + i % 25) * 3}/p" if i % 40 else "http://wide.net/bad/p", int(i % 40 > 0)) for i in range(4000)]
+    rows.append((9000, "http://h1.net/" + "/".join("abcdefghijklmnopqrstuvwxyz"), 1))
+    tree = TemplateTree()
     frame = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
     labels = spark.createDataFrame([(i, g) for i, _, g in rows if g is not None], "page_id long, good int")
     found = {r["page_id"]: r for r in filter_urls(frame, (), tree, labels).collect()}
@@ -87,9 +92,21 @@ def test_templates_against_loops(spark):
     expected = plain([(parts(u)[0], lex(u), g) for _, u, g in rows], tree)
     for (i, _, _), (template, purity, verdict) in zip(rows, expected, strict=True):
         assert (found[i]["template"], found[i]["verdict"]) == (template, verdict) and abs(found[i]["purity"] - purity) < 1e-9
+    assert {(r["template"], r["verdict"]) for r in found.values() if r["path"] == "/bad/p"} == {("/bad/p", "block")}
     assert {r["verdict"] for i, r in found.items() if "/spam/" in rows[min(i, 239)][1] and i < 240} == {"block"}
 
 
+def test_the_query_equals_its_sql(spark):
+    assert_same(spark, "/root/testdata/sf0.001", "op10_url_filters")
+
+
+def test_repeated_labels_multiply_no_page(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x"), (2, "http://a.net/y")], "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (1, None), (2, 1)], "page_id long, good int")
+    found = filter_urls(pages, (), labels=labels).collect()
+    assert sorted(r["page_id"] for r in found) == [1, 2]
+
+
 def test_empty_and_repeated(spark, tmp_path):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     frame.write.parquet(str(tmp_path / "pages.parquet"))
