@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifgrid.llm import bpe, lines, mixing, setjoin, toxicity
-from motifgrid.llm.common import materialise, table
+from motifgrid.llm.common import discard, materialise, table
 
 #: The stages' models and hashes aren't SQL; tests/llm hold each stage against a brute-force version.
 ORACLE_SQL = None
@@ -25,7 +25,7 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat earlier ones; one that had nothing else goes."""
+    """Documents without lines that repeat earlier ones; one that keeps no word goes: all that it said stands elsewhere."""
     found = lines.drop_repeated_lines(docs)
     return found.where((F.col("n_removed") == 0) | (F.col("n_left") > 0)).select(*docs.columns)
 
@@ -69,7 +69,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of all stages over documents; each stage's rows are written and read again before the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = materialise(docs, f"stage-{k}")
+            if k:
+                discard(before)
     return docs
