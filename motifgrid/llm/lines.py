@@ -293,8 +293,8 @@ def linking_pairs(shared: DataFrame, spec: LineSpec) -> DataFrame:
     return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(run, "a binary, b binary")
 
 
-def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein's distance, or most + 1 if it is greater; one pass with the columns' differences as bits of a whole number."""
+def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
+    """Levenshtein's distance of letters, or of words, or most + 1 if it is greater; one pass with the columns' differences as bits of a whole number."""
     if abs(len(a) - len(b)) > most:
         return most + 1
     lead = 0
@@ -331,8 +331,19 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def similar(a: str, b: str, similarity: float) -> bool:
+    """Whether 1 - edit distance / greater length is at least `similarity`.
+
+    Lines that differ in few words are known by them: so many words are replaced, each
+    at the cost of the longest word and a blank at most.
+    """
     longest = max(len(a), len(b))
     most = int((1 - similarity) * longest + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    x, y = a.split(), b.split()
+    words = most // (max(map(len, x + y), default=0) + 1)
+    if words and edit_distance(x, y, words) <= words:
+        return True
     return edit_distance(a, b, most) <= most
 
 

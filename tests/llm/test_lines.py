@@ -22,6 +22,20 @@ def test_edit_distance():
         assert min(edit_distance(a, b, most), most + 1) == min(d, most + 1)
 
 
+def test_similar_lines():
+    draw = random.Random(9)
+    vocabulary = ["".join(draw.choices("abcde", k=draw.randint(1, 6))) for _ in range(60)]
+    yes = 0
+    for _ in range(800):
+        a = draw.choices(vocabulary, k=draw.randint(1, 12))
+        b = brute.variant(draw, a, draw.choice([0.1, 0.3, 0.6]), vocabulary)
+        x, y = " ".join(a), " ".join(b)
+        want = brute.distance(x, y) <= int(0.25 * max(len(x), len(y)) + 1e-9)
+        assert similar(x, y, 0.75) == want
+        yes += want
+    assert 150 < yes < 750
+
+
 def test_normal_forms():
     assert normal_form("  Page 12, of\t34!! Ünïted ") == normal_form("PAGE 99 of 00: ünïted") == "page 00 of 00 ünïted"
 
