@@ -7,9 +7,9 @@ import time
 
 from pyspark.sql import SparkSession
 
-from .operators.search import search
+from .operators.search import search_files
 from .plans.spec import SearchError, parse_arguments, read_query
-from .sources.genome import _files, _open, read_genome
+from .sources.genome import _files, _open
 from .sources.sinks import RunLog, write_log, write_report
 
 USAGE = """Usage: motifgrid QUERY DEVICE OUT
@@ -36,7 +36,7 @@ def main(args: list[str], spark: SparkSession | None = None) -> int:
         query = read_query(found.query)
         began = time.time()
         spark = spark or _session()
-        n = write_report(search(read_genome(spark, query.genome), query.spec), found.out)
+        n = write_report(search_files(spark, query.genome, query.spec), found.out)
         seconds = time.time() - began
         size = sum(system.getFileStatus(where).getLen() for system, where in (_open(spark, f) for f in _files(spark, query.genome)))
         write_log(found.out, RunLog(query.genome, size, query.spec, found.device, n, seconds))

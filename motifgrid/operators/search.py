@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import bulge_label, reported_position
@@ -18,7 +18,11 @@ def find_sites(genome: DataFrame, spec: SearchSpec, size: int = TILE, spread: in
     Rows are a multiset without order: equal patterns give equal rows, and a pattern
     that is its own reverse complement is found on both strands.
     """
-    tiles = tile(genome, spec.overlap, size, spread)
+    return find_in_tiles(tile(genome, spec.overlap, size, spread), spec)
+
+
+def find_in_tiles(tiles: DataFrame, spec: SearchSpec) -> DataFrame:
+    """Sites in tiles that have spec.overlap bases more than their own."""
     return scan_bulges(tiles, spec) if spec.bulges else scan_mismatches(tiles, spec)
 
 
@@ -42,6 +46,13 @@ def search(genome: DataFrame, spec: SearchSpec, size: int = TILE, spread: int |
     return report(find_sites(genome, spec, size, spread), spec)
 
 
+def search_files(spark: SparkSession, path: str, spec: SearchSpec, size: int = TILE) -> DataFrame:
+    """The report of all sites in a genome's files, read and searched by all tasks."""
+    from ..sources.genome import read_tiles
+
+    return report(find_in_tiles(read_tiles(spark, path, spec.overlap, size), spec), spec)
+
+
 def summary(sites: DataFrame, spec: SearchSpec) -> DataFrame:
     """Sites of each pattern by strand, bulges and mismatches."""
     pattern = F.pmod("pattern_idx", F.lit(len(spec.patterns)))

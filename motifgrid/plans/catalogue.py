@@ -6,7 +6,7 @@ base replaced by a fixed one; every document is a sequence.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +16,7 @@ from ..functions import alphabet as a
 from ..functions.align import best_alignment_column, edit_distance_column
 from ..operators.search import find_sites, search, summary
 from ..operators.tiling import tile
+from ..sources.scratch import scratch_folder
 from . import sql
 from .spec import SearchSpec
 
@@ -159,7 +160,7 @@ def _fasta_query(spark, sf_dir):
     """The genome written as FASTA in lines of 60 bases and read again."""
     from ..sources.genome import read_fasta
 
-    folder = f"{_scratch(spark)}/{a.__name__}-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    folder = f"{scratch_folder(spark)}/fasta-{uuid.uuid4().hex}"
     lines = genome(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">"), "chr_name", F.lit("\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value"))
     lines.write.mode("overwrite").text(folder)
     system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -169,17 +170,34 @@ def _fasta_query(spark, sf_dir):
     return read_fasta(spark, folder).select("chr_name", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("seq_md5"))
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is named."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='motifgrid-')}")
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+def _twobit_query(spark, sf_dir):
+    """The genome written as 2bit files, one a task, and read again by ranges."""
+    from functools import reduce
+
+    import pyarrow as pa
+    from pyarrow import fs
+
+    from ..sources.genome import read_genome, write_2bit
+
+    folder = f"{scratch_folder(spark)}/2bit-{uuid.uuid4().hex}"
+
+    def write(batches):
+        rows = [(n.as_py(), s.as_py()) for batch in batches for n, s in zip(batch["chr_name"], batch["seq"])]
+        if rows:
+            system, where = fs.FileSystem.from_uri(folder)
+            system.create_dir(where, recursive=True)
+            name = f"{rows[0][0]}.2bit"
+            with system.open_output_stream(f"{where}/{name}") as out:
+                out.write(write_2bit(rows))
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    names = sorted(r["name"] for r in genome(spark, sf_dir).select("chr_name", "seq").repartition(4, "chr_name").mapInArrow(write, "name string").collect())  # one a task
+    found = reduce(DataFrame.unionByName, (read_genome(spark, f"{folder}/{name}") for name in names))
+    return found.select("chr_name", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("seq_md5"))
 
 
 def _site_query(spec: SearchSpec) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: search(_sequences(spark, sf_dir), spec)
+    return lambda spark, sf_dir: search(_sequences(spark, sf_dir), spec, spread=spark.sparkContext.defaultParallelism)
 
 
 def _site_sql(spec: SearchSpec) -> str:
@@ -207,6 +225,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edit_distance_semiglobal": _distance_query,
     "best_alignment": _best_query,
     "fasta_roundtrip": _fasta_query,
+    "twobit_roundtrip": _twobit_query,
     "match_summary_by_guide": _summary_query,
 }
 
@@ -230,5 +249,6 @@ ORACLES: dict[str, str] = {
     "edit_distance_semiglobal": sql.semiglobal(PROBE, _HEADS),
     "best_alignment": sql.semiglobal("TGCTGATACT", _HEADS, loose=True),
     "fasta_roundtrip": f"SELECT chr_name, length(seq)::BIGINT AS n, md5(seq) AS seq_md5 FROM ({sql.GENOME}) WHERE seq <> ''",
+    "twobit_roundtrip": f"SELECT chr_name, length(seq)::BIGINT AS n, md5(seq) AS seq_md5 FROM ({sql.GENOME}) WHERE seq <> ''",
     "match_summary_by_guide": f"SELECT crrna, direction, bulge_size, mismatches, count(*)::BIGINT AS sites FROM ({_site_sql(NRG)}) GROUP BY ALL",
 }

@@ -6,13 +6,16 @@ Paths are read by Spark, so they may be in any store that it reaches.
 from __future__ import annotations
 
 import struct
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.alphabet import LETTER, N, unpack_bases
+from ..operators.tiling import TILE, tile
 from ..plans.spec import BadFileFormat
 
 GENOME = "chr_ord long, chr_name string, seq binary"
@@ -59,7 +62,7 @@ def fasta_records(text: DataFrame, max_line: int | None = None) -> DataFrame:
     rows = text.select(F.substring_index(value, "\n", 1).alias("head"), value.alias("value"))
     rows = rows.select(F.regexp_replace("head", "\r$", "").alias("chr_name"), F.when(F.instr("value", "\n") > 0, F.expr("substring(value, length(head) + 2)")).otherwise("").alias("body"))
     nameless = (F.col("chr_name") == "") & (F.col("body") != "")
-    body = F.when(nameless, F.raise_error(F.lit("> must be followed by a name")).cast("string")).otherwise(F.col("body"))
+    body = F.when(nameless, F.raise_error(F.lit("a sequence has no name")).cast("string")).otherwise(F.col("body"))
     if max_line is not None:
         long = F.exists(F.split("body", "\r?\n|\r$"), lambda line: F.length(line) > max_line)
         body = F.when(long, F.raise_error(F.lit(f"a line has more than {max_line} bases")).cast("string")).otherwise(body)
@@ -143,8 +146,107 @@ def write_2bit(sequences: list[tuple[str, str]]) -> bytes:
     return struct.pack("=IIII", MAGIC, 0, len(sequences), 0) + index + records
 
 
+@dataclass(frozen=True)
+class Record:
+    """Where a sequence of a 2bit file lies: its bases, its runs of N, and the bytes of its bases."""
+
+    number: int
+    name: str
+    size: int
+    runs_at: int
+    runs: int
+    bases_at: int
+
+
+def _range(path: str):
+    """What opens a path for reads of byte ranges, if this process reaches its store by itself; else None."""
+    try:
+        system, where = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:/") else (fs.LocalFileSystem(), path)
+        system.get_file_info(where)
+        return lambda: system.open_input_file(where)
+    except (pa.ArrowException, OSError, ImportError):
+        return None
+
+
+def _numbers(file, at: int, n: int) -> np.ndarray:
+    raw = file.read_at(4 * n, at)
+    if len(raw) < 4 * n:
+        raise BadFileFormat("a 2bit file ends too soon")
+    return np.frombuffer(raw, "=u4").astype(np.int64)
+
+
+def records_2bit(file) -> list[Record]:
+    """The records of an open 2bit file: its index, and the head of each sequence."""
+    magic, version, count, _ = _numbers(file, 0, 4).tolist()
+    if magic != MAGIC:
+        raise BadFileFormat("not a 2bit file of this machine's byte order")
+    if version:
+        raise BadFileFormat(f"2bit version {version} is unknown")
+    at, found, size = 16, [], file.size()
+    for number in range(count):
+        n = (file.read_at(1, at) or b"\0")[0]
+        name = file.read_at(n, at + 1).decode("utf-8")
+        (place,) = _numbers(file, at + 1 + n, 1).tolist()
+        at += 5 + n
+        bases, runs = _numbers(file, place, 2).tolist()
+        masks_at = place + 8 + 8 * runs
+        bases_at = masks_at + 8 + 8 * int(_numbers(file, masks_at, 1)[0])
+        if bases_at + -(-bases // 4) > size:
+            raise BadFileFormat("a 2bit file ends too soon")
+        found.append(Record(number, name, bases, place + 8, runs, bases_at))
+    return found
+
+
+def _bases(file, record: Record, runs: tuple[np.ndarray, np.ndarray], start: int, stop: int) -> bytes:
+    """Letters [start, stop) of a record."""
+    first = start // 4
+    raw = file.read_at(-(-stop // 4) - first, record.bases_at + first)
+    codes = unpack_bases(memoryview(raw), stop - 4 * first)[start - 4 * first :].copy()
+    for a, n in zip(*runs):
+        if a < stop and a + n > start:
+            codes[max(a - start, 0) : a + n - start] = N
+    return LETTER[codes].tobytes()
+
+
+def tiles_2bit(spark: SparkSession, path: str, overlap: int = 0, size: int = TILE, parts: int | None = None) -> DataFrame | None:
+    """The tiles of a 2bit file, as tiling.tile() makes them: every task reads the bytes of its own.
+
+    The driver reads the index and the sequences' heads, a few numbers each. None if
+    Python doesn't reach the path's store by itself.
+    """
+    if (opened := _range(path)) is None:
+        return None
+    with opened() as file:
+        records = records_2bit(file)
+    parts = parts or max(spark.sparkContext.defaultParallelism, sum(r.size for r in records) >> 24)
+    rows = spark.createDataFrame([tuple(vars(r).values()) for r in records if r.size], "number long, name string, size long, runs_at long, runs long, bases_at long")
+    dealt = rows.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(size).cast("long")))).repartition(parts)
+
+    def read(batches):
+        with _range(path)() as file:
+            held, runs = None, None
+            for batch in batches:
+                for *record, start in zip(*(batch[c].to_pylist() for c in batch.schema.names)):
+                    record = Record(*record)
+                    if record != held:
+                        n = _numbers(file, record.runs_at, 2 * record.runs)
+                        held, runs = record, (n[: record.runs], n[record.runs :])
+                    own = min(size, record.size - start)
+                    seq = _bases(file, record, runs, start, min(record.size, start + own + overlap))
+                    yield pa.RecordBatch.from_arrays([pa.array([record.number], pa.int64()), pa.array([record.name]), pa.array([start], pa.int64()), pa.array([own], pa.int32()), pa.array([seq], pa.binary())], names=["chr_ord", "chr_name", "tile_start", "own", "seq"])
+
+    return dealt.mapInArrow(read, "chr_ord long, chr_name string, tile_start long, own int, seq binary")
+
+
 def read_2bit(spark: SparkSession, path: str) -> DataFrame:
-    """Sequences of a 2bit file; N runs are N, lower case is lost. A file is one task's work, its sequences come one by one."""
+    """Sequences of a 2bit file, each read by a task of its own; N runs are N, lower case is lost.
+
+    From a store that only Spark reaches the file is one row and one task's work, and
+    at most 2 GB. A search of a file needs no whole sequences: see tiles_2bit().
+    """
+    if _range(path) is not None:
+        longest = (1 << 31) - 8192
+        return tiles_2bit(spark, path, size=longest).select("chr_ord", "chr_name", "seq")
 
     def read(batches):
         for batch in batches:
@@ -156,8 +258,17 @@ def read_2bit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, GENOME)
 
 
+def is_fasta(spark: SparkSession, path: str) -> bool:
+    return is_folder(spark, path) or first_byte(spark, path) == ord(">")
+
+
 def read_genome(spark: SparkSession, path: str) -> DataFrame:
     """A folder of FASTA files, a FASTA file (it begins with >), or else a 2bit file."""
-    if is_folder(spark, path) or first_byte(spark, path) == ord(">"):
-        return read_fasta(spark, path)
-    return read_2bit(spark, path)
+    return read_fasta(spark, path) if is_fasta(spark, path) else read_2bit(spark, path)
+
+
+def read_tiles(spark: SparkSession, path: str, overlap: int = 0, size: int = TILE) -> DataFrame:
+    """The tiles of a genome's files, dealt over all tasks whatever the sequences' sizes."""
+    if not is_fasta(spark, path) and (found := tiles_2bit(spark, path, overlap, size)) is not None:
+        return found
+    return tile(read_genome(spark, path), overlap, size, spark.sparkContext.defaultParallelism)

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import itertools
+import json
 import sys
-import time
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, fields
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.spec import SearchSpec
+from .scratch import scratch_folder
 
 #: The header of the report.
 HEADER = "#Bulge type\tcrRNA\tDNA\tChromosome\tPosition\tDirection\tMismatches\tBulge Size"
@@ -25,21 +28,38 @@ def report_lines(sites: DataFrame) -> DataFrame:
 def write_report(sites: DataFrame, path: str) -> int:
     """Writes the header and all sites, in no order, to a file, or to the standard output for `-`; returns their number.
 
-    Rows are fetched a partition at a time, so the driver never holds all of them.
-    For results that are large use write_parts().
+    A file's lines are written by all tasks to the session's shared folder and then
+    joined byte by byte, so the search runs in parallel and the driver holds none of
+    them. Lines for the standard output are fetched a partition at a time.
     """
-    out = sys.stdout if path == "-" else open(path, "w", encoding="utf-8")
-    n = 0
-    try:
+    lines = report_lines(sites)
+    if path == "-":
+        n = 0
+        sys.stdout.write(HEADER + "\n")
+        for n, row in enumerate(lines.toLocalIterator(prefetchPartitions=True), 1):
+            sys.stdout.write(row.value + "\n")
+        sys.stdout.flush()
+        return n
+    spark = sites.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    with open(path, "w", encoding="utf-8") as out:  # before the search: a path that can't be written is an error at once
         out.write(HEADER + "\n")
-        for row in report_lines(sites).toLocalIterator():
-            out.write(row.value + "\n")
-            n += 1
+    folder = jvm.org.apache.hadoop.fs.Path(f"{scratch_folder(spark)}/report-{uuid.uuid4().hex}")
+    system = folder.getFileSystem(conf)
+    try:
+        lines.write.text(folder.toString())
+        joined = jvm.java.io.FileOutputStream(path, True)
+        try:
+            for status in system.listStatus(folder):
+                if status.getPath().getName().startswith("part-"):
+                    part = system.open(status.getPath())
+                    jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, joined, conf, False)
+                    part.close()
+        finally:
+            joined.close()
+        return spark.read.text(folder.toString()).count()
     finally:
-        out.flush()
-        if out is not sys.stdout:
-            out.close()
-    return n
+        system.delete(folder, True)
 
 
 def write_parts(sites: DataFrame, folder: str) -> None:
@@ -62,14 +82,15 @@ class RunLog:
     seconds: float
 
     def text(self) -> str:
-        spec = self.spec
-        algorithm = "Alignment walk (bulges)" if spec.bulges else "Bit-mask scan (mismatches)"
-        rows = [
-            "=== Off-target search ===", f"Run date (unix timestamp): {int(time.time())}", "", f"Algorithm: {algorithm}", f"Device: {self.device}", "", "Input:",
-            f"  Genome: {self.genome_path}", f"  Genome size: {self.genome_bytes} bytes", f"  Patterns: {len(spec.patterns)}", f"  Search filter: {spec.motif}", f"  Max mismatches: {spec.max_mismatches}",
-            f"  Max DNA bulges: {spec.max_dna_bulges}", f"  Max RNA bulges: {spec.max_rna_bulges}", "", "Results:", f"  Matches found: {self.matches}", f"  Total elapsed: {self.seconds:.3f}s",
-        ]
-        return "\n".join(rows) + "\n"
+        """What was searched, for what, by which scan and with what result: one JSON object, times in UTC."""
+        ended = datetime.now(timezone.utc)
+        spec = {f.name: getattr(self.spec, f.name) for f in fields(self.spec)}
+        found = {
+            "ended": ended.isoformat(timespec="seconds"), "seconds": round(self.seconds, 3), "matches": self.matches,
+            "scan": "alignments with bulges" if self.spec.bulges else "mismatches", "device": self.device,
+            "genome": {"path": self.genome_path, "bytes": self.genome_bytes}, "query": spec,
+        }
+        return json.dumps(found, indent=1) + "\n"
 
 
 def write_log(out_path: str, log: RunLog) -> str | None:

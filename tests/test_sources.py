@@ -1,11 +1,15 @@
+import json
 import os
+import random
 
 import pytest
 
 from motifgrid.cli import main
 from motifgrid.operators.search import search
 from motifgrid.plans.spec import ArgumentError, BadFileFormat, SearchSpec, parse_arguments, parse_query, read_query
-from motifgrid.sources.genome import parse_2bit, read_2bit, read_fasta, read_genome, write_2bit
+from motifgrid.operators.tiling import tile
+from motifgrid.operators.search import search_files
+from motifgrid.sources.genome import parse_2bit, read_2bit, read_fasta, read_genome, tiles_2bit, write_2bit
 from motifgrid.sources.sinks import HEADER, write_parts, write_report
 from motifgrid.streaming.genomes import stream_fasta, stream_search
 
@@ -24,7 +28,7 @@ def test_fasta(spark, tmp_path):
     with pytest.raises(BadFileFormat):
         read_fasta(spark, str(tmp_path / "bad.fa"))
     (tmp_path / "nameless.fa").write_text(">a\nA\n>\nACGT\n")
-    with pytest.raises(Exception, match="followed by a name"):
+    with pytest.raises(Exception, match="has no name"):
         read_fasta(spark, str(tmp_path / "nameless.fa")).collect()
     assert read_fasta(spark, str(path), max_line=4).count() == 3
     with pytest.raises(Exception, match="more than 3 bases"):
@@ -65,6 +69,25 @@ def test_2bit(spark, tmp_path):
     for bad in (b"\0" * 16, blob[:4] + b"\1" + blob[5:], blob[:-1], blob[:10]):
         with pytest.raises(BadFileFormat):
             list(parse_2bit(bad))
+        (tmp_path / "bad.2bit").write_bytes(bad)
+        with pytest.raises(BadFileFormat):
+            read_2bit(spark, str(tmp_path / "bad.2bit"))
+
+
+def test_tiles_of_a_2bit_file(spark, tmp_path):
+    """Ranges read by many tasks are the tiles of the whole sequences."""
+    draw = random.Random(2)
+    rows = [(f"s{i}", "".join(draw.choice(["A", "C", "G", "T", "N" * draw.randint(1, 9)]) for _ in range(draw.choice([1, 7, 400])))) for i in range(9)]
+    path = str(tmp_path / "g.2bit")
+    (tmp_path / "g.2bit").write_bytes(write_2bit(rows))
+    for overlap, size in ((0, 100), (24, 101), (5, 3)):
+        found = tiles_2bit(spark, path, overlap, size, 6)
+        assert found.rdd.getNumPartitions() == 6
+        want = tile(spark.createDataFrame([(i, n, s) for i, (n, s) in enumerate(rows)], "chr_ord long, chr_name string, seq string"), overlap, size)
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+    assert sequences(read_2bit(spark, f"file://{path}")) == sorted(rows)
+    spec = SearchSpec("NNNN", ("ACGT",), 1)
+    assert sorted(map(tuple, search_files(spark, path, spec).collect())) == sorted(map(tuple, search(read_genome(spark, path), spec).collect())) != []
 
 
 QUERY = "genome.fa\nNNNNRG 1 0\nACGTNN 2 first\nTTTTNN 2 second\n"
@@ -98,8 +121,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert main([str(tmp_path / "q.in"), "C", out], spark) == 0
     lines = open(out).read().splitlines()
     assert lines[0] == HEADER and "X\tACGTNNN\tACGTAGG\tc one\t2\t+\t0\t0" in lines
-    log = open(out + ".log").read()
-    assert f"Matches found: {len(lines) - 1}" in log and f"Genome size: {os.path.getsize(tmp_path / 'g.fa')} bytes" in log
+    log = json.load(open(out + ".log"))
+    assert log["matches"] == len(lines) - 1 and log["genome"] == {"path": f"{tmp_path}/g.fa", "bytes": os.path.getsize(tmp_path / "g.fa")} and log["query"]["max_mismatches"] == 1
     capsys.readouterr()
     assert main([str(tmp_path / "q.in"), "G", "-"], spark) == 0
     assert capsys.readouterr().out.splitlines()[0] == HEADER and not os.path.exists("-.log")
