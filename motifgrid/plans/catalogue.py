@@ -16,9 +16,10 @@ from ..functions import alphabet as a
 from ..functions.align import best_alignment_column, edit_distance_column
 from ..operators.search import find_sites, search, summary
 from ..operators.tiling import tile
+from ..sources.sinks import report_lines
 from ..sources.scratch import scratch_folder
 from . import sql
-from .spec import SearchSpec
+from .spec import SearchSpec, parse_query
 
 GUIDES = ("TGCTGATACTCCCTGCTAACNNN", "TAGCTCTTGCTGGCCGAGGANNN")
 
@@ -156,18 +157,44 @@ def _whole_best_query(spark, sf_dir):
     return rows.select("id", "n", (F.col("f.mismatches") + F.col("f.dna_bulges") + F.col("f.rna_bulges")).alias("distance"), *parts)
 
 
-def _fasta_query(spark, sf_dir):
+#: A query as a file holds it.
+QUERY_TEXT = f"genome\n{'N' * 21}GG 0 0\n{GUIDES[0]} 8 first\n{GUIDES[1].lower()} 8 second\n"
+#: Headers of several words and both kinds of line ends.
+HEADER_WORDS = " of the made genome"
+
+
+def _query_text_query(spark, sf_dir):
+    return search(_sequences(spark, sf_dir), parse_query(QUERY_TEXT).spec, spread=spark.sparkContext.defaultParallelism)
+
+
+def _report_query(spark, sf_dir):
+    return report_lines(search(_sequences(spark, sf_dir), NRG))
+
+
+def _complement_query(spark, sf_dir):
+    """Complements of words, whose letters are all that the code knows and others."""
+    word = F.col("word")
+    return _words(spark, sf_dir).select("word", "n", a.complement_column(word).alias("complement"), a.reverse_complement_column(word).alias("reversed"))
+
+
+def _base_sets_query(spark, sf_dir):
+    """Which bases each letter of the texts takes."""
+    code = a.code_column(F.col("letter"))
+    return _codes_query(spark, sf_dir).select("letter", *(code.bitwiseAND(F.lit(a.CODES[b])).cast("boolean").alias(f"takes_{b.lower()}") for b in "ACGT"))
+
+
+def _fasta_query(spark, sf_dir, words="", end="\n"):
     """The genome written as FASTA in lines of 60 bases and read again."""
-    from ..sources.genome import read_fasta
+    from ..sources.genome import read_genome
 
     folder = f"{scratch_folder(spark)}/fasta-{uuid.uuid4().hex}"
-    lines = genome(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">"), "chr_name", F.lit("\n"), F.regexp_replace("seq", "(.{60})(?=.)", "$1\n")).alias("value"))
+    lines = genome(spark, sf_dir).where("seq <> ''").select(F.concat(F.lit(">"), "chr_name", F.lit(words + end), F.regexp_replace("seq", "(.{60})(?=.)", "$1" + end)).alias("value"))
     lines.write.mode("overwrite").text(folder)
     system = spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
     for k, status in enumerate(system.listStatus(spark._jvm.org.apache.hadoop.fs.Path(folder))):
         if status.getPath().getName().startswith("part-"):
             system.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k}.fa"))
-    return read_fasta(spark, folder).select("chr_name", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("seq_md5"))
+    return read_genome(spark, folder).select("chr_name", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("seq_md5"))
 
 
 def _twobit_query(spark, sf_dir):
@@ -225,7 +252,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "edit_distance_semiglobal": _distance_query,
     "best_alignment": _best_query,
     "fasta_roundtrip": _fasta_query,
+    "fasta_headers_and_line_ends": lambda spark, sf_dir: _fasta_query(spark, sf_dir, HEADER_WORDS, "\r\n"),
     "twobit_roundtrip": _twobit_query,
+    "query_text_search": _query_text_query,
+    "report_lines": _report_query,
+    "iupac_complement": _complement_query,
+    "iupac_base_sets": _base_sets_query,
     "match_summary_by_guide": _summary_query,
 }
 
@@ -235,6 +267,9 @@ WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "best_alignment_whole": _whole_best_query,
 }
 
+#: The letters that take each base.
+_TAKERS = {"A": "ARWMDHVN", "C": "CYSMBHVN", "G": "GRSKBDVN", "T": "TYWKBDHN"}
+
 ORACLES: dict[str, str] = {
     "genome_from_documents": f"SELECT chr_name, length(seq)::BIGINT AS n, md5(seq) AS seq_md5 FROM ({sql.GENOME})",
     "tile_genome": f"SELECT chr_name, t::BIGINT AS tile_start, least(1000, length(seq) - t)::INTEGER AS own, md5(substr(seq, t + 1, 1024)) AS seq_md5 FROM ({sql.GENOME}), unnest(range(0, length(seq), 1000)) AS u(t)",
@@ -249,6 +284,11 @@ ORACLES: dict[str, str] = {
     "edit_distance_semiglobal": sql.semiglobal(PROBE, _HEADS),
     "best_alignment": sql.semiglobal("TGCTGATACT", _HEADS, loose=True),
     "fasta_roundtrip": f"SELECT chr_name, length(seq)::BIGINT AS n, md5(seq) AS seq_md5 FROM ({sql.GENOME}) WHERE seq <> ''",
+    "fasta_headers_and_line_ends": f"SELECT chr_name || '{HEADER_WORDS}' AS chr_name, length(seq)::BIGINT AS n, md5(seq) AS seq_md5 FROM ({sql.GENOME}) WHERE seq <> ''",
+    "query_text_search": sql.mismatch_search(SearchSpec("N" * 21 + "GG", GUIDES, 8)),
+    "report_lines": f"SELECT concat_ws(chr(9), bulge_type, crrna, dna, chromosome, position, direction, mismatches, bulge_size) AS value FROM ({_site_sql(NRG)})",
+    "iupac_complement": f"WITH {_WORDS}, c AS (SELECT word, n, translate(word, 'ACGTRYSWKMBDHVNacgtryswkmbdhvn', 'TGCAYRSWMKVHDBNtgcayrswmkvhdbn') AS complement FROM words) SELECT word, n, complement, reverse(complement) AS reversed FROM c",
+    "iupac_base_sets": f"WITH {_WORDS} SELECT DISTINCT letter, " + ", ".join(f"strpos('{_TAKERS[b]}', upper(letter)) > 0 AS takes_{b.lower()}" for b in "ACGT") + " FROM (SELECT unnest(string_split(word, '')) AS letter FROM words) WHERE letter <> ''",
     "twobit_roundtrip": f"SELECT chr_name, length(seq)::BIGINT AS n, md5(seq) AS seq_md5 FROM ({sql.GENOME}) WHERE seq <> ''",
     "match_summary_by_guide": f"SELECT crrna, direction, bulge_size, mismatches, count(*)::BIGINT AS sites FROM ({_site_sql(NRG)}) GROUP BY ALL",
 }
