@@ -54,8 +54,9 @@ class JoinSpec:
     recall: float = 1 - 1e-6
     leaf: int = 256
     branches: int = 2
-    #: Levels at which a node branches that still holds more than `leaf` classes.
-    levels: int = 6
+    #: Levels at which a node branches that still holds more than `leaf` classes. Near copies agree at every
+    #: level, so each more doubles how often a large group of them is compared with pivots.
+    levels: int = 2
     #: Coordinates that each tree has of its own, beside its root's, for its nodes to choose from.
     pool: int = 8
     #: Standard errors by which a sketch may fall short of the threshold.
