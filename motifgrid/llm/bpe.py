@@ -3,18 +3,19 @@
 Long texts are cut into chunks that overlap. Each chunk is pre-tokenised on its
 own, in parallel, from wherever its window begins; neighbours are stitched at the
 first place in their overlap where both have a pre-token boundary, because from a
-common boundary on the pattern reads the same text the same way. Where an overlap
-holds no common boundary (one very long word, or run of blanks), the earlier
-chunk's reading is carried on until it meets a boundary of the later one. The
-pieces between stitches are then encoded and their ids joined. Decoding joins the
-raw bytes of the ids.
+common boundary on the pattern reads the same text the same way. Only boundaries
+travel to be stitched. Each chunk then encodes the piece between its two stitches,
+again in parallel, and a text's ids are joined in the order of its pieces. Where an
+overlap holds no common boundary (one very long word, or run of blanks), what follows
+the stitch before it is one piece, encoded by one task. Decoding joins the raw bytes
+of the ids.
 
 Texts of one chunk are encoded where they are read; only longer ones are dealt out
 by chunk.
 
 Defined results: a null or empty text has no ids. Repeated rows are encoded each.
 A null doc_id stays null. An empty table has no rows. Columns in `keep` are carried
-along (row, n, window, begin, end and found are taken), others are ignored.
+along under any name that the result has not itself, others are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import small_batches, table
+from .common import materialise, small_batches, table
 
 #: Code points that a chunk owns, and how many it reads beyond on either side.
 CHUNK, OVERLAP = 16_384, 256
@@ -66,26 +67,15 @@ class ByteBPE:
         found = [0, *(m.end() for m in self.pattern.finditer(window))]
         return found if last else found[: bisect_left(found, len(window) - MARGIN)]
 
-    def stitches(self, text: str, read: list[list[int]]) -> list[int]:
-        """True boundaries of the text, one for each chunk that meets its neighbour. read: what stitchable() kept of each window."""
-        cuts, at, sure = [0], 0, True
+    def stitches(self, read: list[list[int]]) -> list[int]:
+        """True boundaries of a text: its begin, and one between each chunk and the next until a pair has none in common. read: what stitchable() kept of each window."""
+        cuts = [0]
         for before, after in zip(read, read[1:]):
             known = set(after)
-            common = next((x for x in before if x > at and x in known), None) if sure else None
-            if common is not None:
-                at = common
-                cuts.append(at)
-                continue
-            at = max([at, *before[-1:]]) if sure else at
-            sure = False
-            for m in self.pattern.finditer(text, at) if after else ():
-                if m.end() > after[-1]:
-                    break
-                at = m.end()
-                if at in known:
-                    sure = True
-                    cuts.append(at)
-                    break
+            common = next((x for x in before if x > cuts[-1] and x in known), None)
+            if common is None:
+                break
+            cuts.append(common)
         return cuts
 
     def encode(self, text: str, cuts: list[int] = [0]) -> list[int]:
@@ -114,10 +104,17 @@ def stitchable(found: list[int], window: str, begin: int, overlap: int) -> list[
     return [begin + x for x in found if (x <= 2 * overlap or x >= n - 2 * overlap) and 0 < x < n and window[x] in BLANKS and not window[x - 1].isspace()]
 
 
+def pieces(cuts: list[int], ends: list[int]) -> list[tuple[int, int, bool]]:
+    """What each window, of these ends, has to give: from, to, and whether that is a piece of its own or only a part of the last one."""
+    last = len(cuts) - 1
+    own = [(a, b, True) for a, b in zip(cuts, cuts[1:])] + [(cuts[-1], ends[last], last == len(ends) - 1)]
+    return own + [(a, b, False) for a, b in zip(ends[last:], ends[last + 1 :])]
+
+
 def encode_documents(docs: DataFrame, tokenizer_path: str, pattern: str, finish: Callable, schema: str, chunk: int = CHUNK, overlap: int = OVERLAP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """finish(bpe, doc_id, text, ids), a row of schema, for each row of docs(doc_id, text, keep...), and the columns in keep."""
+    """finish(bpe, doc_id, ids), a row of schema, for each row of docs(doc_id, text, keep...), and the columns in keep."""
     small_batches(docs.sparkSession, 256)
-    kept = ["doc_id", *keep]
+    kept = [f"keep{i}" for i in range(len(keep))]
     out = StructType([*StructType.fromDDL(schema).fields, *(docs.schema[c] for c in keep)])
     fields = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(schema).fields]
 
@@ -127,7 +124,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, pattern: str, finish:
     def short(batches):
         bpe = ByteBPE.load(tokenizer_path, pattern)
         for batch in batches:
-            yield batch_of([finish(bpe, doc, text or "", bpe.encode(text or "")) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())], [batch[c] for c in keep])
+            yield batch_of([finish(bpe, doc, bpe.encode(text or "")) for doc, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())], [batch[c] for c in kept])
 
     def pre_tokenise(batches):
         bpe = ByteBPE.load(tokenizer_path, pattern)
@@ -135,32 +132,48 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, pattern: str, finish:
             found = [stitchable(bpe.boundaries(w, end == n), w, begin, overlap) for w, begin, end, n in zip(*(batch[c].to_pylist() for c in ("window", "begin", "end", "n")))]
             yield batch.append_column("found", pa.array(found, pa.list_(pa.int32()))).drop_columns(["n"])
 
-    def stitch(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
+    def stitch(key: tuple[pa.Scalar, ...], read: pa.Table) -> pa.Table:
+        read = read.sort_by("begin")
+        bpe = ByteBPE.load(tokenizer_path, pattern)
+        own = pieces(bpe.stitches(read["found"].to_pylist()), read["end"].to_pylist())
+        return pa.table([read["row"], read["begin"], *(pa.array([x[i] for x in own], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_())))], names=["row", "begin", "start", "stop", "whole"])
+
+    def encode(batches):
+        bpe = ByteBPE.load(tokenizer_path, pattern)
+        for batch in batches:
+            ids, part = [], []
+            for window, begin, start, stop, whole in zip(*(batch[c].to_pylist() for c in ("window", "begin", "start", "stop", "whole"))):
+                text = window[start - begin : stop - begin]
+                ids.append(bpe.encode(text) if whole else None)
+                part.append(None if whole else text)
+            batch = batch.select(["row", "doc_id", *kept, "begin"])
+            yield batch.append_column("ids", pa.array(ids, pa.list_(pa.int32()))).append_column("part", pa.array(part, pa.string()))
+
+    def join(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         bpe = ByteBPE.load(tokenizer_path, pattern)
         found = found.sort_by("begin")
-        begins, parts = found["begin"].to_pylist(), found["window"].to_pylist()
-        text, at = [], 0
-        for begin, part in zip(begins, parts):
-            text.append(part[at - begin :])
-            at = begin + len(part)
-        text = "".join(text)
-        row = finish(bpe, found["doc_id"][0].as_py(), text, bpe.encode(text, bpe.stitches(text, found["found"].to_pylist())))
-        return pa.Table.from_batches([batch_of([row], [found[c].slice(0, 1).combine_chunks() for c in keep])])
-
-    rows = docs.select(*kept, "text", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
+        ids = [i for piece in found["ids"].to_pylist() for i in piece or ()]
+        ids += bpe.encode("".join(x or "" for x in found["part"].to_pylist()))
+        return pa.Table.from_batches([batch_of([finish(bpe, found["doc_id"][0].as_py(), ids)], [found[c].slice(0, 1).combine_chunks() for c in kept])])
+
+    rows = docs.select("doc_id", *(F.col(c).alias(k) for c, k in zip(keep, kept)), "text", F.coalesce(F.char_length("text"), F.lit(0)).alias("n"))
     begins = F.transform(F.sequence(F.lit(0), F.col("n") - 1, F.lit(chunk)), lambda a: F.struct(F.greatest(a - overlap, F.lit(0)).alias("begin"), F.least(a + chunk + overlap, F.col("n")).alias("end")))
     # Whatever the document's id, a text is one row of the scan; the row's number keeps repeated rows apart.
-    cut = rows.where(F.col("n") > chunk).withColumn("row", F.monotonically_increasing_id()).select("row", *kept, "n", "text", F.explode(begins).alias("w"))
-    cut = cut.select("row", *kept, "n", F.col("w.begin").alias("begin"), F.col("w.end").alias("end"), F.expr("substring(text, w.begin + 1, w.end - w.begin)").alias("window"))
-    read = cut.mapInArrow(pre_tokenise, StructType([f for f in cut.schema.fields if f.name != "n"]).add("found", ArrayType(IntegerType())))
-    long = read.groupBy("row").applyInArrow(stitch, out)
-    return rows.where(F.col("n") <= chunk).select(*kept, "text").mapInArrow(short, out).unionByName(long)
+    cut = rows.where(F.col("n") > chunk).withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", *kept, "n", "text", F.explode(begins).alias("w"))
+    cut = cut.select("row", "doc_id", *kept, "n", F.col("w.begin").alias("begin"), F.col("w.end").alias("end"), F.expr("substring(text, w.begin + 1, w.end - w.begin)").alias("window"))
+    # Written, since a second scan might number the rows in another way.
+    read = materialise(cut.mapInArrow(pre_tokenise, StructType([f for f in cut.schema.fields if f.name != "n"]).add("found", ArrayType(IntegerType()))), "windows")
+    own = read.select("row", "begin", "end", "found").groupBy("row").applyInArrow(stitch, "row long, begin int, start int, stop int, whole boolean")
+    dealt = read.drop("end", "found").join(own, ["row", "begin"])
+    encoded = dealt.mapInArrow(encode, StructType([read.schema["row"], read.schema["doc_id"], *(read.schema[k] for k in kept), read.schema["begin"]]).add("ids", ArrayType(IntegerType())).add("part", "string"))
+    long = encoded.groupBy("row").applyInArrow(join, out)
+    return rows.where(F.col("n") <= chunk).select("doc_id", *kept, "text").mapInArrow(short, out).unionByName(long)
 
 
 DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-def digest(bpe: ByteBPE, doc: int | None, text: str, ids: list[int]) -> tuple:
+def digest(bpe: ByteBPE, doc: int | None, ids: list[int]) -> tuple:
     names = bpe.decimals
     return doc, len(ids), hashlib.sha256(" ".join([names[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(bpe.decode(ids)).hexdigest()
 
@@ -168,8 +181,8 @@ def digest(bpe: ByteBPE, doc: int | None, text: str, ids: list[int]) -> tuple:
 TOKENS = f"{DIGEST}, token_ids array<int>"
 
 
-def tokens(bpe: ByteBPE, doc: int | None, text: str, ids: list[int]) -> tuple:
-    return *digest(bpe, doc, text, ids), ids
+def tokens(bpe: ByteBPE, doc: int | None, ids: list[int]) -> tuple:
+    return *digest(bpe, doc, ids), ids
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
