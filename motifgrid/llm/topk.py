@@ -2,15 +2,19 @@
 
 Vectors become whole numbers, floor(scale * x). The second-moment matrix of all of
 them (dimension squared numbers, summed over partitions) gives a rotation whose
-first axes hold most of every inner product. Candidates are dealt into groups by
-id; within a group blocks of descending length meet a block of queries. A block is passed over once its greatest length times a query's can't
-reach the query's k-th score so far; of the others the partial sum over the first
-axes plus the product of the residual lengths bounds the score, and only what that
-bound leaves is scored exactly, in whole numbers. The groups' lists of at most k are
-merged by query.
-
-Queries are dealt in blocks too, so a task holds one block of queries and one group
-of candidates, however many there are.
+first axes hold most of every inner product. Candidates are sorted into bands of
+length. First all queries meet the longest band, whose k-th score bounds each query
+from below; then a query goes on only to the bands whose greatest length times its own
+can reach that score, and a band only to the blocks of queries that still ask for it,
+so by Cauchy-Schwarz what can't matter is left out before the shuffle. Where a block of
+queries meets a part of a band, blocks of descending length are passed over by the same
+bound; of the others the partial sum over the first axes plus the product of the
+residual lengths bounds the score, and only what that bound leaves is scored exactly,
+in whole numbers. The lists of at most k are merged by query.
+
+Queries are dealt in blocks and bands in parts, by id, so a task holds one block of
+queries and one part of candidates, however many there are and however many of one
+length. The driver holds two numbers a band.
 
 Defined results: vectors that are null, empty or hold a null or non-finite
 component take no part. Vectors meet those with as many components; the axes are
@@ -41,6 +45,8 @@ class TopK:
     queries_a_block: int = 2048
     candidates_a_group: int = 16_384
     candidates_a_block: int = 1024
+    #: Bands of length at most; one of more than a group's candidates comes in parts.
+    bands: int = 256
     #: Share of the axes whose partial sums are taken first.
     head: float = 0.25
 
@@ -76,8 +82,8 @@ def rotation(rows: DataFrame) -> np.ndarray | None:
     return np.linalg.eigh(parts["x"].to_numpy().reshape(d, d))[1][:, ::-1]
 
 
-def search_block(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray], axes: np.ndarray, spec: TopK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query's place, id, score) of the best k of the candidates for each query; both are (ids, whole vectors)."""
+def search_block(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.ndarray, np.ndarray], axes: np.ndarray, spec: TopK, least: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query's place, id, score) of the best k of the candidates for each query; both are (ids, whole vectors). least: scores below it aren't asked for."""
     ids, x = queries
     other, y = candidates
     length = np.sqrt((y.astype(np.float64) ** 2).sum(axis=1))
@@ -93,7 +99,7 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.nd
     named = np.full((len(ids), spec.k), np.iinfo(np.int64).max)
     for a in range(0, len(other), spec.candidates_a_block):
         b = min(a + spec.candidates_a_block, len(other))
-        floor = best[:, -1]
+        floor = np.maximum(best[:, -1], least)
         slack = 1e-9 * (x_length * length[a] + 1)
         alive = np.flatnonzero(x_length * length[a] + slack >= floor)
         if not len(alive):
@@ -119,22 +125,88 @@ def search_block(queries: tuple[np.ndarray, np.ndarray], candidates: tuple[np.nd
     return place, named[place, rank], best[place, rank].astype(np.int64)
 
 
+@dataclass(frozen=True)
+class Bands:
+    """Bands of candidates by length, the longest first: least lengths of all but the last, greatest lengths, parts."""
+
+    edges: list[float]
+    greatest: list[float]
+    parts: list[int]
+
+    @classmethod
+    def of(cls, rows: DataFrame, spec: TopK) -> "Bands":
+        """Of rows(length), some; bands without rows are left out."""
+        n = min(spec.bands, -(-rows.count() // spec.candidates_a_group))
+        found = rows.agg(F.percentile_approx("length", [1 - i / n for i in range(1, n)], 40 * n)).first()[0] if n > 1 else []
+        edges = sorted(set(found), reverse=True)
+        held = rows.groupBy(_band(edges).alias("band")).agg(F.count("*").alias("n"), F.max("length").alias("most")).orderBy("band").collect()
+        return cls([edges[r["band"]] for r in held[:-1]], [r["most"] for r in held], [-(-r["n"] // spec.candidates_a_group) for r in held])
+
+    def band(self) -> Column:
+        return _band(self.edges)
+
+    def part(self) -> Column:
+        return F.pmod(F.xxhash64("vec_id"), F.get(_numbers(self.parts), F.col("band"))).cast("int")
+
+    def every_part(self) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.get(_numbers(self.parts), F.col("band")) - 1)).alias("part")
+
+    def reach(self) -> Column:
+        """How many bands, from the longest, may hold a score of `least` or more for a query of this length."""
+        may = F.size(F.filter(_numbers(self.greatest), lambda m: m * F.col("length") * (1 + 1e-9) + 1e-6 >= F.col("least")))
+        return F.when(F.col("least").isNull(), len(self.greatest)).otherwise(may)
+
+
+def _numbers(values: list) -> Column:
+    return F.array(*(F.lit(x) for x in values))
+
+
+def _band(edges: list[float]) -> Column:
+    return F.size(F.filter(_numbers(edges), lambda e: e > F.col("length"))) if edges else F.lit(0)
+
+
+_ASKED = ("d", "block", "band", "part", "vec_id", "v", "least")
+
+
+def first_round(queries: DataFrame, rows: DataFrame, bands: Bands, n_queries: int, spec: TopK) -> tuple[DataFrame, DataFrame]:
+    """Queries and candidates as they meet in the longest band."""
+    blocks = max(1, -(-n_queries // spec.queries_a_block))
+    asked = queries.withColumns({"block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), "band": F.lit(0), "least": F.lit(None).cast("double")}).select("*", bands.every_part())
+    offered = rows.where(F.col("band") == 0).select("*", bands.part().alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).withColumn("least", F.lit(None).cast("double"))
+    return asked.select(*_ASKED), offered.select(*_ASKED)
+
+
+def second_round(queries: DataFrame, rows: DataFrame, bands: Bands, best: DataFrame, spec: TopK) -> tuple[DataFrame, DataFrame]:
+    """Queries and candidates as they meet in all other bands, after the longest gave best(query_id, score).
+
+    Queries are dealt by how many bands they reach, those that reach most first, so
+    a band is asked for by the first blocks and no others.
+    """
+    least = best.groupBy(F.col("query_id").alias("vec_id")).agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= spec.k).select("vec_id", F.col("least").cast("double"))
+    asked = queries.join(least, "vec_id", "left").withColumn("reach", bands.reach()).where(F.col("reach") > 1)
+    counts = {r["reach"]: r["count"] for r in asked.groupBy("reach").count().collect()}
+    size, n = [counts.get(r, 0) for r in range(len(bands.greatest) + 1)], len(bands.greatest)
+    before = [sum(size[r + 1 :]) for r in range(n + 1)]  # queries that reach further
+    blocks = [-(-before[j] // spec.queries_a_block) for j in range(n)]  # of those that reach band j
+    place = F.get(_numbers(before), F.col("reach")) + F.pmod(F.xxhash64("vec_id"), F.get(_numbers(size), F.col("reach")))
+    asked = asked.withColumn("block", F.floor(place / spec.queries_a_block).cast("int")).select("*", F.explode(F.sequence(F.lit(1), F.col("reach") - 1)).alias("band")).select("*", bands.every_part())
+    offered = rows.where(F.col("band") > 0).withColumn("blocks", F.get(_numbers(blocks), F.col("band"))).where(F.col("blocks") > 0)
+    offered = offered.select("*", bands.part().alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("least", F.lit(None).cast("double"))
+    return asked.select(*_ASKED), offered.select(*_ASKED)
+
+
 def top_k(vectors: DataFrame, is_query: Column, spec: TopK = TopK()) -> DataFrame:
     """query_id, rank, vec_id and score of the k greatest inner products of each query with all other rows of vectors(vec_id, embedding)."""
-    rows = materialise(whole_vectors(vectors, spec), "vectors").withColumn("d", F.size("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda total, c: total + c.cast("double") * c.cast("double")))
+    rows = materialise(whole_vectors(vectors, spec).withColumn("length", length), "vectors").withColumn("d", F.size("v"))
     common = rows.groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
     axes = rotation(rows.where(F.col("d") == common[0]["d"])) if common else None
     kept = "query_id long, rank int, vec_id long, score long"
     if axes is None:
         return rows.sparkSession.createDataFrame([], kept)
-    queries = rows.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("d", F.size("v"))
-    n_queries, n_rows = queries.count(), rows.count()
-    blocks, groups = max(1, -(-n_queries // spec.queries_a_block)), max(1, -(-n_rows // spec.candidates_a_group))
-    # Dealt by id, so that equal vectors spread over all groups.
-    dealt = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    asked = queries.withColumn("block", dealt(blocks)).select("d", "block", every(groups).alias("grp"), "vec_id", "v", F.lit(True).alias("asks"))
-    offered = rows.withColumn("grp", dealt(groups)).select("d", every(blocks).alias("block"), "grp", "vec_id", "v", F.lit(False).alias("asks"))
+    queries = rows.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "length", "d")).alias("q")).select("vec_id", "q.v", "q.length", "q.d")
+    bands = Bands.of(rows, spec)
+    rows = rows.withColumn("band", bands.band())
 
     def search(key: tuple[pa.Scalar, ...], found: pa.Table) -> pa.Table:
         found = found.combine_chunks()
@@ -142,12 +214,24 @@ def top_k(vectors: DataFrame, is_query: Column, spec: TopK = TopK()) -> DataFram
         ids = x["vec_id"].to_numpy()
         place, name, score = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.int64)
         if x.num_rows and y.num_rows:
-            place, name, score = search_block((ids, _matrix(x["v"].combine_chunks())), (y["vec_id"].to_numpy(), _matrix(y["v"].combine_chunks())), axes if key[0].as_py() == len(axes) else np.eye(key[0].as_py()), spec)
+            own = axes if key[0].as_py() == len(axes) else np.eye(key[0].as_py())
+            least = x["least"].fill_null(-np.inf).to_numpy()
+            place, name, score = search_block((ids, _matrix(x["v"].combine_chunks())), (y["vec_id"].to_numpy(), _matrix(y["v"].combine_chunks())), own, spec, least)
         return pa.table({"query_id": ids[place], "vec_id": name, "score": score})
 
-    lists = asked.unionByName(offered).groupBy("d", "block", "grp").applyInArrow(search, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
+    def best_of(lists: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return lists.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= spec.k).select("query_id", "rank", "vec_id", "score")
+
+    def met(asked: DataFrame, offered: DataFrame) -> DataFrame:
+        both = asked.withColumn("asks", F.lit(True)).unionByName(offered.withColumn("asks", F.lit(False)))
+        return both.groupBy("d", "block", "band", "part").applyInArrow(search, "query_id long, vec_id long, score long")
+
+    best = best_of(met(*first_round(queries, rows, bands, queries.count(), spec)))
+    if len(bands.greatest) == 1:
+        return best
+    best = materialise(best.drop("rank"), "best")
+    return best_of(best.unionByName(met(*second_round(queries, rows, bands, best, spec))))
 
 
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

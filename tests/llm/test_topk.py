@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from motifgrid.llm import topk
 from motifgrid.llm.topk import TopK, top_k
 
 from .oracle import assert_same
@@ -31,6 +32,32 @@ def test_against_brute_force(spark, spec):
     assert sorted(map(tuple, found)) == brute(rows, spec.k)
 
 
+def test_short_vectors_and_served_queries_are_not_dealt(spark, monkeypatch):
+    """Lengths that fall fast: most queries are done after the longest band."""
+    draw, dealt = random.Random(8), []
+    rows = [(i, [draw.gauss(0, 1) * 100 * 0.98**j for _ in range(5)]) for j, i in enumerate(draw.sample(range(600), 600))]
+    second = topk.second_round
+
+    def watched(*args):
+        dealt.extend(frame.count() for frame in second(*args))
+        return second(*args)
+
+    monkeypatch.setattr(topk, "second_round", watched)
+    spec = TopK(k=5, queries_a_block=4, candidates_a_group=50, candidates_a_block=16)
+    found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, spec).collect()
+    assert sorted(map(tuple, found)) == brute(rows, spec.k)
+    asked, offered = dealt
+    assert asked < 30 * 11 / 4 and offered < 550 * 8 / 4
+
+
+def test_one_length_for_all(spark):
+    """No band tells such vectors apart; its parts are dealt by id."""
+    rows = [(i, [1.0, 2.0, -1.0] if i % 3 else [2.0, -1.0, 1.0]) for i in range(120)]
+    spec = TopK(k=4, queries_a_block=2, candidates_a_group=25)
+    found = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, spec).collect()
+    assert sorted(map(tuple, found)) == brute(rows, spec.k)
+
+
 def test_empty_and_alone(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(empty, F.col("vec_id") % 20 == 0).count() == 0
