@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bloom, discard, in_blocks, materialise, sieve, small_batches, sorted_groups, table
+from .common import bloom, discard, in_blocks, lean, materialise, sieve, small_batches, sorted_groups, table
 from .components import connected_components
 from .shingles import mix, powers_of_base, sorted_distinct
 
@@ -210,7 +210,7 @@ def line_table(docs: DataFrame, spec: LineSpec) -> DataFrame:
                     pa.array(found.hash.view(np.int64)), pa.array(found.chars, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(held)),
                 ], names=["doc_id", "text_key", "line", "print", "hash", "chars", "blocks"])
 
-    return _keyed(docs).mapInArrow(run, "doc_id long, text_key long, line int, print binary, hash long, chars int, blocks array<long>")
+    return _keyed(docs).mapInArrow(lean(run), "doc_id long, text_key long, line int, print binary, hash long, chars int, blocks array<long>")
 
 
 def shared_buckets(classes: DataFrame, spec: LineSpec) -> DataFrame:
@@ -237,7 +237,7 @@ def shared_buckets(classes: DataFrame, spec: LineSpec) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([rows[c].combine_chunks() for c in ("bucket", "print", "hash", "chars")] + [named], names=["bucket", "print", "hash", "chars", "pivot"]).filter(pa.array(out))
 
     rows = classes.select(F.explode("blocks").alias("bucket"), "print", "hash", "chars")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "print").mapInArrow(run, "bucket long, print binary, hash long, chars int, pivot binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "print").mapInArrow(lean(run), "bucket long, print binary, hash long, chars int, pivot binary")
 
 
 def _sides(rows: pa.Table, key: tuple) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -268,7 +268,7 @@ def open_classes(shared: DataFrame, spec: LineSpec) -> DataFrame:
             if hit.any():
                 yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in np.flatnonzero(hit).tolist()], pa.binary())], names=["print"])
 
-    return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(run, "print binary").distinct()
+    return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(lean(run), "print binary").distinct()
 
 
 def linking_pairs(shared: DataFrame, spec: LineSpec) -> DataFrame:
@@ -290,7 +290,7 @@ def linking_pairs(shared: DataFrame, spec: LineSpec) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(run, "a binary, b binary")
+    return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(lean(run), "a binary, b binary")
 
 
 def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
@@ -362,7 +362,7 @@ def forms_of(prints: DataFrame, classes: DataFrame, docs: DataFrame, most: int)
                 out += [(x["print"], normal_form(split[x["line"]])) for x in own]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([t for _, t in out], pa.string())], names=["print", "form"])
 
-    forms = found.join(lines, ["doc_id", "text_key"]).select("text", "lines").mapInArrow(read, "print binary, form string").groupBy("print").agg(F.min("form").alias("form"))
+    forms = found.join(lines, ["doc_id", "text_key"]).select("text", "lines").mapInArrow(lean(read), "print binary, form string").groupBy("print").agg(F.min("form").alias("form"))
     forms = materialise(forms, "forms", most)
     discard(wanted)
     return forms
@@ -377,7 +377,7 @@ def similar_pairs(pairs: DataFrame, forms: DataFrame, spec: LineSpec) -> DataFra
             keep = [similar(x, y, spec.similarity) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a binary, b binary")
 
 
 def repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
@@ -454,7 +454,7 @@ def drop_repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFra
 
     apart = rows.mapInArrow(known.inside("text_key"), rows.schema).withColumn("id", F.col(f"c{id_at}").cast("long"))
     lines = repeated.select(F.col("doc_id").alias("id"), "text_key", "lines")
-    return rows.mapInArrow(as_they_are, schema).unionByName(apart.join(lines, ["id", "text_key"], "left").mapInArrow(shortened, schema))
+    return rows.mapInArrow(lean(as_they_are), schema).unionByName(apart.join(lines, ["id", "text_key"], "left").mapInArrow(lean(shortened), schema))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

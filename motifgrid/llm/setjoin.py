@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, in_blocks, materialise, sieve, small_batches, sorted_groups, table
+from .common import discard, in_blocks, lean, materialise, sieve, small_batches, sorted_groups, table
 from .components import connected_components
 from .shingles import WORDS, fingerprint, mix, sets_of
 
@@ -128,7 +128,7 @@ def signatures(docs: DataFrame, spec: JoinSpec = JoinSpec()) -> DataFrame:
                 pa.array(list(values[:, :kept].view(np.int32)), pa.list_(pa.int32())),
             ], names=["doc_id", "n_shingles", "class", "sketch", "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, class binary, sketch binary, tokens array<int>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, class binary, sketch binary, tokens array<int>")
 
 
 def leaves(classes: DataFrame, spec: JoinSpec, most: int | None = None) -> DataFrame:
@@ -180,7 +180,7 @@ def pivot_pairs(found: DataFrame, classes: DataFrame, spec: JoinSpec) -> DataFra
             keep = _agree(spec, _sketches(batch["sketch"]), _sketches(batch["pivot_sketch"]), batch["n_shingles"].to_numpy(), batch["pivot_n"].to_numpy())
             yield pa.RecordBatch.from_arrays([batch["pivot"], batch["class"]], names=["a", "b"]).filter(pa.array(keep))
 
-    return both.mapInArrow(near, "a binary, b binary").distinct()
+    return both.mapInArrow(lean(near), "a binary, b binary").distinct()
 
 
 def spanning(near: np.ndarray, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +238,7 @@ def families(found: DataFrame, classes: DataFrame, roots: DataFrame, spec: JoinS
                     near[k, apart] = _agree(spec, sketch[second[apart]], sketch[x], n[second[apart]], n[x])
             yield from _edges(names, near, first, second)
 
-    edges = in_blocks(own, "node", spec.sketch_block).mapInArrow(run, "a binary, b binary")
+    edges = in_blocks(own, "node", spec.sketch_block).mapInArrow(lean(run), "a binary, b binary")
     named = connected_components(edges).select(F.col("node").alias("class"), F.col("root").alias("family"))
     return named.join(roots.select(F.col("node").alias("class"), "root"), "class", "left").select("class", F.coalesce("root", "class").alias("root"), "family")
 
@@ -286,7 +286,7 @@ def confirm_families(rows: DataFrame, classes: DataFrame, texts: DataFrame, spec
             if edges:
                 yield pa.RecordBatch.from_arrays([pa.array([names[e[k]] for e in edges], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-    return rows.select("family", "i", "j", "block", "class", "root", "sketch", "text").mapInArrow(run, "a binary, b binary")
+    return rows.select("family", "i", "j", "block", "class", "root", "sketch", "text").mapInArrow(lean(run), "a binary, b binary")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
@@ -315,7 +315,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, spec: JoinSpec) -> DataFrame:
                         b_out.append(b)
             yield pa.RecordBatch.from_arrays([pa.array(a_out, pa.binary()), pa.array(b_out, pa.binary())], names=["a", "b"])
 
-    return rows.repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first()).mapInArrow(compare, "a binary, b binary").distinct()
+    return rows.repartition("a", "run").sortWithinPartitions("a", "run", F.col("b").asc_nulls_first()).mapInArrow(lean(compare), "a binary, b binary").distinct()
 
 
 def _texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from motifgrid.llm import common
 from motifgrid.llm.common import bloom, checkpoint_dir, discard, materialise, sieve
 
 
@@ -64,3 +65,8 @@ def test_materialised_rows_stay_until_discarded(spark):
     assert len([n for n in os.listdir(where) if n.endswith(".parquet")]) == 1
     discard(kept)
     assert not os.path.exists(where)
+
+
+def test_lean_functions_give_the_same_batches():
+    assert list(common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
+    assert list(common.lean(lambda batches: iter(()))(iter(()))) == []
