@@ -93,15 +93,19 @@ def bulge_search(spec: SearchSpec, genome: str = GENOME) -> str:
     return f"WITH {windows(spans, genome)},\n" + ",\n".join(kept) + "\n" + "\nUNION ALL ".join(parts)
 
 
-def semiglobal(pattern: str, texts: str, loose: bool = False) -> str:
-    """Least edits between a pattern and a suffix of each text of texts(id, t): the table of costs, row by row, as lists. loose: a text's N matches every letter."""
-    rows = ["d0 AS (SELECT id, t, list_transform(range(0, length(t) + 1), lambda j: 0) AS d FROM texts)"]
+def semiglobal(pattern: str, genome: str = GENOME, loose: bool = False) -> str:
+    """Least edits between a pattern and an end of each sequence: the table of costs, row by row, as lists. loose: a sequence's N matches every letter.
+
+    Without any base the pattern costs its length m, and each base beyond m costs one
+    more, so no best end is longer than 2 m: the last 2 m bases decide for the whole.
+    """
+    texts = f"SELECT doc_id AS id, length(seq)::BIGINT AS n, right(seq, {2 * len(pattern)}) AS t FROM ({genome})"
+    rows = ["d0 AS (SELECT id, n, t, list_transform(range(0, length(t) + 1), lambda j: 0) AS d FROM texts)"]
     for i, p in enumerate(pattern.upper(), 1):
         apart = f"(strpos('{p}{'N' if loose else ''}', substr(t, j::INT, 1)) = 0)::INT" if p in "ACGT" else "0"
         best = f"list_transform(range(0, length(t) + 1), lambda j: CASE WHEN j = 0 THEN {i} ELSE least(d[j::INT] + {apart}, d[j::INT + 1] + 1) END)"
         # A step along the text costs 1: the least of c[k] + (j - k) over k <= j, as a running minimum of c[k] - k.
-        rows.append(f"c{i} AS (SELECT id, t, {best} AS c FROM d{i - 1})")
+        rows.append(f"c{i} AS (SELECT id, n, t, {best} AS c FROM d{i - 1})")
         running = "list_transform(range(0, length(t) + 1), lambda j: list_min(list_transform(range(0, j + 1), lambda k: c[k::INT + 1] - k)) + j)"
-        rows.append(f"d{i} AS (SELECT id, t, {running} AS d FROM c{i})")
-    return f"WITH texts AS ({texts}),\n" + ",\n".join(rows) + f"\nSELECT id, t, d[length(t) + 1]::INTEGER AS distance FROM d{len(pattern)}"
-
+        rows.append(f"d{i} AS (SELECT id, n, t, {running} AS d FROM c{i})")
+    return f"WITH texts AS ({texts}),\n" + ",\n".join(rows) + f"\nSELECT id, n, d[length(t) + 1]::INTEGER AS distance FROM d{len(pattern)}"

@@ -33,7 +33,7 @@ def test_queries_end_at_the_documents_end(spark, tmp_path):
     draw = random.Random(2)
     texts = ["".join(draw.choices("ACGT", k=n)) + end for n, end in ((3, ""), (60, "TGCTGATACT"), (500, "TGCTGTACT"), (2000, "TGCTGAATACT"), (90, ""))]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    distance = {r["id"]: r for r in catalogue.WHOLE["edit_distance_whole"](spark, str(tmp_path)).collect()}
+    distance = {r["id"]: r for r in catalogue.QUERIES["edit_distance_semiglobal"](spark, str(tmp_path)).collect()}
     best = {r["id"]: r for r in catalogue.WHOLE["best_alignment_whole"](spark, str(tmp_path)).collect()}
     for i, text in enumerate(texts):
         assert distance[i]["distance"] == cost(catalogue.PROBE, text, lambda p, t: p == "N" or p == t)
