@@ -186,28 +186,26 @@ def _fasta_query(spark, sf_dir, words="", end="\n"):
 
 
 def _twobit_query(spark, sf_dir):
-    """The genome written as 2bit files, one a task, and read again by ranges."""
-    from functools import reduce
-
+    """The genome written as 2bit files of bounded size by all tasks, and read again by ranges."""
     import pyarrow as pa
     from pyarrow import fs
 
-    from ..sources.genome import read_genome, write_2bit
+    from ..sources.genome import files_2bit, read_2bit_files
 
     folder = f"{scratch_folder(spark)}/2bit-{uuid.uuid4().hex}"
 
     def write(batches):
-        rows = [(n.as_py(), s.as_py()) for batch in batches for n, s in zip(batch["chr_name"], batch["seq"])]
-        if rows:
-            system, where = fs.FileSystem.from_uri(folder)
-            system.create_dir(where, recursive=True)
-            name = f"{rows[0][0]}.2bit"
+        system, where = fs.FileSystem.from_uri(folder)
+        system.create_dir(where, recursive=True)
+        for data in files_2bit((n.as_py(), s.as_py()) for batch in batches for n, s in zip(batch["chr_name"], batch["seq"])):
+            name = f"{uuid.uuid4().hex}.2bit"  # of this attempt: a task may run twice
             with system.open_output_stream(f"{where}/{name}") as out:
-                out.write(write_2bit(rows))
+                out.write(data)
             yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
 
-    names = sorted(r["name"] for r in genome(spark, sf_dir).select("chr_name", "seq").repartition(4, "chr_name").mapInArrow(write, "name string").collect())  # one a task
-    found = reduce(DataFrame.unionByName, (read_genome(spark, f"{folder}/{name}") for name in names))
+    rows = genome(spark, sf_dir).select("chr_name", "seq").where("seq IS NOT NULL")
+    names = sorted(r["name"] for r in rows.repartition(max(4, spark.sparkContext.defaultParallelism), "chr_name").mapInArrow(write, "name string").collect())
+    found = read_2bit_files(spark, [f"{folder}/{name}" for name in names])
     return found.select("chr_name", F.length("seq").cast("long").alias("n"), F.md5("seq").alias("seq_md5"))
 
 

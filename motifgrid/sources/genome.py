@@ -6,7 +6,9 @@ Paths are read by Spark, so they may be in any store that it reaches.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -122,28 +124,48 @@ def parse_2bit(data: bytes):
         yield name, LETTER[codes].tobytes()
 
 
+#: The two bits of each letter; those of others are as T's.
+_BITS = np.zeros(256, np.uint8)
+_BITS[[ord(c) for c in "TCAG"]] = np.arange(4)
+
+
+def _record_2bit(text: str) -> bytes:
+    """The record of a sequence in a 2bit file."""
+    letters = np.frombuffer(text.upper().encode("ascii", "replace"), np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], (letters == ord("N")).view(np.int8), [0]])))
+    starts, ends = edges[::2].astype("=u4"), edges[1::2].astype("=u4")
+    bits = np.zeros(-(-len(letters) // 4) * 4, np.uint8)
+    bits[: len(letters)] = _BITS[letters]
+    packed = bits[0::4] << 6 | bits[1::4] << 4 | bits[2::4] << 2 | bits[3::4]
+    return b"".join((struct.pack("=II", len(letters), len(starts)), starts.tobytes(), (ends - starts).tobytes(), struct.pack("=II", 0, 0), packed.tobytes()))
+
+
+def _file_2bit(names: list[bytes], records: list[bytes]) -> bytes:
+    index, at = [], 16 + sum(5 + len(n) for n in names)
+    for name, record in zip(names, records):
+        index.append(struct.pack("=B", len(name)) + name + struct.pack("=I", at))
+        at += len(record)
+    return b"".join((struct.pack("=IIII", MAGIC, 0, len(names), 0), *index, *records))
+
+
 def write_2bit(sequences: list[tuple[str, str]]) -> bytes:
     """A 2bit file of sequences of A, C, G, T and N."""
-    order = {"T": 0, "C": 1, "A": 2, "G": 3}
-    index, records, at = b"", b"", 16 + sum(1 + len(n.encode()) + 4 for n, _ in sequences)
+    return _file_2bit([n.encode() for n, _ in sequences], [_record_2bit(t) for _, t in sequences])
+
+
+def files_2bit(sequences: Iterable[tuple[str, str]], limit: int = 1 << 25) -> Iterator[bytes]:
+    """2bit files of all sequences, in their order, each of about `limit` bytes or of one sequence."""
+    names, records, size = [], [], 0
     for name, text in sequences:
-        text = text.upper()
-        starts, sizes, i = [], [], 0
-        while i < len(text):
-            j = i
-            while j < len(text) and text[j] == "N":
-                j += 1
-            if j > i:
-                starts.append(i)
-                sizes.append(j - i)
-            i = max(j, i + 1)
-        bits = [order.get(c, 0) for c in text] + [0] * (-len(text) % 4)
-        packed = bytes(bits[k] << 6 | bits[k + 1] << 4 | bits[k + 2] << 2 | bits[k + 3] for k in range(0, len(bits), 4))
-        record = struct.pack(f"=II{2 * len(starts)}III", len(text), len(starts), *starts, *sizes, 0, 0) + packed
-        raw = name.encode()
-        index += bytes([len(raw)]) + raw + struct.pack("=I", at + len(records))
-        records += record
-    return struct.pack("=IIII", MAGIC, 0, len(sequences), 0) + index + records
+        record = _record_2bit(text)
+        if names and size + len(record) > limit:
+            yield _file_2bit(names, records)
+            names, records, size = [], [], 0
+        names.append(name.encode())
+        records.append(record)
+        size += len(record)
+    if names:
+        yield _file_2bit(names, records)
 
 
 @dataclass(frozen=True)
@@ -168,6 +190,21 @@ def _range(path: str):
         return None
 
 
+class _Ahead:
+    """An open file whose small reads are served from `window` bytes read at a time."""
+
+    def __init__(self, file, window: int):
+        self.file, self.window, self.at, self.held = file, window, 0, b""
+
+    def size(self) -> int:
+        return self.file.size()
+
+    def read_at(self, n: int, at: int) -> bytes:
+        if at < self.at or at + n > self.at + len(self.held):
+            self.at, self.held = at, self.file.read_at(max(n, self.window), at)
+        return self.held[at - self.at : at - self.at + n]
+
+
 def _numbers(file, at: int, n: int) -> np.ndarray:
     raw = file.read_at(4 * n, at)
     if len(raw) < 4 * n:
@@ -177,17 +214,19 @@ def _numbers(file, at: int, n: int) -> np.ndarray:
 
 def records_2bit(file) -> list[Record]:
     """The records of an open 2bit file: its index, and the head of each sequence."""
+    file = _Ahead(file, 1 << 14)
     magic, version, count, _ = _numbers(file, 0, 4).tolist()
     if magic != MAGIC:
         raise BadFileFormat("not a 2bit file of this machine's byte order")
     if version:
         raise BadFileFormat(f"2bit version {version} is unknown")
-    at, found, size = 16, [], file.size()
-    for number in range(count):
+    at, places, found, size = 16, [], [], file.size()
+    for _ in range(count):
         n = (file.read_at(1, at) or b"\0")[0]
         name = file.read_at(n, at + 1).decode("utf-8")
-        (place,) = _numbers(file, at + 1 + n, 1).tolist()
+        places.append((name, *_numbers(file, at + 1 + n, 1).tolist()))
         at += 5 + n
+    for number, (name, place) in enumerate(places):
         bases, runs = _numbers(file, place, 2).tolist()
         masks_at = place + 8 + 8 * runs
         bases_at = masks_at + 8 + 8 * int(_numbers(file, masks_at, 1)[0])
@@ -197,14 +236,21 @@ def records_2bit(file) -> list[Record]:
     return found
 
 
+def _runs(file, record: Record) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of a record's runs of N."""
+    n = _numbers(file, record.runs_at, 2 * record.runs)
+    return n[: record.runs], n[record.runs :]
+
+
 def _bases(file, record: Record, runs: tuple[np.ndarray, np.ndarray], start: int, stop: int) -> bytes:
     """Letters [start, stop) of a record."""
     first = start // 4
     raw = file.read_at(-(-stop // 4) - first, record.bases_at + first)
     codes = unpack_bases(memoryview(raw), stop - 4 * first)[start - 4 * first :].copy()
-    for a, n in zip(*runs):
-        if a < stop and a + n > start:
-            codes[max(a - start, 0) : a + n - start] = N
+    if len(runs[0]):
+        begin, end = np.clip(runs[0] - start, 0, len(codes)), np.clip(runs[0] + runs[1] - start, 0, len(codes))
+        depth = np.bincount(begin, minlength=len(codes) + 1) - np.bincount(end, minlength=len(codes) + 1)
+        codes[np.cumsum(depth[:-1]) > 0] = N
     return LETTER[codes].tobytes()
 
 
@@ -229,8 +275,7 @@ def tiles_2bit(spark: SparkSession, path: str, overlap: int = 0, size: int = TIL
                 for *record, start in zip(*(batch[c].to_pylist() for c in batch.schema.names)):
                     record = Record(*record)
                     if record != held:
-                        n = _numbers(file, record.runs_at, 2 * record.runs)
-                        held, runs = record, (n[: record.runs], n[record.runs :])
+                        held, runs = record, _runs(file, record)
                     own = min(size, record.size - start)
                     seq = _bases(file, record, runs, start, min(record.size, start + own + overlap))
                     yield pa.RecordBatch.from_arrays([pa.array([record.number], pa.int64()), pa.array([record.name]), pa.array([start], pa.int64()), pa.array([own], pa.int32()), pa.array([seq], pa.binary())], names=["chr_ord", "chr_name", "tile_start", "own", "seq"])
@@ -258,6 +303,48 @@ def read_2bit(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(read, GENOME)
 
 
+def read_2bit_files(spark: SparkSession, paths: list[str], part: int = 1 << 25, batch: int = 1 << 22) -> DataFrame:
+    """Sequences of many 2bit files, of any number of sequences each.
+
+    A task reads the sequences whose bases begin in its part of a file, of about
+    `part` bytes, and hands on about `batch` bases at a time; it reads the index by
+    itself, and the driver only the files' sizes. From a store that only Spark reaches
+    a file is a task's work, as for read_2bit().
+    """
+    if not paths:
+        return spark.createDataFrame([], GENOME)
+    if any(_range(path) is None for path in paths):
+        numbered = (read_2bit(spark, path).withColumn("chr_ord", F.col("chr_ord") + F.lit(k << 32)) for k, path in enumerate(paths))
+        return reduce(DataFrame.unionByName, numbered)
+    dealt = []
+    for k, path in enumerate(paths):
+        with _range(path)() as file:
+            size = file.size()
+        dealt += [(k, path, at, at + part) for at in range(0, max(size, 1), part)]
+
+    def read(batches):
+        for rows in batches:
+            for k, path, low, high in zip(*(rows[c].to_pylist() for c in ("k", "path", "low", "high"))):
+                with _range(path)() as file:
+                    ahead, held, size = _Ahead(file, 1 << 20), [], 0
+                    for record in sorted((r for r in records_2bit(file) if r.size and low <= r.bases_at < high), key=lambda r: r.bases_at):
+                        held.append((k << 32 | record.number, record.name, _bases(ahead, record, _runs(ahead, record), 0, record.size)))
+                        size += record.size
+                        if size >= batch:
+                            yield _genome_batch(held)
+                            held, size = [], 0
+                    if held:
+                        yield _genome_batch(held)
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(dealt, len(dealt)), "k long, path string, low long, high long")
+    return rows.mapInArrow(read, GENOME)
+
+
+def _genome_batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.binary()))]
+    return pa.RecordBatch.from_arrays(columns, names=["chr_ord", "chr_name", "seq"])
+
+
 def is_fasta(spark: SparkSession, path: str) -> bool:
     return is_folder(spark, path) or first_byte(spark, path) == ord(">")
 

@@ -1,15 +1,17 @@
 import json
 import os
 import random
+import time
 
 import pytest
 
 from motifgrid.cli import main
 from motifgrid.operators.search import search
+from motifgrid.plans import catalogue
 from motifgrid.plans.spec import ArgumentError, BadFileFormat, SearchSpec, parse_arguments, parse_query, read_query
 from motifgrid.operators.tiling import tile
 from motifgrid.operators.search import search_files
-from motifgrid.sources.genome import parse_2bit, read_2bit, read_fasta, read_genome, tiles_2bit, write_2bit
+from motifgrid.sources.genome import files_2bit, parse_2bit, read_2bit, read_2bit_files, read_fasta, read_genome, tiles_2bit, write_2bit
 from motifgrid.sources.sinks import HEADER, write_parts, write_report
 from motifgrid.streaming.genomes import stream_fasta, stream_search
 
@@ -154,3 +156,29 @@ def test_streaming(spark, tmp_path):
         query.stop()
     expected = search(read_fasta(spark, str(folder)), spec)
     assert sorted(map(tuple, spark.table("sites").collect())) == sorted(map(tuple, expected.collect())) != []
+
+
+def test_2bit_files_of_many_sequences(spark, tmp_path):
+    """Files of bounded size in a time that grows with the bases, read by tasks that share a file; no sequence is lost."""
+    draw = random.Random(5)
+    text = "".join(draw.choice("ACGTN") for _ in range(4000))
+    rows = [(f"s{i}", text[i % 1000 : i % 1000 + 2000]) for i in range(20000)] + [("empty", ""), ("n", "N" * 9)]
+    began = time.process_time()
+    files = list(files_2bit(rows, 1 << 22))
+    assert time.process_time() - began < 10  # letter by letter and copying all records before: over a minute
+    assert len(files) > 5 and max(map(len, files)) < 1.1 * (1 << 22)
+    paths = [f"file://{tmp_path}/{k}.2bit" for k in range(len(files))]
+    for k, data in enumerate(files):
+        (tmp_path / f"{k}.2bit").write_bytes(data)
+    found = read_2bit_files(spark, paths, part=1 << 20, batch=1 << 18)
+    assert found.rdd.getNumPartitions() > len(files)
+    got = found.collect()
+    assert sorted((r.chr_name, bytes(r.seq).decode()) for r in got) == sorted(r for r in rows if r[1])
+    assert len({r.chr_ord for r in got}) == len(got)
+    assert read_2bit_files(spark, []).count() == 0
+
+
+def test_2bit_query_with_null_and_empty_texts(spark, tmp_path):
+    spark.createDataFrame([(1, None), (2, ""), (3, "Nan, acgt"), (4, "q")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.QUERIES["twobit_roundtrip"](spark, str(tmp_path)).collect()
+    assert {(r.chr_name, r.n) for r in found} == {("doc3", 7), ("doc4", 1)}
