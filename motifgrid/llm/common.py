@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +41,43 @@ def lean(run):
     return lean_run
 
 
+def trim_jvm(spark: SparkSession) -> bool:
+    """Has the driver's JVM give the system back what its threads and compilers have freed; False if it can't (before Java 17.0.9, or not on Linux)."""
+    jvm, new_array = spark._jvm, spark.sparkContext._gateway.new_array
+    kind = jvm.java.lang.Class
+    try:
+        types, values = new_array(kind, 4), new_array(jvm.java.lang.Object, 4)
+        for k, name in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            types[k] = kind.forName(name)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # The server's own class isn't open to calls from outside, its interface is.
+        kind.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Py4JError:
+        return False
+    return True
+
+
+#: Seconds between two releases, which take some 0.6 s.
+RELEASE_S = 5
+_released = 0.0
+
+
+def release(spark: SparkSession) -> None:
+    """Gives back what finished steps have left, at most every RELEASE_S seconds.
+
+    Spark deletes a step's shuffle files and broadcasts when the driver happens to
+    collect the objects that stand for them, which a heap with room puts off; and the
+    many threads of large plans leave the driver with freed memory that it keeps.
+    """
+    global _released
+    if time.monotonic() - _released < RELEASE_S:
+        return
+    gc.collect()
+    spark._jvm.System.gc()
+    trim_jvm(spark)
+    _released = time.monotonic()
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder that the session names in spark.checkpoint.dir.
 
@@ -73,6 +113,7 @@ def materialise(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.scratch_path = path
+    release(spark)
     return found
 
 

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import release, small_batches, table
 
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -198,6 +198,7 @@ def _share_model(counts: list[tuple[str, int, int]], toxic: int, clean: int, spe
 
 def train(docs: DataFrame, labels: DataFrame, spec: ToxicitySpec = ToxicitySpec()) -> ToxicityModel:
     """A model from docs(doc_id, text) and labels(doc_id, toxic), without the held-out rows."""
+    release(docs.sparkSession)
     small_batches(docs.sparkSession, 256)
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(spec.max_labelled)

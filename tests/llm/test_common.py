@@ -1,4 +1,5 @@
 import os
+import time
 
 import pyarrow as pa
 import pytest
@@ -70,3 +71,33 @@ def test_materialised_rows_stay_until_discarded(spark):
 def test_lean_functions_give_the_same_batches():
     assert list(common.lean(lambda batches: (2 * b for b in batches))(iter([1, 2, 3]))) == [2, 4, 6]
     assert list(common.lean(lambda batches: iter(()))(iter(()))) == []
+
+
+def test_finished_steps_leave_no_shuffle_files(spark, monkeypatch):
+    """What a written step has shuffled is deleted while later ones run, without waiting for a full heap."""
+    monkeypatch.setattr(common, "RELEASE_S", 0, raising=False)
+
+    def shuffled():
+        found = spark._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if found.apply(k).getName().startswith("shuffle_")}
+
+    before = shuffled()
+    first = materialise(spark.range(10_000).repartition(3, "id"), "released")
+    own = shuffled() - before
+    for _ in range(10):
+        discard(materialise(spark.range(10), "later"))
+        if not shuffled() & own:
+            break
+        time.sleep(0.2)
+    assert not shuffled() & own and first.count() == 10_000
+    discard(first)
+
+
+def test_memory_of_the_driver_is_given_back_or_nothing_happens(spark, monkeypatch):
+    assert common.trim_jvm(spark) in (True, False)
+    calls = []
+    monkeypatch.setattr(common, "trim_jvm", calls.append)
+    monkeypatch.setattr(common, "_released", 0.0)
+    for _ in range(3):
+        common.release(spark)
+    assert len(calls) == 1
