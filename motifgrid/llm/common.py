@@ -7,6 +7,7 @@ import gc
 import tempfile
 import time
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,18 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+@contextmanager
+def large_batches(spark: SparkSession, rows: int = 1 << 14):
+    """Arrow batches of up to `rows` rows for what runs inside, whose rows are short."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def lean(run):
     """run, a function of Arrow batches; when it ends, its worker gives the system back what is free.
 
@@ -135,14 +148,17 @@ class Bloom:
     def __init__(self, sent, bits: int):
         self.sent, self.bits = sent, bits
 
-    def _known(self, column: pa.Array) -> np.ndarray:
-        there = column.is_valid().to_numpy(zero_copy_only=False)
-        h = column.fill_null(0).to_numpy().view(np.uint64)
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each of keys, 64-bit numbers, may be there."""
+        there = np.ones(len(keys), bool)
         for salt in _SALTS:
-            p = _places(h, salt, self.bits)
+            p = _places(keys.view(np.uint64), salt, self.bits)
             there &= (self.sent.value[p >> 5] >> (p & 31).astype(np.uint32)) & np.uint32(1) > 0
         return there
 
+    def _known(self, column: pa.Array) -> np.ndarray:
+        return column.is_valid().to_numpy(zero_copy_only=False) & self.has(column.fill_null(0).to_numpy())
+
     def inside(self, key: str):
         """What hands on the rows of batches whose key may be there."""
 

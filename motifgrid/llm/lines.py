@@ -16,9 +16,10 @@ bits can't do this: lines with a tenth of their words changed differ in some ten
 places, and no pigeonhole over so many is selective.
 
 Buckets of any size: first every class is compared with one pivot of each of its
-buckets, which joins a large group in as many comparisons as it has members. Then what
-different components have in common is compared in blocks of a bucket, each pair in
-the first bucket that it shares, and not once a link has joined them.
+buckets, which joins a large group in as many comparisons as it has members, and the
+first few members with each other, which is all that small buckets hold. Then what
+different components have in common in the larger ones is compared in blocks of a bucket, each
+pair in the first bucket that it shares, and not once a link has joined them.
 
 Defined results: a null text stays null, and an empty one empty. Lines without words
 are never removed. A row with a null doc_id is left as it is. Rows with the same doc_id
@@ -30,16 +31,18 @@ they are, but for n_lines, n_removed and n_left, which are replaced.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import zip_longest
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import bloom, discard, in_blocks, lean, materialise, sieve, small_batches, sorted_groups, table
+from .common import bloom, discard, in_blocks, large_batches, lean, materialise, sieve, small_batches, sorted_groups, table
 from .components import connected_components
 from .shingles import mix, powers_of_base, sorted_distinct
 
@@ -53,6 +56,8 @@ class LineSpec:
     pairs: int = 2
     #: Places in which the SimHashes of a candidate pair may differ.
     bits: int = 14
+    #: First members of a bucket, besides the pivot, that are all compared with each other.
+    window: int = 7
     #: Classes of a bucket that meet as many others at a time.
     block: int = 1024
 
@@ -69,6 +74,8 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
 _FOLD[48:58] = 48
 _FOLD[65:91] += 32
 _FOLD[10] = 10
+_SOLID = (_FOLD != 32) & (_FOLD != 10)
+_TERMS = _FOLD.astype(np.uint64) + np.uint64(1)
 
 
 #: Lead bytes of the characters (in UTF-8) that are words of their own: kana and Han.
@@ -118,53 +125,80 @@ def draw_blocks(features: np.ndarray, starts: np.ndarray, spec: LineSpec) -> np.
 
 
 class LineTable:
-    """Words of all lines of a run of texts: for each line its text's number, its own, its words, the normal form's length, SimHash, blocks and 128-bit print."""
+    """Words of all lines of a run of texts: for each line its text's number, its own, its words, the normal form's length, SimHash, blocks and 128-bit print.
 
-    def __init__(self, texts: list[str | None], spec: LineSpec):
-        raw = "\n".join([t or "" for t in texts]).lower().encode("utf-8", "surrogatepass") + b"\n"
-        data = _FOLD[np.frombuffer(raw, np.uint8)]
+    wanted, given the prints, tells of which lines SimHash and blocks are asked for; the others have zeros.
+    """
+
+    def __init__(self, texts: list[str | None], spec: LineSpec, wanted: Callable[[np.ndarray], np.ndarray] | None = None):
+        texts = [t or "" for t in texts]
+        # ASCII is folded below.
+        raw = np.frombuffer("\n".join([t if t.isascii() else t.lower() for t in texts]).encode("utf-8", "surrogatepass") + b"\n", np.uint8)
+        data = _FOLD[raw]
+        plain = not (raw > 127).any()
         ends = np.flatnonzero(data == 10)
-        counts = np.array([(t or "").count("\n") + 1 for t in texts])
+        counts = np.array([t.count("\n") + 1 for t in texts])
         owner = np.repeat(np.arange(len(texts)), counts)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
-        solid, lead = (data != 32) & (data != 10), _LEAD[data]
-        before = np.concatenate([[False], solid[:-1]])
-        after = np.concatenate([solid[1:] & ~lead[1:], [False]])
-        starts, stops = np.flatnonzero(solid & (~before | lead)), np.flatnonzero(solid & ~after) + 1
+        solid = _SOLID[raw]
+        if plain or not (lead := _LEAD[data]).any():
+            change = np.flatnonzero(solid[1:] != solid[:-1]) + 1  # data ends with a line feed
+            change = np.concatenate([[0], change]) if solid[0] else change
+            starts, stops = change[::2], change[1::2]
+        else:
+            before = np.concatenate([[False], solid[:-1]])
+            after = np.concatenate([solid[1:] & ~lead[1:], [False]])
+            starts, stops = np.flatnonzero(solid & (~before | lead)), np.flatnonzero(solid & ~after) + 1
         power, inverse = powers_of_base(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
-        words = mix((total[stops] - total[starts]) * inverse[starts] + (stops - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        total = np.empty(len(data) + 1, np.uint64)
+        total[0] = 0
+        terms = _TERMS[raw]
+        terms *= power[: len(data)]
+        np.cumsum(terms, out=total[1:])
+        long = stops - starts
+        words = mix((total[stops] - total[starts]) * inverse[starts] + long.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
         first = np.searchsorted(starts, np.concatenate([[0], ends[:-1] + 1]))
-        n = np.searchsorted(starts, ends) - first
+        n = np.append(first[1:], len(starts)) - first
         keep = np.flatnonzero(n >= max(1, spec.min_words))
         self.owner, self.number, self.words, first, n = owner[keep], number[keep], n[keep], first[keep], n[keep]
-        self.hash, self.print, self.chars, self.blocks = np.zeros(0, np.uint64), np.zeros((0, 2), np.uint64), np.zeros(0, np.int64), np.zeros((0, spec.blocks), np.uint64)
+        self.chars, self.print = np.zeros(len(keep), np.int64), np.zeros((len(keep), 2), np.uint64)
+        self.hash, self.blocks = np.zeros(len(keep), np.uint64), np.zeros((len(keep), spec.blocks), np.uint64)
+        self.wanted = np.ones(len(keep), bool)
         if len(keep):
-            signs = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters, not their further bytes
             begin = np.cumsum(n) - n
-            place = np.repeat(first - begin, n) + np.arange(n.sum())
-            own = words[place]
-            self.chars = np.add.reduceat(signs[stops[place]] - signs[starts[place]], begin) + n - 1
-            # Distinct words: how often `the` occurs says little about a line.
-            distinct = sorted_distinct(np.repeat(np.arange(len(n), dtype=np.uint64), n) << np.uint64(40) | own >> np.uint64(24))
-            self.hash = simhash(distinct & np.uint64((1 << 40) - 1), np.searchsorted(distinct >> np.uint64(40), np.arange(len(n), dtype=np.uint64)))
+            own = words
+            if n.sum() < len(words):
+                place = np.repeat(first - begin, n) + np.arange(n.sum())
+                own, long = words[place], long[place]
+            self.chars = np.add.reduceat(long, begin) + n - 1
+            if not plain:  # characters, not their further bytes, which are all parts of words
+                further = np.flatnonzero((data & 0xC0) == 0x80)
+                self.chars -= np.searchsorted(further, ends[keep]) - np.searchsorted(further, np.concatenate([[0], ends[:-1]])[keep])
             at = np.arange(len(own)) - np.repeat(begin, n)
             self.print = np.column_stack([np.add.reduceat(mix(own ^ (at.astype(np.uint64) * np.uint64(c))), begin) for c in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
+            if wanted is not None:
+                self.wanted = wanted(self.print)
+                own, n = own[np.repeat(self.wanted, n)], n[self.wanted]
+        if len(n):
+            begin = np.cumsum(n) - n
+            # Distinct words: how often `the` occurs says little about a line.
+            distinct = sorted_distinct(np.repeat(np.arange(len(n), dtype=np.uint64) << np.uint64(40), n) | own >> np.uint64(24))
+            self.hash[self.wanted] = simhash(distinct & np.uint64((1 << 40) - 1), np.searchsorted(distinct, np.arange(len(n), dtype=np.uint64) << np.uint64(40)))
             # Word pairs, or the only word; the last word of a line begins none.
             pair = mix(own * np.uint64(0x9FB21C651E98DF25) + np.append(own[1:], np.uint64(0)))
-            alone = np.repeat(n == 1, n)
+            alone = begin[n == 1]
             pair[alone] = own[alone]
-            used = alone | (at + 1 < np.repeat(n, n))
+            used = np.ones(len(own), bool)
+            used[(begin + n - 1)[n > 1]] = False
             m = np.maximum(n - 1, 1)
-            self.blocks = draw_blocks(pair[used], np.cumsum(m) - m, spec)
+            self.blocks[self.wanted] = draw_blocks(pair[used], np.cumsum(m) - m, spec)
 
     def prints(self) -> list[bytes]:
         data = self.print.astype(">u8").tobytes()
         return [data[i : i + 16] for i in range(0, len(data), 16)]
 
 
-def _runs(texts: list[str | None], limit: int = 1 << 18) -> Iterator[tuple[int, int, list[str | None]]]:
+def _runs(texts: list[str | None], limit: int = 1 << 17) -> Iterator[tuple[int, int, list[str | None]]]:
     """(first text, its first line, texts) of about `limit` characters; a longer text comes in pieces of whole lines."""
     a, size = 0, 0
     for i, t in enumerate(texts):
@@ -191,53 +225,114 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
 
 
+class _Seen:
+    """Which prints come for the first time, among some hundred thousand at least that came last."""
+
+    def __init__(self, most: int = 1 << 18):
+        self.most, self.now, self.before = most, set(), set()
+
+    def __call__(self, prints: np.ndarray) -> np.ndarray:
+        new = np.ones(len(prints), bool)
+        for k, p in enumerate(prints.view("V16").ravel().tolist()):
+            if p in self.now or p in self.before:
+                new[k] = False
+            else:
+                self.now.add(p)
+        if len(self.now) > self.most:
+            self.now, self.before = set(), self.now
+        return new
+
+
 def line_table(docs: DataFrame, spec: LineSpec) -> DataFrame:
-    """(doc_id, text_key, line, print, hash, chars, blocks) of every line of enough words of docs(doc_id, text)."""
+    """(doc_id, text_key, line, print, hash, chars, blocks) of every line of enough words of docs(doc_id, text).
+
+    The last three are null if the task has lately told them of the same print, so a
+    frequent line costs little more than its places.
+    """
     small_batches(docs.sparkSession, 256)
 
     def run(batches):
+        seen = _Seen()
         for batch in batches:
             ids, keys = batch["doc_id"].to_numpy(), batch["text_key"].to_numpy()
             for a, line, texts in _runs(batch["text"].to_pylist()):
-                found = LineTable(texts, spec)
-                n = len(found.hash)
+                found = LineTable(texts, spec, seen)
+                n, told = len(found.hash), ~found.wanted
                 # A line of one pair has one block: the others would only say the same.
-                width = np.where(found.words <= 2, 1, spec.blocks)
+                width = np.where(told, 0, np.where(found.words <= 2, 1, spec.blocks))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32())
                 held = found.blocks.view(np.int64)[np.arange(spec.blocks) < width[:, None]] if n else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids[a + found.owner]), pa.array(keys[a + found.owner]), pa.array(found.number + line, pa.int32()), pa.array(found.prints(), pa.binary()),
-                    pa.array(found.hash.view(np.int64)), pa.array(found.chars, pa.int32()), pa.ListArray.from_arrays(offsets, pa.array(held)),
+                    pa.array(found.hash.view(np.int64), mask=told), pa.array(found.chars, pa.int32(), mask=told), pa.ListArray.from_arrays(offsets, pa.array(held), mask=pa.array(told)),
                 ], names=["doc_id", "text_key", "line", "print", "hash", "chars", "blocks"])
 
     return _keyed(docs).mapInArrow(lean(run), "doc_id long, text_key long, line int, print binary, hash long, chars int, blocks array<long>")
 
 
 def shared_buckets(classes: DataFrame, spec: LineSpec) -> DataFrame:
-    """(bucket, print, hash, chars, pivot) of the members of each bucket that holds more than one; pivot: its first member, if that is a candidate for this one.
+    """Members of buckets that hold more than one class, for classes(print, hash, chars, blocks), which may name a class repeatedly.
 
-    The rows of a bucket stream past its pivot, so its size costs no memory.
+    (bucket, print, hash, chars, pivot, near, rank): pivot is the bucket's first member,
+    if that is a candidate for this one; rank tells how many members precede this one; near
+    are the candidates among the pivot and, up to rank `window`, all members before. Without
+    candidates a member is left out if its bucket is known to hold no more than `window` + 1.
+
+    The rows of a bucket stream past, so its size costs no memory.
     """
 
     def run(batches):
-        held, told = None, False  # the pivot of the bucket that the last batch ended in, and whether it is handed on
+        # Of the bucket that the last batch ended in: its pivot and last members, how many there were, and the first one's rank.
+        held, count = None, 0
         for batch in batches:
-            rows = pa.Table.from_batches([*([held] if held is not None else []), batch]).combine_chunks()
-            key, hashes, chars = rows["bucket"].to_numpy(), rows["hash"].to_numpy().view(np.uint64), rows["chars"].to_numpy()
+            old = held.num_rows if held is not None else 0
+            rows = pa.Table.from_batches([*(held.to_batches() if old else []), batch]).combine_chunks()
+            key = rows["bucket"].to_numpy()
+            again = (key[1:] == key[:-1]) & pc.equal(rows["print"][1:], rows["print"][:-1]).to_numpy().astype(bool)
+            again[: max(old - 1, 0)] = False
+            if again.any():
+                rows = rows.filter(pa.array(np.append(True, ~again))).combine_chunks()
+                key = rows["bucket"].to_numpy()
             change = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
             size = np.diff(np.append(change, len(key)))
-            pivot = np.repeat(change, size)
-            near = spec.comparable(hashes, hashes[pivot], chars, chars[pivot]) & (pivot != np.arange(len(key)))
-            out = np.repeat(size > 1, size)
-            out[0] &= held is None or not told
-            told = bool(size[-1] > 1 or (len(size) == 1 and held is not None and told))
-            held = rows.slice(int(change[-1]), 1).to_batches()[0]
+            # Places of the rows of shared buckets, each with the place of its pivot, its rank, and whether its bucket may be large.
+            at = np.flatnonzero(np.repeat(size > 1, size))
+            pivot, rank = np.repeat(change, size)[at], (np.arange(len(key)) - np.repeat(change, size))[at]
+            beyond = count - old  # members of the first bucket that are no longer here
+            rank = rank + np.where((pivot == 0) & (at >= old), beyond, 0)
+            large = size > spec.window + 1
+            large[0] |= old > 0
+            large[-1] = True
+            large = np.repeat(large, size)[at]
+            hashes, chars = rows["hash"].to_numpy().view(np.uint64), rows["chars"].to_numpy()
+            fresh = at >= old
+            of, to = [], []
+            for d in range(spec.window + 1):
+                other = pivot if d == 0 else at - d
+                k = np.flatnonzero(fresh & ((other > pivot) & (rank <= spec.window) if d else at > pivot))
+                k = k[spec.comparable(hashes[at[k]], hashes[other[k]], chars[at[k]], chars[other[k]])]
+                of.append(k)
+                to.append(other[k])
+            by_pivot = np.zeros(len(at), bool)
+            by_pivot[of[0]] = True
+            order = np.argsort(np.concatenate(of), kind="stable")
+            to, near = np.concatenate(to)[order], np.bincount(np.concatenate(of), minlength=len(at))
+            out = (near > 0) | large
+            out &= fresh | ((at == 0) & (count == 1))
+            # What the next batch may go on with.
+            last = int(change[-1])
+            kept = np.arange(max(last + 1, len(key) - spec.window), len(key))
+            count = len(key) - last + (beyond if last == 0 else 0)
+            held = rows.take(pa.array(np.append(last, kept)))
             if out.any():
-                named = rows["print"].combine_chunks().take(pa.array(np.where(near, pivot, 0), mask=~near))
-                yield pa.RecordBatch.from_arrays([rows[c].combine_chunks() for c in ("bucket", "print", "hash", "chars")] + [named], names=["bucket", "print", "hash", "chars", "pivot"]).filter(pa.array(out))
+                names, where = rows["print"].combine_chunks(), pa.array(at[out])
+                near_to = names.take(pa.array(to))  # rows without candidates have none there
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(near[out])]), pa.int32()), near_to)
+                named = names.take(pa.array(np.where(by_pivot, pivot, 0)[out], mask=~by_pivot[out]))
+                yield pa.RecordBatch.from_arrays([rows[c].combine_chunks().take(where) for c in ("bucket", "print", "hash", "chars")] + [named, lists, pa.array(rank[out], pa.int64())], names=["bucket", "print", "hash", "chars", "pivot", "near", "rank"])
 
     rows = classes.select(F.explode("blocks").alias("bucket"), "print", "hash", "chars")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "print").mapInArrow(lean(run), "bucket long, print binary, hash long, chars int, pivot binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "print").mapInArrow(lean(run), "bucket long, print binary, hash long, chars int, pivot binary, near array<binary>, rank long")
 
 
 def _sides(rows: pa.Table, key: tuple) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -272,23 +367,21 @@ def open_classes(shared: DataFrame, spec: LineSpec) -> DataFrame:
 
 
 def linking_pairs(shared: DataFrame, spec: LineSpec) -> DataFrame:
-    """Links (a, b) between different roots that join all that the links of a bucket join, for shared(bucket, class, hash, chars, root, blocks, form)."""
+    """Links (a, b) of different roots that join all that the links of a bucket join, for shared(bucket, class, hash, chars, root, blocks, form)."""
 
     def run(batches):
         for key, rows in sorted_groups(batches, ["bucket", "i", "j"]):
-            names, hashes, chars, label, first, second = _sides(rows, key)
-            forms, own = rows["form"].to_pylist(), rows["blocks"].to_pylist()
-            found = []
+            _, hashes, chars, label, first, second = _sides(rows, key)
+            forms, own, roots = rows["form"].to_pylist(), rows["blocks"].to_pylist(), rows["root"].to_pylist()
+            found = Joiner(spec.similarity)
             for x in first.tolist():
                 others = second[label[second] != label[x]]
                 for y in others[spec.comparable(hashes[others], hashes[x], chars[others], chars[x])].tolist():
-                    if label[y] == label[x] or next(p for p, q in zip(own[x], own[y]) if p == q) != key[0]:
-                        continue  # joined meanwhile, or compared in another bucket
-                    if similar(forms[x], forms[y], spec.similarity):
-                        found.append((names[x], names[y]))
-                        label[label == label[y]] = label[x]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.binary()) for k in (0, 1)], names=["a", "b"])
+                    if found.apart(roots[x], roots[y]) and next(p for p, q in zip(own[x], own[y]) if p == q) == key[0]:
+                        found.offer(roots[x], roots[y], forms[x], forms[y])
+            found.settle()
+            if found.links:
+                yield found.taken()
 
     return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(lean(run), "a binary, b binary")
 
@@ -330,52 +423,187 @@ def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
     return score
 
 
+def cost_at_most(x: list[str], y: list[str], most: int) -> bool:
+    """Whether an alignment that takes the next equal words as they come costs at most `most` letters; a quick yes, while no says nothing.
+
+    Words between those that are aligned, each with a blank, cost the longer side's letters.
+    """
+    i, j, n, m = 0, 0, len(x), len(y)
+    while i < n and j < m:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        for p, q in _STEPS:
+            if i + p < n and j + q < m and x[i + p] == y[j + q]:
+                break
+        else:
+            p = q = 1
+        most -= max(sum(map(len, x[i : i + p])) + p, sum(map(len, y[j : j + q])) + q)
+        if most < 0:
+            return False
+        i, j = i + p, j + q
+    return max(sum(map(len, x[i:])) + n - i, sum(map(len, y[j:])) + m - j) <= most
+
+
+#: Words to pass on either side to the next equal ones, the fewest first.
+_STEPS = sorted(((p, q) for p in range(7) for q in range(7) if p + q), key=lambda s: (max(s), s[0] + s[1]))
+
+
+def allowed(a: str, b: str, similarity: float) -> int:
+    """The greatest edit distance of lines that are similar enough."""
+    return int((1 - similarity) * max(len(a), len(b)) + 1e-9)
+
+
 def similar(a: str, b: str, similarity: float) -> bool:
     """Whether 1 - edit distance / greater length is at least `similarity`.
 
-    Lines that differ in few words are known by them: so many words are replaced, each
-    at the cost of the longest word and a blank at most.
+    Lines that differ in few words are known by them.
     """
-    longest = max(len(a), len(b))
-    most = int((1 - similarity) * longest + 1e-9)
-    if abs(len(a) - len(b)) > most:
-        return False
-    x, y = a.split(), b.split()
-    words = most // (max(map(len, x + y), default=0) + 1)
-    if words and edit_distance(x, y, words) <= words:
-        return True
-    return edit_distance(a, b, most) <= most
+    most = allowed(a, b, similarity)
+    return abs(len(a) - len(b)) <= most and (cost_at_most(a.split(" "), b.split(" "), most) or edit_distance(a, b, most) <= most)
+
+
+#: Bits of the whole numbers in which many edit distances are counted at once.
+LANES = 1 << 15
+
+
+def edit_distances(pairs: list[tuple[str, str]]) -> list[int]:
+    """Levenshtein's distance of each pair: one pass as in edit_distance, where pairs have their bits in lanes of the same numbers, those with the longest texts lowest."""
+    found = [0] * len(pairs)
+    order = sorted(range(len(pairs)), key=lambda k: max(map(len, pairs[k])))
+    while order:
+        lanes, masks, width, full, low = [], [], 0, 0, 0
+        while order and width < LANES:
+            k = order.pop()
+            a, b = sorted(pairs[k], key=len)
+            lanes.append((k, width, len(a), len(b)))
+            own = len(a) // 8 + 1  # bytes, with a bit for the carry at least
+            where: dict[str, int] = {}
+            for i, c in enumerate(a):
+                where[c] = where.get(c, 0) | 1 << i
+            bits, none = {c: m.to_bytes(own, "little") for c, m in where.items()}, bytes(own)
+            masks.append([bits.get(c, none) for c in b])
+            full |= ((1 << len(a)) - 1) << width
+            low |= 1 << width if a else 0
+            width += 8 * own
+        up, down = full, 0
+
+        def finish(step):
+            nonlocal up, down, full, low
+            while lanes and lanes[-1][3] == step:
+                k, at, m, n = lanes.pop()
+                found[k] = n + (up >> at).bit_count() - (down >> at).bit_count()
+                rest = (1 << at) - 1
+                up, down, full, low = up & rest, down & rest, full & rest, low & rest
+
+        finish(0)
+        for step, column in enumerate(zip_longest(*masks, fillvalue=b""), 1):
+            match = int.from_bytes(b"".join(column), "little")
+            either = match | down
+            across = (((match & up) + up) ^ up) | either
+            plus, minus = down | full ^ (full & (across | up)), up & across
+            plus, minus = (plus << 1 | low) & full, (minus << 1) & full
+            up, down = minus | full ^ (full & (either | plus)), plus & either
+            if lanes[-1][3] == step:
+                finish(step)
+    return found
+
 
+class Joiner:
+    """Links among pairs of forms, taken in as they come, that join all that similar pairs join.
 
-def forms_of(prints: DataFrame, classes: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """Written (print, form) of the wanted classes, read again from whole texts."""
-    wanted = prints.join(classes.select("print", "first"), "print").select("print", "first.doc_id", "first.text_key", "first.line")
-    wanted = materialise(wanted, "wanted", most)
-    found = sieve(_keyed(docs), wanted.select("text_key"), "text_key", ["doc_id", "text"])
-    lines = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("line", "print")).alias("lines"))
+    Pairs that are quickly known as similar link at once; the others wait until there
+    are enough of them, and those that have not been joined meanwhile are compared.
+    """
+
+    def __init__(self, similarity: float, patience: int = 1024):
+        self.similarity, self.patience, self.joined, self.open, self.links = similarity, patience, {}, [], []
+
+    def root(self, p):
+        while (q := self.joined.get(p, p)) != p:
+            self.joined[p] = self.joined.get(q, q)
+            p = q
+        return p
+
+    def apart(self, a, b) -> bool:
+        return self.root(a) != self.root(b)
+
+    def link(self, a, b) -> None:
+        self.joined[self.root(b)] = self.root(a)
+        self.links.append((a, b))
+
+    def offer(self, a, b, x: str, y: str) -> None:
+        """A pair of names, and their forms."""
+        most = allowed(x, y, self.similarity)
+        if abs(len(x) - len(y)) > most or not self.apart(a, b):
+            return
+        if cost_at_most(x.split(" "), y.split(" "), most):
+            self.link(a, b)
+        else:
+            self.open.append((a, b, x, y, most))
+            if len(self.open) >= self.patience:
+                self.settle()
+
+    def settle(self) -> None:
+        """Compares the pairs that wait, some at a time, for each link spares others."""
+        waiting, self.open = self.open, []
+        step = max(1, self.patience // 8)
+        for k in range(0, len(waiting), step):
+            some = [w for w in waiting[k : k + step] if self.apart(w[0], w[1])]
+            for (a, b, *_, most), d in zip(some, edit_distances([(x, y) for _, _, x, y, _ in some])):
+                if d <= most and self.apart(a, b):
+                    self.link(a, b)
+
+    def taken(self) -> pa.RecordBatch:
+        """The links since the last call."""
+        links, self.links = self.links, []
+        return pa.RecordBatch.from_arrays([pa.array([e[k] for e in links], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _place(text_key, doc_id, line):
+    """A number of a line's place, the same from columns and from numpy's arrays."""
+    if isinstance(text_key, np.ndarray):
+        return text_key ^ (doc_id << 24) ^ line
+    return text_key.bitwiseXOR(F.shiftleft(doc_id, 24)).bitwiseXOR(line.cast("long"))
+
+
+def forms_of(wanted: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+    """Written (print, form) of wanted(print, doc_id, text_key, line), read again from whole texts, of which only the lines travel."""
+    known = bloom(wanted.select(_place(F.col("text_key"), F.col("doc_id"), F.col("line")).alias("place")), "place")
+    small_batches(docs.sparkSession, 256)
 
     def read(batches):
         for batch in batches:
-            out = []
-            for text, own in zip(batch["text"].to_pylist(), batch["lines"].to_pylist()):
-                split = split_lines(text)
-                out += [(x["print"], normal_form(split[x["line"]])) for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.binary()), pa.array([t for _, t in out], pa.string())], names=["print", "form"])
-
-    forms = found.join(lines, ["doc_id", "text_key"]).select("text", "lines").mapInArrow(lean(read), "print binary, form string").groupBy("print").agg(F.min("form").alias("form"))
-    forms = materialise(forms, "forms", most)
-    discard(wanted)
-    return forms
+            counts = pc.count_substring(batch["text"], "\n").to_numpy().astype(np.int64) + 1
+            owner = np.repeat(np.arange(len(counts)), counts)
+            number = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            ids, keys = batch["doc_id"].to_numpy()[owner], batch["text_key"].to_numpy()[owner]
+            hit = np.flatnonzero(known.has(_place(keys, ids, number)))
+            split, last, forms = [], -1, []
+            for k, n in zip(owner[hit].tolist(), number[hit].tolist()):
+                if k != last:
+                    split, last = split_lines(batch["text"][k].as_py()), k
+                forms.append(normal_form(split[n]))
+            if forms:
+                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(keys[hit]), pa.array(number[hit], pa.int32()), pa.array(forms, pa.string())], names=["doc_id", "text_key", "line", "form"])
+
+    found = _keyed(docs).mapInArrow(lean(read), "doc_id long, text_key long, line int, form string")
+    forms = found.join(wanted, ["doc_id", "text_key", "line"]).groupBy("print").agg(F.min("form").alias("form"))
+    return materialise(forms, "forms", most)
 
 
 def similar_pairs(pairs: DataFrame, forms: DataFrame, spec: LineSpec) -> DataFrame:
-    """Those of pairs(a, b) whose normal forms are similar enough."""
+    """Links among pairs(a, b) whose normal forms are similar enough, which join all that such pairs join."""
     both = pairs.join(forms.select(F.col("print").alias("a"), F.col("form").alias("x")), "a").join(forms.select(F.col("print").alias("b"), F.col("form").alias("y")), "b")
 
     def compare(batches):
+        found = Joiner(spec.similarity)
         for batch in batches:
-            keep = [similar(x, y, spec.similarity) for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist())]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for pair in zip(*(batch[c].to_pylist() for c in ("a", "b", "x", "y"))):
+                found.offer(*pair)
+            yield found.taken()
+        found.settle()
+        yield found.taken()
 
     return both.select("a", "b", "x", "y").mapInArrow(lean(compare), "a binary, b binary")
 
@@ -383,28 +611,42 @@ def similar_pairs(pairs: DataFrame, forms: DataFrame, spec: LineSpec) -> DataFra
 def repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
     """(doc_id, text_key, lines): the numbers of the lines of each document that repeat an earlier one."""
     lines = materialise(line_table(docs, spec), "lines")
-    first = F.min(F.struct("doc_id", "text_key", "line")).alias("first")
-    classes = lines.groupBy("print").agg(first, F.first(F.struct("hash", "chars", "blocks")).alias("m"), F.count("*").alias("n"))
-    classes = materialise(classes.select("print", "first", "n", "m.hash", "m.chars", "m.blocks"), "classes")
-    shared = materialise(shared_buckets(classes, spec), "shared")
-    pairs = shared.where(F.col("pivot").isNotNull()).select(F.least("print", "pivot").alias("a"), F.greatest("print", "pivot").alias("b")).distinct()
+    told = lines.where(F.col("blocks").isNotNull())
+    with large_batches(docs.sparkSession):
+        shared = materialise(shared_buckets(told, spec).drop("pivot"), "shared")
     most = shared.count()
+    pairs = shared.select("print", F.explode("near").alias("near")).select(F.least("print", "near").alias("a"), F.greatest("print", "near").alias("b"))
+    pairs = materialise(pairs.distinct(), "pairs", most)
+    large = shared.where(F.col("rank") > spec.window).select("bucket").distinct()
+    large = materialise(shared.join(large, "bucket", "left_semi").select("bucket", F.col("print").alias("class"), "hash", "chars"), "large", most)
+    discard(shared)
+    # Classes with several lines, or with a candidate; all others stay as they are.
+    named = pairs.select(F.explode(F.array("a", "b")).alias("print")).unionByName(large.select(F.col("class").alias("print"))).distinct().withColumn("linked", F.lit(True))
+    several = lines.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print", F.lit(False).alias("linked"))
+    named = materialise(named.unionByName(several).groupBy("print").agg(F.max("linked").alias("linked")), "named", most)
+    with large_batches(docs.sparkSession):
+        places = materialise(sieve(lines, named, "print", ["doc_id", "text_key", "line"]).join(named, "print"), "places")
+    classes = places.groupBy("print").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.max("linked").alias("linked"))
+    classes = materialise(classes, "classes", most)
+    discard(named)
     # Read once, for both rounds.
-    forms = forms_of(shared.select("print").distinct(), classes, docs, most)
+    forms = forms_of(classes.where("linked").select("print", "first.*"), docs, most)
     links = materialise(similar_pairs(pairs, forms, spec), "links", most)
     roots = connected_components(links, most)
-    known = shared.join(roots.withColumnRenamed("node", "print"), "print", "left").select("bucket", F.col("print").alias("class"), "hash", "chars", F.coalesce("root", "print").alias("root"))
+    discard(pairs, links)
+    known = large.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "hash", "chars", F.coalesce("root", "class").alias("root"))
     still = materialise(open_classes(known, spec), "open", most)
-    detail = still.join(forms, "print").join(classes.select("print", "blocks"), "print").withColumnRenamed("print", "class")
-    more = linking_pairs(known.join(detail, "class"), spec)
-    roots = connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more), most)
-    named = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").where(F.col("root").isNotNull() | (F.col("n") > 1))
-    named = named.select("print", F.coalesce("root", "print").alias("root"), "first")
-    kept = named.groupBy("root").agg(F.min("first").alias("kept"))
-    named = named.select("print", "root").join(kept, "root").select("print", "kept")
-    gone = lines.select("doc_id", "text_key", "line", "print").join(named, "print").where(F.struct("doc_id", "text_key", "line") != F.col("kept"))
+    blocks = sieve(told, still, "print", ["blocks"]).join(still, "print").groupBy("print").agg(F.first("blocks").alias("blocks"))
+    detail = still.join(forms, "print").join(blocks, "print").withColumnRenamed("print", "class")
+    more = connected_components(linking_pairs(known.join(detail, "class"), spec), most)
+    more = more.select(F.col("node").alias("own"), F.col("root").alias("joined"))
+    linked = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("own", F.coalesce("root", "print"))
+    linked = materialise(linked.join(more, "own", "left").select("print", F.coalesce("joined", "own").alias("root"), "first"), "roots", most)
+    kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
+    kept = linked.join(kept, "root").select("print", "kept")
+    gone = places.join(kept, "print").where(F.struct("doc_id", "text_key", "line") != F.col("kept"))
     found = materialise(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines")), "repeated")
-    discard(lines, classes, shared, links, still, forms)
+    discard(lines, large, places, classes, still, forms, linked)
     return found
 
 
@@ -446,7 +688,10 @@ def drop_repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFra
 
     def as_they_are(batches):
         for batch in known.outside(batches, "text_key"):
-            yield emit(batch, [None] * batch.num_rows)
+            text = batch[f"c{texts}"]
+            total = pc.fill_null(pc.add(pc.count_substring(text, "\n").cast(pa.int64()), 1), 0)
+            columns = [*(batch[c] for c in names), total, pa.array(np.zeros(len(text), np.int64)), pa.nulls(len(text), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     def shortened(batches):
         for batch in batches:

@@ -1,3 +1,4 @@
+import os
 import random
 import string
 
@@ -198,3 +199,65 @@ def test_buckets_larger_than_a_batch(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(found) == 50 and {r["bucket"] for r in found} == {7}
     assert {bytes(r["print"]) for r in found if r["pivot"] is not None} == {k.to_bytes(4, "big") for k in range(1, 50) if k % 3 == 0}
+
+
+def test_distances_counted_together():
+    draw = random.Random(12)
+    pairs = [("".join(draw.choices("abü", k=draw.choice([0, 1, 7, 8, 9, 30, 64]))), "".join(draw.choices("abü", k=draw.choice([0, 1, 8, 15, 63, 70])))) for _ in range(700)]
+    assert lines.edit_distances(pairs) == [brute.distance(a, b) for a, b in pairs]
+    assert lines.edit_distances([]) == []
+
+
+def test_links_join_all_that_similar_pairs_join():
+    draw = random.Random(13)
+    vocabulary = ["".join(draw.choices("abcdef", k=draw.randint(1, 6))) for _ in range(40)]
+    bases = [draw.choices(vocabulary, k=draw.randint(4, 14)) for _ in range(12)]
+    forms = [" ".join(brute.variant(draw, draw.choice(bases), draw.choice([0.05, 0.15, 0.3]), vocabulary)) for _ in range(90)]
+    names = [k.to_bytes(2, "big") for k in range(90)]
+    pairs = [(i, j) for i in range(90) for j in range(i)]
+    for patience in (1, 20, 10_000):
+        found = lines.Joiner(0.75, patience)
+        for i, j in draw.sample(pairs, len(pairs)):
+            found.offer(names[i], names[j], forms[i], forms[j])
+        found.settle()
+        taken = found.taken()
+        links = list(zip(taken["a"].to_pylist(), taken["b"].to_pylist()))
+        want = brute.components(names, [(names[i], names[j]) for i, j in pairs if brute.distance(forms[i], forms[j]) <= lines.allowed(forms[i], forms[j], 0.75)])
+        assert brute.components(names, links) == want and len(links) == 90 - len(set(want.values()))
+
+
+def test_buckets_with_repeated_classes(spark):
+    """A class that several tasks tell of is one member; the first few members are all compared, the others with the pivot."""
+    spec = LineSpec(window=2)
+    rows = [(k.to_bytes(4, "big"), 0, 10, [b]) for b, n in ((1, 1), (2, 2), (3, 3), (4, 6)) for k in range(n) for _ in range(3)]
+    frame = spark.createDataFrame(rows, "print binary, hash long, chars int, blocks array<long>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 4, 1000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            near = {(r["bucket"], r["print"][3]): sorted(p[3] for p in r["near"]) for r in lines.shared_buckets(frame, spec).collect() if r["near"]}
+            assert near == {(2, 1): [0], (3, 1): [0], (3, 2): [0, 1], (4, 1): [0], (4, 2): [0, 1], (4, 3): [0], (4, 4): [0], (4, 5): [0]}
+            ranks = {r["print"][3]: r["rank"] for r in lines.shared_buckets(frame, spec).collect() if r["bucket"] == 4}
+            assert ranks == {k: k for k in range(6)}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_what_is_written(spark, monkeypatch):
+    """Each line's hashes are written once, and those of a frequent line once a task."""
+    draw = random.Random(14)
+    base = "a line that stands in every one of the documents of this table"
+    rows = [(i, "\n".join([base, *(" ".join("".join(draw.choices(string.ascii_lowercase, k=6)) for _ in range(12)) for _ in range(40))])) for i in range(300)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert lines.line_table(frame, LineSpec()).where("blocks is not null").count() <= 300 * 40 + 2
+    written, real = {}, lines.materialise
+
+    def measured(df, name, *more):
+        found = real(df, name, *more)
+        path = found.scratch_path.removeprefix("file:")
+        written[name] = written.get(name, 0) + sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path))
+        return found
+
+    monkeypatch.setattr(lines, "materialise", measured)
+    assert lines.repeated_lines(frame).count() == 299
+    assert sum(written.values()) < 125 * 300 * 41
