@@ -74,6 +74,7 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
 _FOLD[48:58] = 48
 _FOLD[65:91] += 32
 _FOLD[10] = 10
+_FOLD_BYTES = _FOLD.tobytes()
 _SOLID = (_FOLD != 32) & (_FOLD != 10)
 _TERMS = _FOLD.astype(np.uint64) + np.uint64(1)
 
@@ -91,8 +92,12 @@ def split_lines(text: str) -> list[str]:
 
 
 def normal_form(line: str) -> str:
-    folded = _FOLD[np.frombuffer(line.lower().encode("utf-8", "surrogatepass"), np.uint8)].tobytes()
-    return b" ".join(_ALONE.sub(b" ", folded).split()).decode("utf-8", "surrogatepass")
+    folded = line.lower().encode("utf-8", "surrogatepass").translate(_FOLD_BYTES)
+    return b" ".join((folded if folded.isascii() else _ALONE.sub(b" ", folded)).split()).decode("utf-8", "surrogatepass")
+
+
+#: What is or becomes a letter or digit of a normal form.
+_WORDY = re.compile("[0-9A-Za-z\x80-\U0010ffff]")
 
 
 def simhash(features: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -194,8 +199,11 @@ class LineTable:
             self.blocks[self.wanted] = draw_blocks(pair[used], np.cumsum(m) - m, spec)
 
     def prints(self) -> list[bytes]:
-        data = self.print.astype(">u8").tobytes()
-        return [data[i : i + 16] for i in range(0, len(data), 16)]
+        return self.print_array().to_pylist()
+
+    def print_array(self) -> pa.Array:
+        offsets = np.arange(len(self.print) + 1, dtype=np.int32) * 16
+        return pa.Array.from_buffers(pa.binary(), len(self.print), [None, pa.py_buffer(offsets), pa.py_buffer(self.print.astype(">u8").tobytes())])
 
 
 def _runs(texts: list[str | None], limit: int = 1 << 17) -> Iterator[tuple[int, int, list[str | None]]]:
@@ -263,7 +271,7 @@ def line_table(docs: DataFrame, spec: LineSpec) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32())
                 held = found.blocks.view(np.int64)[np.arange(spec.blocks) < width[:, None]] if n else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(ids[a + found.owner]), pa.array(keys[a + found.owner]), pa.array(found.number + line, pa.int32()), pa.array(found.prints(), pa.binary()),
+                    pa.array(ids[a + found.owner]), pa.array(keys[a + found.owner]), pa.array(found.number + line, pa.int32()), found.print_array(),
                     pa.array(found.hash.view(np.int64), mask=told), pa.array(found.chars, pa.int32(), mask=told), pa.ListArray.from_arrays(offsets, pa.array(held), mask=pa.array(told)),
                 ], names=["doc_id", "text_key", "line", "print", "hash", "chars", "blocks"])
 
@@ -343,13 +351,13 @@ def _sides(rows: pa.Table, key: tuple) -> tuple[list, np.ndarray, np.ndarray, np
 
 
 def _mixed(shared: DataFrame) -> DataFrame:
-    """Rows of shared(bucket, root, ...) in buckets of more than one root, with their size."""
+    """Rows of shared(bucket, root, ...) in buckets of more than one root, with the bucket's size."""
     sizes = shared.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("size")).where(F.col("low") != F.col("high"))
     return shared.join(sizes.select("bucket", "size"), "bucket")
 
 
 def open_classes(shared: DataFrame, spec: LineSpec) -> DataFrame:
-    """(print) of every member of a bucket that has a candidate there with another root, for shared(bucket, class, hash, chars, root)."""
+    """(class) of every member of a bucket that has a candidate there with another root, for shared(bucket, size, class, hash, chars, root)."""
 
     def run(batches):
         for key, rows in sorted_groups(batches, ["bucket", "i", "j"]):
@@ -361,29 +369,30 @@ def open_classes(shared: DataFrame, spec: LineSpec) -> DataFrame:
                 hit[others] = True
                 hit[x] |= bool(len(others))
             if hit.any():
-                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in np.flatnonzero(hit).tolist()], pa.binary())], names=["print"])
+                yield pa.RecordBatch.from_arrays([pa.array([names[k] for k in np.flatnonzero(hit).tolist()], pa.binary())], names=["class"])
 
-    return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(lean(run), "print binary").distinct()
+    return in_blocks(shared, "bucket", spec.block).mapInArrow(lean(run), "class binary").distinct()
 
 
 def linking_pairs(shared: DataFrame, spec: LineSpec) -> DataFrame:
-    """Links (a, b) of different roots that join all that the links of a bucket join, for shared(bucket, class, hash, chars, root, blocks, form)."""
+    """Links (a, b) of different roots that join all that the links of a bucket join, for shared(bucket, size, class, hash, chars, root, buckets, form); buckets are all that the class is in."""
 
     def run(batches):
+        found = Joiner(spec.similarity)
         for key, rows in sorted_groups(batches, ["bucket", "i", "j"]):
             _, hashes, chars, label, first, second = _sides(rows, key)
-            forms, own, roots = rows["form"].to_pylist(), rows["blocks"].to_pylist(), rows["root"].to_pylist()
-            found = Joiner(spec.similarity)
+            forms, own, roots = rows["form"].to_pylist(), [set(b) for b in rows["buckets"].to_pylist()], rows["root"].to_pylist()
             for x in first.tolist():
                 others = second[label[second] != label[x]]
                 for y in others[spec.comparable(hashes[others], hashes[x], chars[others], chars[x])].tolist():
-                    if found.apart(roots[x], roots[y]) and next(p for p, q in zip(own[x], own[y]) if p == q) == key[0]:
+                    if found.apart(roots[x], roots[y]) and min(own[x] & own[y]) == key[0]:
                         found.offer(roots[x], roots[y], forms[x], forms[y])
-            found.settle()
             if found.links:
                 yield found.taken()
+        found.settle()
+        yield found.taken()
 
-    return in_blocks(_mixed(shared), "bucket", spec.block).mapInArrow(lean(run), "a binary, b binary")
+    return in_blocks(shared, "bucket", spec.block).mapInArrow(lean(run), "a binary, b binary")
 
 
 def edit_distance(a: str | list[str], b: str | list[str], most: int) -> int:
@@ -431,7 +440,8 @@ def cost_at_most(x: list[str], y: list[str], most: int) -> bool:
     i, j, n, m = 0, 0, len(x), len(y)
     while i < n and j < m:
         if x[i] == y[j]:
-            i, j = i + 1, j + 1
+            k = 8 if x[i : i + 8] == y[j : j + 8] else 1
+            i, j = min(i + k, n), min(j + k, m)
             continue
         for p, q in _STEPS:
             if i + p < n and j + q < m and x[i + p] == y[j + q]:
@@ -567,7 +577,7 @@ def _place(text_key, doc_id, line):
     return text_key.bitwiseXOR(F.shiftleft(doc_id, 24)).bitwiseXOR(line.cast("long"))
 
 
-def forms_of(wanted: DataFrame, docs: DataFrame, most: int) -> DataFrame:
+def forms_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """Written (print, form) of wanted(print, doc_id, text_key, line), read again from whole texts, of which only the lines travel."""
     known = bloom(wanted.select(_place(F.col("text_key"), F.col("doc_id"), F.col("line")).alias("place")), "place")
     small_batches(docs.sparkSession, 256)
@@ -589,7 +599,7 @@ def forms_of(wanted: DataFrame, docs: DataFrame, most: int) -> DataFrame:
 
     found = _keyed(docs).mapInArrow(lean(read), "doc_id long, text_key long, line int, form string")
     forms = found.join(wanted, ["doc_id", "text_key", "line"]).groupBy("print").agg(F.min("form").alias("form"))
-    return materialise(forms, "forms", most)
+    return materialise(forms, "forms")
 
 
 def similar_pairs(pairs: DataFrame, forms: DataFrame, spec: LineSpec) -> DataFrame:
@@ -616,37 +626,40 @@ def repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFrame:
         shared = materialise(shared_buckets(told, spec).drop("pivot"), "shared")
     most = shared.count()
     pairs = shared.select("print", F.explode("near").alias("near")).select(F.least("print", "near").alias("a"), F.greatest("print", "near").alias("b"))
-    pairs = materialise(pairs.distinct(), "pairs", most)
+    pairs = materialise(pairs.distinct(), "pairs")
     large = shared.where(F.col("rank") > spec.window).select("bucket").distinct()
-    large = materialise(shared.join(large, "bucket", "left_semi").select("bucket", F.col("print").alias("class"), "hash", "chars"), "large", most)
+    large = materialise(shared.join(large, "bucket", "left_semi").select("bucket", F.col("print").alias("class"), "hash", "chars"), "large")
     discard(shared)
     # Classes with several lines, or with a candidate; all others stay as they are.
     named = pairs.select(F.explode(F.array("a", "b")).alias("print")).unionByName(large.select(F.col("class").alias("print"))).distinct().withColumn("linked", F.lit(True))
     several = lines.groupBy("print").agg(F.count("*").alias("n")).where("n > 1").select("print", F.lit(False).alias("linked"))
-    named = materialise(named.unionByName(several).groupBy("print").agg(F.max("linked").alias("linked")), "named", most)
+    named = materialise(named.unionByName(several).groupBy("print").agg(F.max("linked").alias("linked")), "named")
     with large_batches(docs.sparkSession):
         places = materialise(sieve(lines, named, "print", ["doc_id", "text_key", "line"]).join(named, "print"), "places")
     classes = places.groupBy("print").agg(F.min(F.struct("doc_id", "text_key", "line")).alias("first"), F.max("linked").alias("linked"))
-    classes = materialise(classes, "classes", most)
+    classes = materialise(classes, "classes")
     discard(named)
     # Read once, for both rounds.
-    forms = forms_of(classes.where("linked").select("print", "first.*"), docs, most)
-    links = materialise(similar_pairs(pairs, forms, spec), "links", most)
+    forms = forms_of(classes.where("linked").select("print", "first.*"), docs)
+    links = materialise(similar_pairs(pairs, forms, spec), "links")
     roots = connected_components(links, most)
     discard(pairs, links)
+    roots = materialise(roots, "roots")
     known = large.join(roots.withColumnRenamed("node", "class"), "class", "left").select("bucket", "class", "hash", "chars", F.coalesce("root", "class").alias("root"))
-    still = materialise(open_classes(known, spec), "open", most)
-    blocks = sieve(told, still, "print", ["blocks"]).join(still, "print").groupBy("print").agg(F.first("blocks").alias("blocks"))
-    detail = still.join(forms, "print").join(blocks, "print").withColumnRenamed("print", "class")
-    more = connected_components(linking_pairs(known.join(detail, "class"), spec), most)
+    mixed = materialise(_mixed(known), "mixed")
+    still = open_classes(mixed, spec)
+    buckets = mixed.join(still, "class").groupBy("class").agg(F.collect_set("bucket").alias("buckets"))
+    detail = buckets.join(forms.withColumnRenamed("print", "class"), "class")
+    detail = materialise(mixed.join(detail, "class"), "detail")
+    more = connected_components(linking_pairs(detail, spec), most)
     more = more.select(F.col("node").alias("own"), F.col("root").alias("joined"))
     linked = classes.join(roots.withColumnRenamed("node", "print"), "print", "left").withColumn("own", F.coalesce("root", "print"))
-    linked = materialise(linked.join(more, "own", "left").select("print", F.coalesce("joined", "own").alias("root"), "first"), "roots", most)
+    linked = materialise(linked.join(more, "own", "left").select("print", F.coalesce("joined", "own").alias("root"), "first"), "linked")
     kept = linked.groupBy("root").agg(F.min("first").alias("kept"))
     kept = linked.join(kept, "root").select("print", "kept")
     gone = places.join(kept, "print").where(F.struct("doc_id", "text_key", "line") != F.col("kept"))
     found = materialise(gone.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line")).alias("lines")), "repeated")
-    discard(lines, large, places, classes, still, forms, linked)
+    discard(lines, large, places, classes, forms, roots, mixed, detail, linked)
     return found
 
 
@@ -679,7 +692,7 @@ def drop_repeated_lines(docs: DataFrame, spec: LineSpec = LineSpec()) -> DataFra
             out.append("\n".join(stays))
             total.append(len(split))
             removed.append(len(own))
-            left.append(sum(bool(normal_form(x)) for x in stays))
+            left.append(sum(_WORDY.search(x) is not None for x in stays))
         columns = [batch[c] for c in names]
         columns[texts] = pa.array(out, pa.string())
         if chars is not None:
